@@ -74,8 +74,8 @@ NON_WORD[0x30:0x3A] = False
 NON_WORD[0x61:0x7B] = False
 
 
-def _hash_run(data: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of several texts laid end to end, and words per text.
+def hash_run(data: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of several texts laid end to end: hashes, words per text, first bytes, lengths.
 
     cuts has the texts' byte bounds, first 0 and last len(data).
     """
@@ -83,7 +83,8 @@ def _hash_run(data: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tup
     texts = len(cuts) - 1
     word = ~separators[data]
     if not word.any():
-        return np.empty(0, _U64), np.zeros(texts, np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, _U64), np.zeros(texts, np.int64), none, none
     first = np.empty(len(data), bool)
     first[0] = True
     np.logical_not(word[:-1], out=first[1:])
@@ -99,10 +100,10 @@ def _hash_run(data: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tup
     place = np.arange(len(at)) - np.repeat(bounds, lengths)
     hashes = np.add.reduceat(_BYTE_VALUE[data[at]] * _POWERS[place], bounds)
     hashes = mix64(hashes + lengths.astype(_U64) * _U64(0x9E3779B97F4A7C15))
-    return hashes, np.diff(np.searchsorted(starts, cuts))
+    return hashes, np.diff(np.searchsorted(starts, cuts)), starts, lengths
 
 
-def _pieces(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
     """A long text in pieces of about CHUNK_BYTES that end between words."""
     at = 0
     while at < len(data):
@@ -117,13 +118,8 @@ def _pieces(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def hashed_texts(column: pa.Array, separators: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Lower-cases A-Z and hashes the words of each text, a bounded run at a time.
-
-    Yields (first row, rows, hashes of all their words, words per row). Nulls
-    have no words. Hashes are 64-bit: two different words agree with a
-    probability of about 5e-20.
-    """
+def runs(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes laid end to end with A-Z lower-cased, their bounds) of bounded runs of texts; nulls are empty."""
     if pa.types.is_large_string(column.type):
         offsets = np.frombuffer(column.buffers()[1], np.int64)
     else:
@@ -134,13 +130,21 @@ def hashed_texts(column: pa.Array, separators: np.ndarray) -> Iterator[tuple[int
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
     row = 0
     while row < len(column):
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
-        run = LOWER[data[offsets[row] : offsets[last]]]
-        if last == row + 1 and len(run) > CHUNK_BYTES:
-            parts = [_hash_run(p, np.array([0, len(p)]), separators)[0] for p in _pieces(run, separators)]
-            hashes = np.concatenate(parts)
-            counts = np.array([len(hashes)])
-        else:
-            hashes, counts = _hash_run(run, offsets[row : last + 1] - offsets[row], separators)
-        yield row, last - row, hashes, counts
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        yield row, last - row, LOWER[data[offsets[row] : offsets[last]]], offsets[row : last + 1] - offsets[row]
         row = last
+
+
+def hashed_texts(column: pa.Array, separators: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Lower-cases A-Z and hashes the words of each text, a bounded run at a time.
+
+    Yields (first row, rows, hashes of all their words, words per row). Nulls
+    have no words. Hashes are 64-bit: two different words agree with a
+    probability of about 5e-20.
+    """
+    for row, rows, run, cuts in runs(column):
+        if rows == 1 and len(run) > CHUNK_BYTES:
+            hashes = np.concatenate([hash_run(p, np.array([0, len(p)]), separators)[0] for p in pieces(run, separators)])
+            yield row, 1, hashes, np.array([len(hashes)])
+        else:
+            yield row, rows, *hash_run(run, cuts, separators)[:2]
