@@ -1,11 +1,15 @@
 """Registered queries of the text operators."""
 
-from sitewise.llm import packing, quality_rules, sharding
+from sitewise.llm import language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_sharding": sharding.op7_sharding,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
-ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL, "op10_quality_classifier": quality_classifier.ORACLE_SQL}
