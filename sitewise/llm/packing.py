@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +143,15 @@ class WordTokens:
         yield from self.ids(waiting)
 
 
+@cache
+def words_of(path: str) -> WordTokens:
+    """One for each Python worker: the next task of the worker finds its forms known."""
+    return WordTokens(path)
+
+
 def _tokenised(tokenizer: str, end_id: int, sequence: int, schema: pa.Schema, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = words_of(tokenizer)
         end = end_id.to_bytes(4, "little")
         width = 4 * sequence
 

@@ -1,16 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at ``. ! ?`` or a line end; a long one is also cut after words
-that their own hash picks, so a passage inside a longer sentence has whole
-pieces of its own. From each piece on, the shortest run of two or more pieces
-with at least ``span_words`` words is hashed (128 bits). Runs are joined globally
-by their hash; whatever a run covers that isn't the first of its hash, in order
-of id and place, is removed.
+Sentences end at ``. ! ?`` or a line end. Pieces are cut where, among the words
+near by, a sentence end comes first in the order of hashes, or, within a long
+sentence, another word does: so pieces have some ten words, and a passage inside
+a longer sentence has whole pieces of its own. From each piece on, the
+shortest run of two or more pieces with at least ``span_words`` words is hashed
+(96 bits). Runs are joined globally by their hash; whatever a run covers that
+isn't the first of its hash, in order of id and place, is removed. Repeats within
+a text are found where the text is read; only a text's first run of each hash
+crosses the network, and of most of them only the hash and the id matter.
 
 Defined cases
 * null or word-less text: no spans. A text of fewer than ``span_words`` words has none either.
-* null id: comes before all others in the order of first places.
-* rows with the same id and text are one document: each of its rows gets the same spans.
+* null id: only repeats within the text itself are removed, as its place in the order isn't known.
+* rows of one id are one document: what only they share stays; each row gets the spans of its own text.
 * a passage that repeats within one document counts like one in two documents.
 * words compare with A-Z lower-cased, white space and ASCII punctuation aside.
 * an empty table gives no rows; other columns are ignored.
@@ -25,14 +28,13 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, hash_run, mix64, pieces, runs
 
 #: Words of a hashed run of sentences, at least.
-SPAN_WORDS = 20
-#: One word in so many ends a piece inside a sentence.
-PICK = 8
+SPAN_WORDS = 14
+#: A piece is cut after the word that comes first among so many on either side.
+CLOSE = 4
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -54,7 +56,12 @@ def span_table(hashes: np.ndarray, ends: np.ndarray, span_words: int) -> tuple[n
     none = np.empty(0, np.int64)
     if n < span_words:
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    cut = ends | (hashes % np.uint64(PICK) == 0)
+    # Sentence ends rank before other words; hashes rank among themselves.
+    rank = (hashes >> np.uint64(1)) | np.where(ends, np.uint64(0), np.uint64(1 << 63))
+    cut = np.ones(n, bool)
+    for d in range(1, CLOSE + 1):
+        cut[d:] &= rank[d:] < rank[:-d]
+        cut[:-d] &= rank[:-d] <= rank[d:]
     firsts = np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1])
     bounds = np.append(firsts, n)
     # The end must leave enough words and lie two pieces on at least.
@@ -90,38 +97,49 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         at += n
 
 
-def _spans(kind: pa.DataType, span_words: int):
+def _spans(span_words: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(1).to_numpy()
             for row, _, data, cuts in runs(batch.column(2)):
                 found, source = [], []
                 for k, (hashes, ends, starts, stops) in enumerate(_words(data, cuts)):
                     a, b, h, g = span_table(hashes, ends, span_words)
                     if len(a):
-                        found.append((h.view(np.int64), g.view(np.int64), starts[a], stops[b - 1]))
+                        again = np.ones(len(a), bool)
+                        again[np.unique(h ^ mix64(g), return_index=True)[1]] = False
+                        found.append((h.view(np.int64), (g >> np.uint64(32)).astype(np.int64), starts[a], stops[b - 1] - starts[a], again))
                         source.append(np.full(len(a), row + k))
                 if found:
-                    h, g, first, end = (np.concatenate(x) for x in zip(*found, strict=True))
-                    at = pa.array(np.concatenate(source))
+                    h, g, first, size, again = (np.concatenate(x) for x in zip(*found, strict=True))
+                    at = np.concatenate(source)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(g), batch.column(0).take(at).cast(kind), batch.column(1).take(at), pa.array(first), pa.array(end)],
-                        names=["_h", "_g", "_id", "_key", "_start", "_end"],
+                        [pa.array(h), pa.array(g), batch.column(0).take(pa.array(at)), pa.array(keys[at]), pa.array(first), pa.array(size), pa.array(again)],
+                        names=["_h", "_g", "_id", "_key", "_start", "_size", "_again"],
                     )
 
     return spans
 
 
+def _text_key(text_col: str) -> Column:
+    """31 bits that tell texts of one id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text_col), 33)
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
     """(_id, _key, spans): the merged character ranges to remove from each document that has any."""
-    kind = docs.schema[id_col].dataType
-    found = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text")
-    ).mapInArrow(_spans(to_arrow_type(kind), span_words), f"_h bigint, _g bigint, _id {kind.simpleString()}, _key bigint, _start bigint, _end bigint")
-    place = F.struct("_id", "_key", "_start")
-    first = found.groupBy("_h", "_g").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-    first = first.where(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
-    later = found.join(first, ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
-    ranges = later.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("_ranges"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), _text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    found = rows.mapInArrow(_spans(span_words), "_h bigint, _g bigint, _id bigint, _key bigint, _start bigint, _size bigint, _again boolean")
+    # Key and start in one number: the row stays small.
+    placed = found.select("_h", "_g", "_id", (F.shiftleft("_key", 32) + F.col("_start")).alias("_place"), "_size", "_again")
+    once = placed.where("not _again and _id is not null").drop("_again")
+    first = once.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    later = once.join(first, ["_h", "_g"]).where("_id > _first").select("_id", "_place", "_size")
+    covered = later.unionByName(placed.where("_again").select("_id", "_place", "_size")).select(
+        "_id", F.shiftright("_place", 32).alias("_key"), F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "_size"
+    )
+    span = F.struct("start", (F.col("start") + F.col("_size")).alias("end"))
+    ranges = covered.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(span)).alias("_ranges"))
     return ranges.select("_id", "_key", merged(F.col("_ranges")).alias("spans"))
 
 
@@ -142,7 +160,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each document: doc_id, n_chars, n_removed (characters), spans; with_text: also the text without them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_key"), F.length(text).cast("bigint").alias("n_chars"),
+        F.col(id_col).alias("doc_id"), _text_key(text_col).alias("_key"), F.length(text).cast("bigint").alias("n_chars"),
         *([F.col(text_col).alias("text")] if with_text else []),
     )
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, span_words=span_words)
