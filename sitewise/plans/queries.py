@@ -1,4 +1,452 @@
-"""Registered queries and their SQL oracles over the driver's tables."""
+"""Registered queries and their SQL oracles over the driver's tables. Doubles are rounded to six places on both sides."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitewise.durable import durable
+from sitewise.functions.text import PROMPT_HEAD, PROMPT_TAIL, cache_key, prompt
+from sitewise.operators import access, estimates, pois, report, scores, selection, spatial, stats
+from sitewise.operators.grid import build_grid, locate
+from sitewise.plans import inputs
+from sitewise.plans.inputs import GRID, SQL, sql_haversine, sql_minutes, sql_scores
+from sitewise.plans.siting import optimise
+
+MODEL = "test-model"
+MIN_DISTANCE_M = 1000.0
+
+
+def _six(column: Column | str, name: str | None = None) -> Column:
+    return F.round(column, 6).alias(name or column)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# ------------------------------------------------------------------- collect
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_grid(spark, GRID).select("cell_id", *[_six(c) for c in ("x0", "y0", "x1", "y1", "center_lon", "center_lat")])
+
+
+def poi_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Nine places: at six these coordinates are ties of rounding.
+    return inputs.facilities(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("lon", "lat")})
+
+
+def poi_exclude_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pois.exclude_tag(inputs.facilities(spark, sf_dir), inputs.EXCLUDED_TAGS).select("osm_id", "healthcare")
+
+
+def poi_exclude_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pois.exclude_name(inputs.facilities(spark, sf_dir), inputs.EXCLUDED_NAMES).select("osm_id", "name")
+
+
+def poi_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = inputs.elements(spark, sf_dir)
+    whole = pois.distinct_elements(both.where("id % 3 <> 0"), both.where("id % 2 = 0"))
+    return whole.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate(inputs.facilities(spark, sf_dir), GRID).select("osm_id", GRID.cell_id(F.col("row"), F.col("col")).alias("cell_id"))
+
+
+def cell_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.count_facilities(build_grid(spark, GRID), inputs.facilities(spark, sf_dir), GRID).select("cell_id", "existing_clinics")
+
+
+def cell_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.contexts(build_grid(spark, GRID), inputs.facilities(spark, sf_dir), GRID)
+
+
+def population_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.population_per_cell(build_grid(spark, GRID), inputs.hexagons(spark, sf_dir), GRID).select("cell_id", "population")
+
+
+# ------------------------------------------------------------------ estimate
+
+
+def prompt_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_context(spark, sf_dir).select("cell_id", cache_key(MODEL, prompt(F.col("context"))).alias("key"))
+
+
+def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = estimates.with_keys(cell_context(spark, sf_dir), MODEL)
+    cached = keyed.where(F.substring("cell_id", -1, 1).isin("0", "1", "2")).select("key")
+    return estimates.cache_misses(keyed, cached).select("key")
+
+
+def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = estimates.parsed(inputs.replies(spark, sf_dir))
+    return read.select("doc_id", "wealth_score", "area_character", _six("confidence"), F.col("error").isNull().alias("valid"))
+
+
+def _fake_model() -> estimates.Model:
+    return lambda text: f'{{"wealth_score": {len(text) % 11}, "area_character": "mixed", "confidence": 0.5}}'
+
+
+def estimate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a model that answers by the length of its prompt, over an empty cache."""
+    asked = durable(cell_context(spark, sf_dir))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/estimates-{uuid.uuid4().hex}"
+    return estimates.estimate_cells(asked, _fake_model, model_name=MODEL, cache_path=folder, tasks=4)
+
+
+def estimates_left_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = build_grid(spark, GRID)
+    some = inputs.estimates(cells).where("cell_id < 'cell_000100'")
+    return estimates.with_estimates(cells.select("cell_id"), some)
+
+
+def estimated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimates_left_merge(spark, sf_dir).agg(F.count("wealth_score").alias("estimated"), F.count(F.lit(1)).alias("cells"))
+
+
+# ------------------------------------------------------------------ optimise
+
+
+def normalize_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    priced = part.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("price"), F.lit(3.0).alias("same"))
+    return scores.normalize(priced, price_scaled="price", same_scaled="same").select("p_partkey", _six("price_scaled"), _six("same_scaled"))
+
+
+def need_and_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.with_scores(durable(inputs.siting_cells(spark, sf_dir))).select("cell_id", _six("equity"), _six("profit"))
+
+
+def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.filter_candidates(inputs.estimates(build_grid(spark, GRID))).select("cell_id", "area_character")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each scale reads the cells once more: they are few, what they are made of isn't.
+    return scores.with_facility_type(scores.with_scores(scores.filter_candidates(durable(inputs.siting_cells(spark, sf_dir)))))
+
+
+def facility_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("cell_id", "facility_type", _six("best_score"))
+
+
+def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.conflict_pairs(build_grid(spark, GRID), GRID, MIN_DISTANCE_M)
+
+
+def _sites(spark: SparkSession, sf_dir: str, budget: int) -> tuple[DataFrame, DataFrame]:
+    cells = durable(inputs.siting_cells(spark, sf_dir))
+    return cells, durable(optimise(cells, GRID, budget=budget, min_distance_m=MIN_DISTANCE_M))
+
+
+def _selected(budget: int) -> Callable[[SparkSession, str], DataFrame]:
+    def site_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _sites(spark, sf_dir, budget)[1].select("cell_id", _six("center_lon"), _six("center_lat"), "facility_type", _six("best_score"))
+
+    return site_selection
+
+
+# ------------------------------------------------------------------ validate
+
+
+def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = build_grid(spark, GRID).select(F.col("cell_id").alias("src"), F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 10")  # the destinations of this matrix
+    s = F.col("s_suppkey")
+    return _rounded(access.travel_times(cells, supplier.select(s.alias("dst"), (37.55 + s / 100.0).alias("lon"), (55.72 + s / 200.0).alias("lat"))), "minutes")
+
+
+def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(access.nearest_times(build_grid(spark, GRID), inputs.facilities(spark, sf_dir), GRID), "minutes")
+
+
+def access_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(access.mean_access_time(inputs.siting_cells(spark, sf_dir), inputs.facilities(spark, sf_dir), GRID), "minutes")
+
+
+def _few_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in forty of the facilities, so that new places shorten the way."""
+    return inputs.facilities(spark, sf_dir).where("osm_id % 40 = 1").select("lon", "lat")
+
+
+def baseline_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.baseline_placement(inputs.siting_cells(spark, sf_dir), 8).select("cell_id", _six("center_lon"), _six("center_lat"))
+
+
+def baseline_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.baseline_placement(build_grid(spark, GRID), 8, "random").select("cell_id", _six("center_lon"), _six("center_lat"))
+
+
+def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = durable(inputs.siting_cells(spark, sf_dir))
+    found = access.before_after(cells, _few_facilities(spark, sf_dir), access.baseline_placement(cells, 8), GRID)
+    return found.select(_six("before"), _six("after"), _six("improvement"), (F.col("after") < F.col("before")).alias("nearer"))
+
+
+def _report(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
+    cells, chosen = _sites(spark, sf_dir, budget)
+    return access.validation_report(cells, _few_facilities(spark, sf_dir), chosen, GRID)
+
+
+def _validated(budget: int) -> Callable[[SparkSession, str], DataFrame]:
+    def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(_report(spark, sf_dir, budget), "before", "after", "improvement")
+
+    return validation_report
+
+
+def validation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.validation_flags(_report(spark, sf_dir, 3))
+
+
+def validation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = stats.bar_facts(_report(spark, sf_dir, 3))
+    return _rounded(bars, *bars.columns)
+
+
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.spearman(inputs.prices(spark, sf_dir), "wealth_score", "price_per_m2"), "rho")
+
+
+def spearman_vs_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = inputs.prices(spark, sf_dir)
+    return _rounded(stats.spearman_vs_price(p.select("cell_id", "wealth_score"), p.select("cell_id", "price_per_m2")), "rho", "p_value")
+
+
+# -------------------------------------------------------------------- report
+
+
+def wealth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.unit_histogram(inputs.estimates(build_grid(spark, GRID)), "wealth_score", 0, 11)
+
+
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = durable(scores.with_scores(durable(inputs.siting_cells(spark, sf_dir))))
+    parts = [stats.equal_histogram(scored, c).select(F.lit(c).alias("score"), "bin", "n") for c in ("equity", "profit")]
+    return parts[0].unionByName(parts[1])
+
+
+def wealth_by_clinics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.clipped_means(inputs.siting_cells(spark, sf_dir), "existing_clinics", "wealth_score"), "mean_wealth_score")
+
+
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.type_counts(_candidates(spark, sf_dir))
+
+
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.bounds(build_grid(spark, GRID))
+    return _rounded(found, *found.columns)
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals(inputs.siting_cells(spark, sf_dir), F.col("wealth_score"))
+
+
+def map_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(report.markers(_sites(spark, sf_dir, 3)[1]), "lon", "lat", "radius")
+
+
+def map_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.legend(_candidates(spark, sf_dir))
+
+
+def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.geojson_features(inputs.siting_cells(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "grid_cells": grid_cells,
+    "poi_flatten": poi_flatten,
+    "poi_exclude_tag": poi_exclude_tag,
+    "poi_exclude_name": poi_exclude_name,
+    "poi_union": poi_union,
+    "point_in_cell": point_in_cell,
+    "cell_competitors": cell_competitors,
+    "cell_context": cell_context,
+    "population_overlay": population_overlay,
+    "prompt_cache_key": prompt_cache_key,
+    "cache_miss": cache_miss,
+    "parse_response": parse_response,
+    "estimate_cells": estimate_cells,
+    "estimates_left_merge": estimates_left_merge,
+    "estimated_count": estimated_count,
+    "normalize_minmax": normalize_minmax,
+    "need_and_demand": need_and_demand,
+    "candidate_filter": candidate_filter,
+    "facility_type": facility_type,
+    "conflict_pairs": conflict_pairs,
+    "site_selection": _selected(8),
+    "site_selection_of_3": _selected(3),
+    "travel_time": travel_time,
+    "nearest_time": nearest_time,
+    "access_weighted_mean": access_weighted_mean,
+    "baseline_density": baseline_density,
+    "baseline_random": baseline_random,
+    "before_after": before_after,
+    "validation_report": _validated(8),
+    "validation_report_of_3": _validated(3),
+    "validation_flags": validation_flags,
+    "validation_bars": validation_bars,
+    "spearman": spearman,
+    "spearman_vs_price": spearman_vs_price,
+    "wealth_histogram": wealth_histogram,
+    "score_histogram": score_histogram,
+    "wealth_by_clinics": wealth_by_clinics,
+    "type_counts": type_counts,
+    "bounds": bounds,
+    "totals": totals,
+    "map_markers": map_markers,
+    "map_legend": map_legend,
+    "cell_outlines": cell_outlines,
+}
+
+# ------------------------------------------------------------------- oracles
+
+_CONTEXT = SQL + """, kinds AS (
+  SELECT cell_id, amenity, count(*) AS n FROM located GROUP BY ALL
+), sentences AS (
+  SELECT cell_id, 'Рядом медучреждений: ' || CAST(sum(n) AS BIGINT) || ' (' || coalesce(string_agg(CASE amenity WHEN 'clinic' THEN 'клиники' WHEN 'hospital' THEN 'больницы'
+           WHEN 'doctors' THEN 'кабинеты врачей' WHEN 'dentist' THEN 'стоматологии' ELSE amenity END || ': ' || n, ', ' ORDER BY n DESC, amenity) FILTER (amenity IS NOT NULL), '') || ').' AS s
+  FROM kinds GROUP BY cell_id
+), context AS (
+  SELECT cell_id, coalesce(s, 'Медучреждений рядом не обнаружено.') AS context FROM cells LEFT JOIN sentences USING (cell_id)
+)"""
+_PROMPT = f"'{PROMPT_HEAD}' || context || '{PROMPT_TAIL}'"
+_KEYS = _CONTEXT + f""", keyed AS (
+  SELECT cell_id, {_PROMPT} AS prompt, sha256('{MODEL}' || chr(10) || {_PROMPT}) AS key FROM context
+)"""
+
+_CANDIDATES = SQL + """, candidates AS (
+  SELECT * FROM siting WHERE coalesce(area_character, '') <> 'industrial'
+)""" + sql_scores("candidates", "c_") + """, typed AS (
+  SELECT *, CASE WHEN equity >= profit THEN 'public' ELSE 'private' END AS facility_type, greatest(equity, profit) AS best_score FROM c_scored
+)"""
+
+_CHOSEN = _CANDIDATES + f""", ranked AS (
+  SELECT *, row_number() OVER (ORDER BY best_score DESC, cell_id) AS k FROM typed WHERE best_score > 0
+), apart AS (
+  SELECT a.k AS i, b.k AS j FROM ranked a JOIN ranked b ON a.k < b.k AND {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} >= {MIN_DISTANCE_M}
+), triple AS (
+  SELECT p.i, p.j, q.j AS k FROM apart p JOIN apart q ON q.i = p.j JOIN apart r ON r.i = p.i AND r.j = q.j
+  JOIN ranked a ON a.k = p.i JOIN ranked b ON b.k = p.j JOIN ranked c ON c.k = q.j
+  ORDER BY a.best_score + b.best_score + c.best_score DESC, 1, 2, 3 LIMIT 1
+), chosen AS (
+  SELECT ranked.* FROM ranked, triple WHERE ranked.k IN (triple.i, triple.j, triple.k)
+)"""
+
+_FEW = """, few AS (
+  SELECT lon, lat FROM fac WHERE osm_id % 40 = 1
+)"""
+
+
+def _nearest(name: str, points: str) -> str:
+    return f""", {name} AS (
+  SELECT cell_id, min({sql_minutes('cells.center_lon', 'cells.center_lat', 'p.lon', 'p.lat')}) AS minutes FROM cells, ({points}) p GROUP BY cell_id
+)"""
+
+
+def _mean(times: str) -> str:
+    return f"(SELECT CASE WHEN sum(population) = 0 THEN avg(minutes) ELSE sum(minutes * population) / sum(population) END FROM siting JOIN {times} USING (cell_id))"
+
+
+_DENSE = "SELECT center_lon AS lon, center_lat AS lat FROM (SELECT * FROM siting ORDER BY population DESC, cell_id LIMIT {})"
+_THREE = (
+    _CHOSEN + _FEW + _nearest("old_times", "SELECT * FROM few") + _nearest("model_times", "SELECT * FROM few UNION ALL SELECT center_lon, center_lat FROM chosen")
+    + _nearest("dense_times", "SELECT * FROM few UNION ALL " + _DENSE.format(3))
+    + f""", report AS (
+  SELECT 'model' AS scenario, {_mean('old_times')} AS before, {_mean('model_times')} AS after
+  UNION ALL SELECT 'baseline_population_density', {_mean('old_times')}, {_mean('dense_times')}
+)"""
+)
+
+_REPLY = """
+WITH d AS (
+  SELECT doc_id, CAST(doc_id % 11 AS VARCHAR) AS w, ['residential', 'commercial', 'industrial', 'mixed'][doc_id % 4 + 1] AS a, (doc_id % 101)::DOUBLE / 100 AS c, doc_id % 10 AS kind FROM documents
+), p AS (
+  SELECT *, '{"wealth_score": ' || CASE kind WHEN 3 THEN '"' || w || '"' WHEN 4 THEN w || '.9' WHEN 5 THEN 'true' WHEN 6 THEN '"7.5"' WHEN 9 THEN CAST(doc_id % 11 + 5 AS VARCHAR) ELSE w END
+         || ', "area_character": "' || CASE WHEN kind = 9 THEN ' Mixed ' ELSE a END || '"' || CASE WHEN kind = 7 THEN '' ELSE ', "confidence": ' || c END || '}' AS body
+  FROM d
+), r AS (
+  SELECT doc_id, CASE kind WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN 'Вот ответ:' || chr(10) || body || chr(10) || 'Конец.' WHEN 8 THEN 'не могу: ' || w ELSE body END AS raw FROM p
+), j AS (
+  SELECT doc_id, TRY_CAST(regexp_extract(raw, '(?s)\\{.*\\}') AS JSON) AS v FROM r
+), x AS (
+  SELECT doc_id,
+    CASE json_type(v, '$.wealth_score') WHEN 'UBIGINT' THEN CAST(v->>'$.wealth_score' AS INTEGER) WHEN 'DOUBLE' THEN CAST(trunc(CAST(v->>'$.wealth_score' AS DOUBLE)) AS INTEGER)
+      WHEN 'BOOLEAN' THEN CASE v->>'$.wealth_score' WHEN 'true' THEN 1 ELSE 0 END
+      WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(v->>'$.wealth_score', '\\d+') THEN CAST(v->>'$.wealth_score' AS INTEGER) END END AS w,
+    lower(trim(v->>'$.area_character')) AS a, TRY_CAST(v->>'$.confidence' AS DOUBLE) AS c
+  FROM j
+), y AS (
+  SELECT *, coalesce(w BETWEEN 0 AND 10 AND c BETWEEN 0 AND 1 AND a IN ('residential', 'commercial', 'industrial', 'mixed'), false) AS valid FROM x
+)
+SELECT doc_id, CASE WHEN valid THEN w END AS wealth_score, CASE WHEN valid THEN a END AS area_character, CASE WHEN valid THEN round(c, 6) END AS confidence, valid FROM y
+"""
+
+_PARTS = """
+WITH p AS (
+  SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0
+), r AS (
+  SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM p
+)
+SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r
+"""
+
+ORACLES: dict[str, str] = {
+    "grid_cells": SQL + "SELECT cell_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM cells",
+    "poi_flatten": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
+    "poi_exclude_tag": SQL + "SELECT osm_id, healthcare FROM fac WHERE healthcare IS NULL OR healthcare NOT IN ('laboratory', 'rehabilitation')",
+    "poi_exclude_name": SQL + "SELECT osm_id, name FROM fac WHERE NOT regexp_matches(lower(coalesce(name, '')), 'эстет|дентал')",
+    "poi_union": SQL + "SELECT osm_type AS type, count(*) AS n FROM raw_fac WHERE osm_id % 3 <> 0 OR osm_id % 2 = 0 GROUP BY 1",
+    "point_in_cell": SQL + "SELECT osm_id, cell_id FROM located",
+    "cell_competitors": SQL + "SELECT cell_id, existing_clinics FROM siting",
+    "cell_context": _CONTEXT + "SELECT cell_id, context FROM context",
+    "population_overlay": SQL + "SELECT cell_id, population FROM siting",
+    "prompt_cache_key": _KEYS + "SELECT cell_id, key FROM keyed",
+    "cache_miss": _KEYS + "SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE right(cell_id, 1) IN ('0', '1', '2'))",
+    "parse_response": _REPLY,
+    "estimate_cells": _KEYS + "SELECT cell_id, CAST(length(prompt) % 11 AS INTEGER) AS wealth_score, 'mixed' AS area_character, 0.5::DOUBLE AS confidence FROM keyed",
+    "estimates_left_merge": SQL + "SELECT cell_id, CASE WHEN cell_id < 'cell_000100' THEN wealth_score END AS wealth_score, CASE WHEN cell_id < 'cell_000100' THEN area_character END AS area_character FROM est",
+    "estimated_count": SQL + "SELECT count(CASE WHEN cell_id < 'cell_000100' THEN wealth_score END) AS estimated, count(*) AS cells FROM est",
+    "normalize_minmax": """
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS v FROM part), b AS (SELECT min(v) AS lo, max(v) AS hi FROM p)
+SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS same_scaled FROM p, b""",
+    "need_and_demand": SQL + sql_scores("siting") + "SELECT cell_id, round(equity, 6) AS equity, round(profit, 6) AS profit FROM scored",
+    "candidate_filter": SQL + "SELECT cell_id, area_character FROM est WHERE coalesce(area_character, '') <> 'industrial'",
+    "facility_type": _CANDIDATES + "SELECT cell_id, facility_type, round(best_score, 6) AS best_score FROM typed",
+    "conflict_pairs": SQL + f"SELECT a.cell_id AS cell_a, b.cell_id AS cell_b FROM cells a JOIN cells b ON a.cell_id < b.cell_id WHERE {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} < {MIN_DISTANCE_M}",
+    "site_selection_of_3": _CHOSEN + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat, facility_type, round(best_score, 6) AS best_score FROM chosen",
+    "travel_time": SQL + f"""SELECT cell_id AS src, s_suppkey AS dst,
+      round({sql_minutes('center_lon', 'center_lat', '(37.55::DOUBLE + s_suppkey / 100.0::DOUBLE)', '(55.72::DOUBLE + s_suppkey / 200.0::DOUBLE)')}, 6) AS minutes FROM cells, supplier WHERE s_suppkey < 10""",
+    "nearest_time": SQL + _nearest("times", "SELECT lon, lat FROM fac") + "SELECT cell_id, round(minutes, 6) AS minutes FROM times",
+    "access_weighted_mean": SQL + _nearest("times", "SELECT lon, lat FROM fac") + f"SELECT round({_mean('times')}, 6) AS minutes",
+    "baseline_density": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting ORDER BY population DESC, cell_id LIMIT 8",
+    "before_after": SQL + _FEW + _nearest("old_times", "SELECT * FROM few") + _nearest("new_times", "SELECT * FROM few UNION ALL " + _DENSE.format(8))
+    + f"SELECT round(b, 6) AS before, round(a, 6) AS after, round(b - a, 6) AS improvement, a < b AS nearer FROM (SELECT {_mean('old_times')} AS b, {_mean('new_times')} AS a)",
+    "validation_report_of_3": _THREE + "SELECT scenario, round(before, 6) AS before, round(after, 6) AS after, round(before - after, 6) AS improvement FROM report",
+    "validation_flags": _THREE + "SELECT m.after < m.before AS nearer, m.before - m.after >= b.before - b.after AS better_than_baseline FROM report m, report b WHERE m.scenario = 'model' AND b.scenario <> 'model'",
+    "validation_bars": _THREE + """SELECT round(m.before, 6) AS before, round(m.after, 6) AS model_after, round(b.after, 6) AS baseline_after,
+      round(m.before - m.after, 6) AS model_improvement, round(b.before - b.after, 6) AS baseline_improvement FROM report m, report b WHERE m.scenario = 'model' AND b.scenario <> 'model'""",
+    "spearman": _PARTS,
+    "wealth_histogram": SQL + "SELECT CAST(g AS INTEGER) AS bin, count(e.wealth_score) AS n FROM range(0, 11) t(g) LEFT JOIN est e ON least(e.wealth_score, 10) = g GROUP BY g",
+    "score_histogram": SQL + sql_scores("siting") + """, s AS (
+  SELECT 'equity' AS score, equity AS v FROM scored UNION ALL SELECT 'profit', profit FROM scored
+), b AS (
+  SELECT score, min(v) AS lo, max(v) AS hi FROM s GROUP BY score
+)
+SELECT b.score, CAST(g AS INTEGER) AS bin, count(s.v) AS n FROM b CROSS JOIN range(0, 20) t(g) LEFT JOIN s ON s.score = b.score AND least(19, CAST(floor((s.v - lo) / (hi - lo) * 20) AS INTEGER)) = g GROUP BY ALL""",
+    "wealth_by_clinics": SQL + "SELECT least(existing_clinics, 5) AS existing_clinics, round(avg(wealth_score), 6) AS mean_wealth_score FROM siting GROUP BY 1",
+    "type_counts": _CANDIDATES + "SELECT count(*) FILTER (facility_type = 'public') AS n_public, count(*) FILTER (facility_type = 'private') AS n_private FROM typed",
+    "bounds": SQL + "SELECT round(min(x0), 6) AS min_lon, round(min(y0), 6) AS min_lat, round(max(x1), 6) AS max_lon, round(max(y1), 6) AS max_lat, round((min(x0) + max(x1)) / 2, 6) AS mid_lon, round((min(y0) + max(y1)) / 2, 6) AS mid_lat FROM cells",
+    "totals": SQL + "SELECT count(*) AS cells, CAST(sum(population) AS BIGINT) AS population, CAST(sum(existing_clinics) AS BIGINT) AS facilities, count(wealth_score) AS estimated FROM siting",
+    "map_markers": _CHOSEN + """SELECT cell_id, round(center_lon, 6) AS lon, round(center_lat, 6) AS lat, CASE facility_type WHEN 'public' THEN '#0F6E56' ELSE '#993C1D' END AS color, round(8 + 6 * best_score, 6) AS radius,
+      printf('<b>%s</b><br>Тип: %s<br>Ценность: %.2f', cell_id, CASE facility_type WHEN 'public' THEN 'государственная' ELSE 'частная' END, best_score) AS popup FROM chosen""",
+    "map_legend": _CANDIDATES + """SELECT k.facility_type, k.label, k.color, count(typed.cell_id) AS n FROM (VALUES ('public', 'государственная', '#0F6E56'), ('private', 'частная', '#993C1D')) k(facility_type, label, color)
+      LEFT JOIN typed USING (facility_type) GROUP BY ALL""",
+}
