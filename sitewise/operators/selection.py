@@ -62,11 +62,10 @@ def most_conflicts(grid: Grid, min_distance_m: float) -> int:
     n = 0
     for r in range(-up, up + 1):
         for c in range(-side, side + 1):
-            # The great circle between two points is no shorter than either of these.
-            dy = math.radians(abs(r) * grid.lat_step) * EARTH_M
-            half = math.sin(math.radians(abs(c) * grid.lon_step) / 2) * math.cos(math.radians(min(lat, 90.0)))
-            dx = 2 * EARTH_M * math.asin(min(1.0, half))
-            n += (r, c) != (0, 0) and max(dy, dx) < min_distance_m
+            # Between two centres so far apart it is no shorter than with both at the narrowest latitude.
+            dy = math.sin(math.radians(r * grid.lat_step) / 2) ** 2
+            dx = math.sin(math.radians(c * grid.lon_step) / 2) ** 2 * math.cos(math.radians(lat)) ** 2
+            n += (r, c) != (0, 0) and 2 * EARTH_M * math.asin(min(1.0, math.sqrt(dy + dx))) < min_distance_m * (1 + 1e-9)
     return n
 
 
