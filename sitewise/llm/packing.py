@@ -36,7 +36,7 @@ OPEN_BINS = 16_384
 #: Documents for each packer; more would pack no tighter.
 DOCS_PER_PACKER = 20_000
 #: Word forms whose ids a task remembers.
-CACHE = 500_000
+CACHE = 1_200_000
 #: ASCII marks that never join the letters before them.
 _MARKS = b".,;:!?|#$%&*"
 
@@ -93,30 +93,35 @@ class WordTokens:
         for i, got in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             self.known[forms[i]] = np.array(got.ids, "<u4").tobytes()
 
-    @staticmethod
-    def _core(form: bytes) -> tuple[bytes, bytes]:
-        """A form's letters, lower-cased if ASCII, and the marks after them: these are words apart."""
-        core = form.rstrip(_MARKS)
-        if core.isalpha():
-            return core.lower(), form[len(core) :]
-        if core and len(core) < len(form) and core.decode().isalpha():
-            return core, form[len(core) :]
-        return form, b""
-
     def learn(self, forms: set[bytes]) -> None:
-        """Makes the ids of all these forms known."""
+        """Makes the ids of all these forms known.
+
+        A form's letters, lower-cased if ASCII, and the marks after them are
+        words apart: their ids are put together.
+        """
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        new = forms.difference(known)
-        parts = {f: self._core(f) for f in new}
-        if missing := {p for pair in parts.values() for p in pair if p}.difference(known):
+        missing: set[bytes] = set()
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        for form in forms.difference(known):
+            core = form.rstrip(_MARKS)
+            marked = len(core) < len(form)
+            if core.isalpha():
+                lower = core.lower()
+                if marked or lower != form:
+                    parts.append((form, lower, form[len(core) :]))
+                missing.add(lower)
+            elif marked and core and core.decode().isalpha():
+                parts.append((form, core, form[len(core) :]))
+                missing.add(core)
+            else:
+                missing.add(form)
+        missing.update({marks for _, _, marks in parts if marks})
+        if missing := missing.difference(known):
             self._encode(list(missing))
-        for form, (core, marks) in parts.items():
-            if marks:
-                known[form] = known[core] + known[marks]
-            elif form != core:
-                known[form] = known[core]
+        for form, core, marks in parts:
+            known[form] = known[core] + known[marks] if marks else known[core]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; together they should be a bounded run."""
