@@ -166,7 +166,8 @@ class Phrases:
 
 
 def phrase_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """The benchmark's windows in broadcast blocks of bounded size."""
+    """The benchmark's windows in broadcast blocks of bounded size; a block holds one window at least."""
+    block_words = max(block_words, window)
     context = benchmark.sparkSession.sparkContext
     blocks: list[Broadcast] = []
     items: list[tuple[str | None, np.ndarray]] = []
