@@ -26,6 +26,8 @@ from sitewise.operators.grid import Grid
 MOST_NODES = 2_000_000
 #: Rows that the search may hold: the kernel of 250 sites in 20 conflicts each.
 MOST_KERNEL = 5_300
+#: Totals so near are equal.
+SAME = 1e-12
 
 
 def reach(grid: Grid, min_distance_m: float) -> tuple[int, int]:
@@ -72,9 +74,13 @@ def most_conflicts(grid: Grid, min_distance_m: float) -> int:
 def _best(scores: list[float], blocked: list[int], first: int, budget: int, floor: float, most_nodes: int) -> tuple[float, list[int], bool]:
     """(value, places, whole): the best choice whose first place is ``first``; of equal ones the first in order."""
     n = len(scores)
-    best: list = [floor, []]
+    # Sums of the same scores in another order differ in their last bits: those within SAME are equal.
+    best: list = [floor - SAME, []]
     nodes = 0
 
+    def slack() -> float:
+        return SAME if best[1] else 0.0
+
     def bound(at: int, free: int, left: int) -> float:
         total, k = 0.0, at
         while left and k < n:
@@ -99,14 +105,13 @@ def _best(scores: list[float], blocked: list[int], first: int, budget: int, floo
     def visit(at: int, value: float, chosen: list[int], free: int) -> None:
         nonlocal nodes
         nodes += 1
-        if value > best[0] or (value == best[0] and not best[1] and chosen):
+        if value > best[0] + slack():
             best[:] = [value, chosen]
         if len(chosen) == budget or nodes > most_nodes:
             return
         for k in range(at, n):
             if free >> k & 1:
-                limit = value + bound(k, free, budget - len(chosen))
-                if limit < best[0] or (limit <= best[0] and best[1]):
+                if value + bound(k, free, budget - len(chosen)) <= best[0] + slack():
                     return
                 visit(k + 1, value + scores[k], [*chosen, k], free & ~blocked[k])
 
@@ -151,7 +156,7 @@ def select_sites(scored: DataFrame, grid: Grid, *, budget: int, min_distance_m:
 
     firsts = spark.range(len(top)).repartition(min(len(top), 64) or 1)
     found = firsts.mapInPandas(search, "value double, chosen array<int>, whole boolean").where("size(chosen) > 0")
-    best = found.agg(F.max(F.struct("value", F.transform("chosen", lambda c: -c).alias("order"))).alias("b"), F.min("whole").alias("optimal"))
+    best = found.agg(F.max(F.struct(F.round("value", 11).alias("value"), F.transform("chosen", lambda c: -c).alias("order"))).alias("b"), F.min("whole").alias("optimal"))
     ranked = spark.createDataFrame([(r["cell_id"], i) for i, r in enumerate(top)], "cell_id string, _place int")
     picked = best.select(F.explode("b.order").alias("_minus"), "optimal").select((-F.col("_minus")).alias("_place"), "optimal").join(F.broadcast(ranked), "_place")
     chosen = kernel.join(F.broadcast(picked.select("cell_id", "optimal")), "cell_id")
