@@ -8,11 +8,15 @@ of the set and one) under any one order; the join pairs classes by prefix words
 positional and a parity-bitmap bound, and each pair is verified on the whole
 sets. A line is removed if an earlier line matches it.
 
-Words in the prefixes of more than ``HOT`` classes take another way to the same result: their lines are
-first held against the earliest line of each such word; only lines which that
+A link is a pair of classes that match. ``line_links`` has them all, and the result counts
+them for each line; with the class of each line they say every pair of similar
+lines. A word in the prefixes of more than ``HOT`` classes is joined block by block of
+its classes, so no task has all of them; the links are the same for every ``HOT``.
+
+Where only the removed lines are asked for (``drop_similar_lines``), the lines of such words
+are first held against the earliest line of each; only lines which that
 doesn't settle are joined with all earlier ones. So a large group of near copies
-costs a row a line, not a row a pair. Hence the result names for each removed
-line one earlier match and not the number of all of them.
+costs a row a line there, not a row a pair.
 
 Defined cases
 * null text, and lines without a word: no result rows; such lines are never removed.
@@ -34,7 +38,7 @@ from sitewise.llm.quality_rules import let
 SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the table of word counts; one byte each in a broadcast row of 1.1 MiB.
 BUCKETS, PAGE = 1 << 20, 8192
-#: A word in the prefixes of more classes than this is hot.
+#: A word in the prefixes of more classes than this is hot; also about the classes of a block.
 HOT = 512
 
 
@@ -111,8 +115,8 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(5 * overlap >= 4 * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
 
-def similar_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): a row for each line with its class, and a row for each class with one earlier class that matches it."""
+def _class_tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes): a row for each line with a word, and a row for each different set of words with its first line."""
     table = rank_table(docs, text_col)
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     sets = line_sets(named, table, id_col, text_col)
@@ -125,10 +129,60 @@ def similar_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lines = stored(sets.select("_id", "_text", "_line", let(F.col("keys"), described).alias("d")).select("_id", "_text", "_line", "d.*"))
     prefix = F.slice("keys", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
     first = F.min(F.struct("_id", "_text", "_line", "n", "bits", prefix.alias("prefix"))).alias("f")
-    classes = stored(lines.groupBy("set").agg(first).select("set", "f.*"))
-    # Sets of fewer than four words match equal ones only.
-    index = classes.where("n >= 4").select("set", "_id", "_text", "_line", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    crowded = stored(index.groupBy("word").count().where(F.col("count") > HOT).select("word"))
+    return lines, stored(lines.groupBy("set").agg(first).select("set", "f.*"))
+
+
+def _postings(classes: DataFrame, *others: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, hot words with their numbers of classes): a row for each class and prefix word.
+
+    Sets of fewer than four words match equal ones only.
+    """
+    index = classes.where("n >= 4").select("set", *others, "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    return index, stored(index.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
+
+
+def _all_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a > b: every pair of classes that match."""
+    index, crowded = _postings(classes)
+    cold = index.join(crowded, "word", "left_anti")
+    # Each pair of blocks is joined on its own; a class goes to every pair that has its block.
+    blocks = F.ceil(F.col("k") / HOT).cast("int")
+    hot = index.join(crowded, "word").withColumn("_own", F.pmod("set", blocks).cast("int"))
+    later = hot.withColumns({"i": F.col("_own"), "j": F.explode(F.sequence(F.lit(0), F.col("_own")))})
+    earlier = hot.withColumns({"i": F.explode(F.sequence(F.col("_own"), blocks - 1)), "j": F.col("_own")})
+    x, y = F.col("x.set"), F.col("y.set")
+    pair = F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).alias("p")
+    few = cold.alias("x").join(cold.alias("y"), (F.col("x.word") == F.col("y.word")) & (x > y) & _bounds("x", "y")).select(pair)
+    # Within a block each pair once; across two both ways round are different pairs of blocks.
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("word", "i", "j")]
+    many = later.alias("x").join(earlier.alias("y"), same[0] & same[1] & same[2] & ((F.col("x.i") > F.col("x.j")) | (x > y)) & _bounds("x", "y")).select(pair)
+    return _verified(stored(few.unionByName(many).select("p.*").distinct()), lines)
+
+
+def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every pair of different sets of words that match, by their first lines: doc_id, line, match_doc_id, match_line; the match is earlier."""
+    lines, classes = _class_tables(docs, id_col, text_col)
+    at = F.struct("_id", "_text", "_line")
+    links = _all_links(lines, classes)
+    for c in ("a", "b"):
+        links = links.join(classes.select(F.col("set").alias(c), at.alias(f"_{c}")), c)
+    late, early = F.greatest("_a", "_b"), F.least("_a", "_b")
+    return links.select(late["_id"].alias("doc_id"), late["_line"].alias("line"), early["_id"].alias("match_doc_id"), early["_line"].alias("match_line"))
+
+
+def _with_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes with _first, _links (classes that match) and _match (the first of those before it, if any)."""
+    links = stored(_all_links(lines, classes))
+    either = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    at = classes.select(F.col("set").alias("b"), F.struct("_id", "_text", "_line").alias("_at"))
+    found = either.join(at, "b").groupBy(F.col("a").alias("set")).agg(F.count(F.lit(1)).alias("_links"), F.min("_at").alias("_least"))
+    whole = classes.select("set", F.struct("_id", "_text", "_line").alias("_first")).join(found, "set", "left")
+    return whole.select("set", "_first", F.coalesce("_links", F.lit(0)).cast("bigint").alias("_links"), F.when(F.col("_least") < F.col("_first"), F.col("_least")).alias("_match"))
+
+
+def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes with _first and _match: some class before it that matches, if any does."""
+    index, crowded = _postings(classes, "_id", "_text", "_line")
     cold, hot = index.join(crowded, "word", "left_anti"), index.join(crowded, "word", "left_semi")
 
     def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -144,27 +198,32 @@ def similar_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Of a class's known earlier matches, the first.
     named_first = found.join(classes.select(F.col("set").alias("b"), F.struct("_id", "_text", "_line").alias("_at")), "b")
     match = named_first.groupBy(F.col("a").alias("set")).agg(F.min("_at").alias("_match"))
-    return lines, classes.select("set", F.struct("_id", "_text", "_line").alias("_first")).join(match, "set", "left")
+    return classes.select("set", F.struct("_id", "_text", "_line").alias("_first")).join(match, "set", "left")
+
+
+def _placed(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The lines with their class's columns and _m, an earlier line that each matches, if any."""
+    match = F.when(F.struct("_id", "_text", "_line") == F.col("_first"), F.col("_match")).otherwise(F.coalesce(F.least("_match", "_first"), F.col("_first")))
+    return lines.select("_id", "_text", "_line", "n", "set").join(classes, "set").withColumn("_m", match)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line with a word: doc_id, line (from 0), n_words (distinct), class_doc_id and class_line
-    (first line of the same set), match_doc_id and match_line (an earlier line that it matches, if any), removed."""
-    lines, classes = similar_lines(docs, id_col=id_col, text_col=text_col)
-    placed = lines.select("_id", "_text", "_line", "n", "set").join(classes, "set")
-    own = F.struct("_id", "_text", "_line")
-    match = F.when(own == F.col("_first"), F.col("_match")).otherwise(F.coalesce(F.least("_match", "_first"), F.col("_first")))
-    return placed.withColumn("_m", match).select(
+    (first line of the same set), n_links (other sets that match), match_doc_id and match_line (the first line
+    before it that it matches, if any, as first line of its set), removed."""
+    lines, classes = _class_tables(docs, id_col, text_col)
+    return _placed(lines, _with_links(lines, classes)).select(
         F.col("_id").alias("doc_id"), F.col("_line").alias("line"), F.col("n").alias("n_words"),
-        F.col("_first._id").alias("class_doc_id"), F.col("_first._line").alias("class_line"),
+        F.col("_first._id").alias("class_doc_id"), F.col("_first._line").alias("class_line"), F.col("_links").alias("n_links"),
         F.col("_m._id").alias("match_doc_id"), F.col("_m._line").alias("match_line"), F.col("_m").isNotNull().alias("removed"), F.col("_text"),
     )
 
 
 def drop_similar_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, without the lines that an earlier line matches; those left without a word go."""
-    bad = dedup_lines(docs, id_col=id_col, text_col=text_col).where("removed")
-    bad = bad.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_text_key")).agg(F.collect_set("line").alias("_bad"))
+    lines, classes = _class_tables(docs, id_col, text_col)
+    bad = _placed(lines, _with_some_match(lines, classes)).where("_m is not null")
+    bad = bad.groupBy("_id", F.col("_text").alias("_text_key")).agg(F.collect_set("_line").alias("_bad"))
     keyed = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text_key": F.xxhash64(text_col)}).join(bad, ["_id", "_text_key"], "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_bad", i)), "\n")
     cut = keyed.withColumn("_new", F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(kept))

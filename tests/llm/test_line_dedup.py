@@ -1,6 +1,6 @@
 import re
 
-from sitewise.llm.line_dedup import dedup_lines, drop_similar_lines
+from sitewise.llm.line_dedup import dedup_lines, drop_similar_lines, line_links
 
 
 def brute(rows):
@@ -58,3 +58,34 @@ def test_drop_keeps_columns_and_clean_documents(corpus):
 def test_odd_rows_and_empty_table(odd):
     assert dedup_lines(odd).count() > 0
     assert dedup_lines(odd.limit(0)).count() == 0
+
+
+def linked(rows):
+    """All pairs of different sets of words that match, by their first lines, the later one first."""
+    first = {}
+    for doc, text in sorted(rows):
+        for i, line in enumerate(text.split("\n")):
+            if words := frozenset(line.lower().split()):
+                first.setdefault(words, (doc, i))
+    sets = sorted(first, key=first.get)
+    return {(first[x], first[y]) for k, x in enumerate(sets) for y in sets[:k] if 5 * len(x & y) >= 4 * len(x | y)}
+
+
+def test_no_link_is_lost_whatever_is_hot(corpus, monkeypatch):
+    import sitewise.llm.line_dedup as module
+
+    base = [f"common{i}" for i in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"other{k % 7}", *base[k % 20 + 1 :], *[f"tail{k % 5}"] * (k % 2)]) + f"\nlone{k} a b c d") for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(9)]
+    pairs = linked(rows)
+    assert len(pairs) > 200
+    ends = [p for pair in pairs for p in pair]
+    for hot in (3, 512):
+        monkeypatch.setattr(module, "HOT", hot)
+        found = [((r[0], r[1]), (r[2], r[3])) for r in line_links(corpus(*rows)).collect()]
+        assert len(found) == len(pairs) and set(found) == pairs
+        for r in dedup_lines(corpus(*rows)).collect():
+            own, place = (r["class_doc_id"], r["class_line"]), (r["doc_id"], r["line"])
+            assert r["n_links"] == ends.count(own)
+            before = [b for a, b in pairs if a == own] + [own] * (place != own)
+            assert (r["match_doc_id"], r["match_line"]) == (min(before) if before else (None, None))
