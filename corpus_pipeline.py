@@ -22,7 +22,7 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and the frequent lines of a host from the others."""
     return quality_rules(docs, keep_columns=True)
 
 

@@ -140,11 +140,13 @@ def quality_rules(
 ) -> DataFrame:
     """A row for each document with its measures, ``base_failed`` and ``kept``.
 
-    keep_columns: returns the input's own columns of the kept rows instead.
+    keep_columns: returns the input's own columns of the kept rows instead, their texts without frequent lines.
     """
     lines = _line_table(docs, text_col, host_col)
     often = frequent_lines(docs, text_col=text_col, host_col=host_col, line_limit=line_limit)
-    lost = lines.join(often, ["_host", "_hash"]).groupBy("_host", "_key").agg(F.sum("_chars").alias("_lost"))
+    # A text's frequent lines are no more than its lines.
+    gone = [F.collect_set("_hash").alias("_gone")] if keep_columns else []
+    lost = lines.join(often, ["_host", "_hash"]).groupBy("_host", "_key").agg(F.sum("_chars").alias("_lost"), *gone)
     chars = F.aggregate(
         F.array_distinct(F.transform(word_lines_of(F.coalesce(F.col(text_col), F.lit(""))), normalised)),
         F.lit(0).cast("bigint"), lambda a, x: a + F.length(x),
@@ -158,7 +160,10 @@ def quality_rules(
         "kept", ~F.col("base_failed") & (100 * (F.col("_chars") - F.coalesce("_lost", F.lit(0))) >= min_left_pct * F.col("_chars"))
     )
     if keep_columns:
-        return judged.where("kept").select("_row.*")
+        text = F.col("_row").getField(text_col)
+        left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised(x))))
+        cut = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+        return judged.where("kept").select(*[cut.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -21,6 +21,15 @@ def test_boilerplate_goes_and_depleted_documents_are_rejected(corpus):
     assert kept.columns == corpus((1, "x")).columns and {r["doc_id"] for r in kept.collect()} >= {100}
 
 
+def test_kept_texts_lose_their_frequent_lines(corpus):
+    own = {k: " ".join(f"u{k}_{i}" for i in range(60)) for k in range(14)}
+    rows = [(k, f"  HOME  menu{k % 2} \n{own[k]}\n\nhome menu{k % 2}\nImprint", "en", "site") for k in range(12)]
+    # Another host with the same lines has too few texts for them to be frequent.
+    rows += [(12, f"home menu0\n{own[12]}\nImprint", "en", "other"), (13, own[13], None, None)]
+    kept = {r["doc_id"]: r["text"] for r in quality_rules(corpus(*rows), line_limit=5, keep_columns=True).collect()}
+    assert kept == {k: f"{own[k]}\n" for k in range(12)} | {12: rows[12][1], 13: own[13]}
+
+
 def test_copies_alone_make_no_line_frequent(corpus):
     rows = [(k, PROSE, "en", "site") for k in range(30)]
     assert all(r["kept"] for r in quality_rules(corpus(*rows), line_limit=10).collect())
