@@ -63,7 +63,7 @@ def _next(ring: Column, i: Column) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    """Area of a simple ring, closed or not; of fewer than three corners 0."""
+    """Area of a ring, closed or not, of parts hung together too; of fewer than three corners 0."""
 
     def shoelace(r: Column) -> Column:
         # Around the first corner, so that large coordinates don't cancel.
@@ -93,7 +93,10 @@ def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, behind: np.ndarray) -> tup
 
 @F.pandas_udf(T.DoubleType())
 def clipped_area(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """Area of the part of a convex ring (its corners' xs and ys) inside an upright rectangle, all rings of a batch at once."""
+    """Area of the part of a ring (its corners' xs and ys) inside an upright rectangle, all rings of a batch at once.
+
+    A ring that isn't convex is cut into one way too, along the rectangle's sides where it left it; the signed area is right.
+    """
     n = xs.map(len).to_numpy()
     if not n.max(initial=0):
         return pd.Series(np.zeros(len(n)))

@@ -32,7 +32,7 @@ def contexts(cells: DataFrame, facilities: DataFrame, grid: Grid) -> DataFrame:
 
 
 def overlay(hexagons: DataFrame, grid: Grid) -> DataFrame:
-    """row, col, population, share: the pieces of convex projected polygons by cell, each with its share of the polygon's area.
+    """row, col, population, share: the pieces of projected polygons by cell, each with its share of the polygon's area.
 
     A polygon meets the cells that its bounding box reaches, found by division,
     so there is no join. A cell of degrees is an upright rectangle in the

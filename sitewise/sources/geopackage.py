@@ -18,34 +18,73 @@ RANGE = 100_000
 _ENVELOPES = (0, 32, 48, 48, 64)
 
 
-def outer_ring(blob: bytes) -> list[tuple[float, float]]:
-    """The outer ring of a GeoPackage polygon, or of the first polygon of several; an empty one has no corners."""
+Ring = list[tuple[float, float]]
+
+
+def polygons(blob: bytes) -> list[list[Ring]]:
+    """The polygons of a GeoPackage polygon or of several, each as its rings without the closing corner, the outer one first."""
     if blob[:2] != b"GP":
         raise ValueError("not a GeoPackage geometry")
     if blob[3] & 0x10:
         return []
     at = 8 + _ENVELOPES[blob[3] >> 1 & 7]
 
-    def number(kind: str, place: int, order: str) -> int:
-        return struct.unpack_from(order + kind, blob, place)[0]
-
-    order = "<" if blob[at] else ">"
-    kind = number("I", at + 1, order) % 1000
-    if kind == 6:  # several polygons: a count, then each with a header of its own
-        if not number("I", at + 5, order):
-            return []
-        at += 9
+    def header() -> tuple[str, int]:
+        """Byte order and kind at the place, which moves on."""
+        nonlocal at
         order = "<" if blob[at] else ">"
-        kind = number("I", at + 1, order)
-    dimensions = 2 + {0: 0, 1: 1, 2: 1, 3: 2}[kind // 1000]
-    if kind % 1000 != 3:
-        raise ValueError(f"a polygon is needed, not kind {kind}")
-    if not number("I", at + 5, order):
-        return []
-    n = number("I", at + 9, order)
-    flat = struct.unpack_from(f"{order}{n * dimensions}d", blob, at + 13)
-    ring = list(zip(flat[::dimensions], flat[1::dimensions], strict=True))
-    return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+        kind = struct.unpack_from(order + "I", blob, at + 1)[0]
+        at += 5
+        return order, kind
+
+    def count(order: str) -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(order + "I", blob, at - 4)[0]
+
+    def polygon(order: str, kind: int) -> list[Ring]:
+        nonlocal at
+        if kind % 1000 != 3:
+            raise ValueError(f"a polygon is needed, not kind {kind}")
+        dimensions = 2 + {0: 0, 1: 1, 2: 1, 3: 2}[kind // 1000]
+        rings = []
+        for _ in range(count(order)):
+            n = count(order)
+            flat = struct.unpack_from(f"{order}{n * dimensions}d", blob, at)
+            at += 8 * n * dimensions
+            ring = list(zip(flat[::dimensions], flat[1::dimensions], strict=True))
+            rings.append(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
+        return rings
+
+    order, kind = header()
+    parts = [polygon(*header()) for _ in range(count(order))] if kind % 1000 == 6 else [polygon(order, kind)]
+    # Without an outer ring there is no area, and a ring without corners bounds none.
+    return [[r for r in rings if r] for rings in parts if rings and rings[0]]
+
+
+def _doubled_area(ring: Ring) -> float:
+    (x, y), after = ring[0], [*ring[1:], ring[0]]
+    return sum((p[0] - x) * (q[1] - y) - (q[0] - x) * (p[1] - y) for p, q in zip(ring, after, strict=True))
+
+
+def outer_ring(blob: bytes) -> Ring:
+    """One closed way around all parts of a geometry and the other way around their holes; an empty one has no corners.
+
+    A geometry of one ring is that ring. The rings of others hang on the first
+    corner by ways that are gone there and back: these bound no area, nor do their
+    pieces in a rectangle, so signed areas of the way and of its cuts are the geometry's.
+    """
+    parts = polygons(blob)
+    rings = [(r, k > 0) for part in parts for k, r in enumerate(part)]
+    if len(rings) < 2:
+        return rings[0][0] if rings else []
+    way: Ring = []
+    for ring, hole in rings:
+        turned = ring if (_doubled_area(ring) < 0) == hole else ring[::-1]
+        way += [*turned, turned[0]]
+        if len(way) > len(turned) + 1:
+            way.append(way[0])
+    return way
 
 
 class _Rows(InputPartition):

@@ -1,9 +1,12 @@
+import math
 import sqlite3
 import struct
 
 import pytest
 
 from sitewise.config import load_config
+from sitewise.operators.grid import Grid, build_grid
+from sitewise.operators.spatial import overlay
 from sitewise.plans.siting import collect, estimate, grid_of, optimise
 from sitewise.sources.geopackage import load_population, outer_ring
 
@@ -41,6 +44,45 @@ def test_geopackage(spark, package):
     assert 0 < len(some) < 20
 
 
+def polygons_blob(polygons, order="<", kind=3):
+    """Several polygons, each a list of rings; kind 1003 has heights."""
+    mark = b"\x01" if order == "<" else b"\x00"
+    height = (7.0,) if kind == 1003 else ()
+    whole = b"".join(
+        mark + struct.pack(f"{order}II", kind, len(rings))
+        + b"".join(struct.pack(f"{order}I", len(r)) + b"".join(struct.pack(f"{order}{2 + len(height)}d", *p, *height) for p in r) for r in rings)
+        for rings in polygons
+    )
+    return b"GP\x00\x01" + struct.pack("<i", 3857) + mark + struct.pack(f"{order}II", kind + 3, len(polygons)) + whole
+
+
+def box(x, y, size):
+    return [(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)]
+
+
+@pytest.mark.parametrize("order, kind, turned", [("<", 3, False), (">", 1003, True)])
+def test_all_parts_and_holes_count(spark, tmp_path, order, kind, turned):
+    grid = Grid((37.55, 55.72, 37.65, 55.78), 500)
+    cells = build_grid(spark, grid).collect()
+    radius = 6_378_137.0
+    sides = {(c["row"], c["col"]): (radius * math.radians(c["x0"]), radius * math.log(math.tan(math.pi / 4 + math.radians(c["y0"]) / 2))) for c in cells}
+    (ax, ay), (bx, by) = sides[2, 2], sides[6, 9]
+    # 300 m with a hole of 100 m in one cell and 200 m in another: 80,000 and 40,000 square metres.
+    hole = box(ax + 150, ay + 150, 100)
+    parts = [[box(ax + 50, ay + 50, 300), hole[::-1] if turned else hole], [box(bx + 20, by + 20, 200)[::-1]]]
+    path = str(tmp_path / "parts.gpkg")
+    with sqlite3.connect(path) as db:
+        db.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+        db.execute("insert into gpkg_geometry_columns values ('hexes', 'geom')")
+        db.execute("create table hexes (fid integer primary key, population real, geom blob)")
+        db.execute("insert into hexes values (1, 120.0, ?)", (polygons_blob(parts, order, kind),))
+    pieces = {(r["row"], r["col"]): r["share"] for r in overlay(load_population(spark, path), grid).collect() if r["share"] > 1e-9}
+    assert pieces == {(2, 2): pytest.approx(2 / 3), (6, 9): pytest.approx(1 / 3)}
+    # The box has the second part only.
+    cell = next(c for c in cells if (c["row"], c["col"]) == (6, 9))
+    assert load_population(spark, path, (cell["x0"], cell["y0"], cell["x1"], cell["y1"])).count() == 1
+
+
 def test_bad_geometry():
     with pytest.raises(ValueError):
         outer_ring(b"XX")
