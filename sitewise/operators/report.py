@@ -45,9 +45,10 @@ def write_geojson(cells: DataFrame, path: str) -> None:
     geojson_features(cells).select("feature").write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str, *, files: int = 1) -> None:
-    """CSV with a header in UTF-8, without rings; ``files`` files, one for a table to be read by people."""
-    df.drop("ring", "geometry").coalesce(files).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, *, files: int | None = 1) -> None:
+    """CSV with a header in UTF-8, without rings; ``files`` files, one for a table to be read by people, None for a file a task."""
+    flat = df.drop("ring", "geometry")
+    (flat if files is None else flat.coalesce(files)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_cells(cells: DataFrame, path: str) -> None:

@@ -60,7 +60,7 @@ def run_all(spark: SparkSession, config: Config, make_model: Callable[[], Model]
     pages.save_cells(cells, f"{out.processed_dir}/cells.parquet")
     estimated = durable(estimate(config, cells, make_model))
     pages.save_cells(estimated, f"{out.processed_dir}/cells_estimated.parquet")
-    pages.write_csv(estimated, f"{out.processed_dir}/cells_estimated.csv")
+    pages.write_csv(estimated, f"{out.processed_dir}/cells_estimated.csv", files=None)
     o = config.optimize
     chosen = durable(optimise(estimated, grid, budget=o.budget_clinics, min_distance_m=o.min_distance_m, equity_weight=o.weights.equity, profit_weight=o.weights.profit))
     pages.write_csv(chosen.drop("optimal"), f"{out.tables_dir}/recommendations.csv")

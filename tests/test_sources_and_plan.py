@@ -6,6 +6,7 @@ import pytest
 
 from sitewise.config import load_config
 from sitewise.operators.grid import Grid, build_grid
+from sitewise.operators.report import write_csv
 from sitewise.operators.spatial import overlay
 from sitewise.plans.siting import collect, estimate, grid_of, optimise
 from sitewise.sources.geopackage import load_population, outer_ring
@@ -107,3 +108,9 @@ def test_stages(spark, package, tmp_path):
     assert some.where("wealth_score = 5").count() == 100 and some.count() == 182
     chosen = optimise(some, grid, budget=3, min_distance_m=1000).collect()
     assert 0 < len(chosen) <= 3
+
+
+def test_cells_are_written_by_all_tasks(spark, tmp_path):
+    write_csv(spark.range(0, 100, 1, 3), str(tmp_path / "cells"), files=None)
+    assert len(list((tmp_path / "cells").glob("*.csv"))) == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "cells")).count() == 100
