@@ -1,7 +1,10 @@
-"""Shared helpers: durable intermediate results and vectorised word hashing."""
+"""Shared helpers: intermediate tables in the shared folder and vectorised word hashing."""
 
 from __future__ import annotations
 
+import contextlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,32 +13,59 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/sitewise-checkpoints"
-
 #: Text bytes hashed at once inside a task; bounds the temporary arrays.
 CHUNK_BYTES = 1 << 20
 
 
+#: Removes a query's shuffle files as soon as it has ended; what follows reads the written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one is set only where the session has none."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (tests) gets a temporary folder; on a cluster that is an error,
+    as a machine's own folder would be lost with the machine.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitewise-"))
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; executors may be lost afterwards without recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextlib.contextmanager
+def configured(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """SQL settings for one step, put back afterwards; dots are written as two underscores."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder; executors may be lost afterwards without recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with configured(spark, **{_CLEANUP.replace(".", "__"): "true"}):
+        df.write.options(**options).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder: smaller than a checkpoint, as its columns are compressed."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,24 @@
 """Line dedup by an exact set-similarity join, in built-in functions only.
 
 A line is the set of its words. Equal sets are one class, named by their first
-line in order of (document id, line number). Words are ordered by rarity: a table
-of corpus counts, by hashed word, ranks them; ties go by hash, so the order is
-total. Two sets of Jaccard similarity 0.8 share a word of their prefixes (a fifth
-of the set and one) under any one order; the join pairs classes by prefix words under a length, a
-positional and a parity-bitmap bound, and each pair is verified on the whole
-sets. A line is removed if an earlier line matches it.
+line in order of (document id, line number); class numbers follow that order.
+Words are ordered by rarity: a table of corpus counts, by hashed word, ranks
+them; ties go by hash, so the order is total. Two sets of Jaccard similarity 0.8
+share a word of their prefixes (a fifth of the set and one) under any one order;
+the join pairs classes by prefix words under a length, a positional and a
+parity-bitmap bound, and each pair is verified on the whole 64-bit hashes of all
+words. A line is removed if an earlier line matches it.
 
 A link is a pair of classes that match. ``line_links`` has them all, and the result counts
 them for each line; with the class of each line they say every pair of similar
 lines. A word in the prefixes of more than ``HOT`` classes is joined block by block of
 its classes, so no task has all of them; the links are the same for every ``HOT``.
 
-Where only the removed lines are asked for (``drop_similar_lines``), the lines of such words
+A pair is verified in the cell (a shared prefix word, or two blocks of a hot one)
+where it was found: a class's whole set goes once to each cell that needs it, not
+once to each pair.
+
+Where only the removed lines are asked for (``drop_similar_lines``), the lines of hot words
 are first held against the earliest line of each; only lines which that
 doesn't settle are joined with all earlier ones. So a large group of near copies
 costs a row a line there, not a row a pair.
@@ -23,8 +28,8 @@ Defined cases
 * null id: its lines have no place in the order; they are kept and remove nothing.
 * rows of one id and text are one document; texts of one id are ordered by their hash.
 * ties: of equal lines the first in order stays; a document's own repeats count like others'.
-* words compare lower-cased; they are held as hashes: 57 bits name a set, 31 bits verify a pair.
-* an empty table gives no rows; other columns are ignored.
+* words compare lower-cased; sets are named by 128 bits of their words' hashes.
+* an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,204 +37,251 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, durable, stored
-from sitewise.llm.quality_rules import let
+from sitewise.llm.common import configured, documents, forget, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of the table of word counts; one byte each in a broadcast row of 1.1 MiB.
-BUCKETS, PAGE = 1 << 20, 8192
+#: Buckets of the table of word counts, one small number each: 2 MB as a constant of the plan.
+BUCKETS, PAGE = 1 << 19, 8192
 #: A word in the prefixes of more classes than this is hot; also about the classes of a block.
 HOT = 512
+#: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
+CHOSEN = 1 << 16
+#: Sets of so many words have a bitmap of 256 bits, smaller ones of 64.
+WIDE = 64
+#: Tables of up to so many rows are broadcast, larger ones shuffled.
+BROADCAST = 100_000
 
-
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE), "")
-
-
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 44)
+_PLACE = ("_id", "_text", "_line")
 
 
-def rank_table(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row (_one, _ranks): for each bucket the rank, half a doubling wide, of its words' count over all documents.
-
-    An array is read at a place without a copy of the whole, which bytes aren't.
-    """
-    spark = docs.sparkSession
-    seen = docs.select(F.explode(_words(F.lower(F.col(text_col)))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = seen.unionByName(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("bigint").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
-    rank = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("tinyint")
-    pages = every.groupBy((F.col("b") / PAGE).cast("bigint").alias("p")).agg(F.sort_array(F.collect_list(F.struct("b", rank.alias("c")))).alias("x"))
-    pages = pages.select("p", F.transform("x", lambda x: x["c"]).alias("c"))
-    whole = pages.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("x"))
-    return durable(whole.select(F.lit(0).alias("_one"), F.flatten(F.transform("x", lambda x: x["c"])).alias("_ranks")))
+def _words(line: Column) -> Column:
+    """White-space separated words; a line whose only white space is blanks needs no pattern."""
+    return F.array_remove(F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
 
 
-def _keys(line: Column, ranks: Column) -> Column:
-    """The line's distinct words, rarest first, each as rank and hash in one number."""
-    def key(w: Column) -> Column:
-        def ranked(h: Column) -> Column:
-            return F.shiftleft(F.get(ranks, _bucket(h).cast("int")).cast("bigint"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+def _bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
 
-        return let(F.xxhash64(w), ranked)
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+def _constant(numbers: Column, kind: str, table: DataFrame) -> Column:
+    """A sorted array of (place, number) structs of one row as a constant; its length is set by parameters, not by the data."""
+    found = table.agg(F.array_join(F.transform(numbers, lambda x: x["v"]), ",")).collect()[0][0]
+    return F.split(F.lit(found), ",").cast(f"array<{kind}>")
 
 
-def line_sets(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _text, _line, keys) of every line that has a word; _text tells texts of one id apart.
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(place, n, _a, _b, words) of every line that has a word: the sorted hashes of its different words, and the set's name of 128 bits."""
+    named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    whole = named.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("_line", "_whole"))
+    hashes = F.sort_array(F.array_distinct(F.transform(_words(F.col("_whole")), lambda w: F.xxhash64(w))))
+    sets = whole.where(F.col("_whole").rlike(r"[^\x20\x09-\x0D]")).select(*_PLACE, hashes.alias("words"))
+    # Words repeat: a large dictionary holds a file's different hashes once.
+    return stored(
+        sets.select(*_PLACE, F.size("words").alias("n"), F.xxhash64("words").alias("_a"), F.xxhash64(F.lit(1), "words").alias("_b"), "words"),
+        **{"parquet.dictionary.page.size": str(8 << 20)},
+    )
 
-    A document's lines are keyed in one expression, so the row that holds the ranks is handed to it once a document.
-    """
-    ranked = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_whole"), F.lit(0).alias("_one")).join(F.broadcast(table), "_one")
-    keyed = ranked.select("_id", F.xxhash64("_whole").alias("_text"), F.transform(F.split(F.lower("_whole"), "\n"), lambda x: _keys(x, F.col("_ranks"))).alias("_all"))
-    return keyed.select("_id", "_text", F.posexplode("_all").alias("_line", "keys")).where(F.size("keys") > 0)
 
+def _rank_of(lines: DataFrame):
+    """The function from a word's hash to its rank: half doublings of the count of its bucket's words over all lines."""
+    def bucket(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
 
-def _need(x: Column, y: Column) -> Column:
-    """Least overlap of two sets of these sizes at a similarity of 0.8: 4/9 of their sum, rounded up."""
-    return F.floor((4 * (x + y) + 8) / 9)
+    seen = lines.select(F.explode(F.transform("words", bucket)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    every = seen.unionByName(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
+    rank = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("tinyint")
+    pages = every.groupBy((F.col("b") / PAGE).cast("int").alias("p")).agg(F.sort_array(F.collect_list(F.struct("b", rank.alias("v")))).alias("x"))
+    pages = pages.select(F.struct("p", F.array_join(F.transform("x", lambda x: x["v"]), ",").alias("v")).alias("x"))
+    ranks = _constant(F.sort_array(F.collect_list("x")), "tinyint", pages)
+    return lambda h: F.get(ranks, bucket(h)).cast("bigint")
 
 
-def _bounds(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters on a pair that shares a prefix word; a is the later line."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    length = (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-    position = 1 + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos")) >= _need(n, m) + 1
-    bitmap = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n + m - 2 * _need(n, m)
-    return length & position & bitmap
+def class_table(lines: DataFrame) -> DataFrame:
+    """A row for each different set of words: number, name, place of its first line, size, prefix words with how many of them are surely not hot, bitmap."""
+    rank = _rank_of(lines)
+    keys = F.sort_array(F.transform("words", lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
+    def parity(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(_bit(h)))
 
-def _later(a: str, b: str) -> Column:
-    """Whether a's first line comes after b's."""
-    x, y = (F.struct(*[F.col(f"{s}.{c}") for c in ("_id", "_text", "_line")]) for s in (a, b))
-    return x > y
+    def quarter(k: int) -> Column:
+        wide = parity(F.filter("words", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(3) == k))
+        return F.when(F.col("n") >= WIDE, wide).otherwise(parity(F.col("words")) if k == 0 else F.lit(0).cast("bigint")).alias(f"b{k}")
 
+    prefix = F.slice("keys", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
+    keyed = lines.select("_a", "_b", *_PLACE, "n", *map(quarter, range(4)), keys.alias("keys"))
+    # A word is at most as frequent as its bucket.
+    least_hot = int(2 * (HOT + 1).bit_length() - 2)
+    described = keyed.select(
+        "_a", "_b", *_PLACE, "n", F.size(F.filter(prefix, lambda k: F.shiftrightunsigned(k, 57) < least_hot)).alias("cold"), *(f"b{k}" for k in range(4)),
+        F.transform(prefix, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
+    )
+    row = ("n", "cold", *(f"b{k}" for k in range(4)), "prefix")
+    classes = described.groupBy("_a", "_b").agg(F.min(F.struct(*_PLACE, *row)).alias("f")).select("_a", "_b", "f.*")
+    return stored(classes.orderBy(*_PLACE).select(F.monotonically_increasing_id().alias("c"), "_a", "_b", *_PLACE, *row))
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids that are similar on their whole sets."""
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    full = stored(lines.select("set", "keys").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("keys").alias("keys")))
-    both = pairs.join(full.select(F.col("set").alias("a"), F.col("keys").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("keys").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    return both.where(5 * overlap >= 4 * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
+def _bounds(x: str, y: str) -> Column:
+    """Length, positional and bitmap filters on a pair that shares a prefix word, its first common one.
 
-def _class_tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): a row for each line with a word, and a row for each different set of words with its first line."""
-    table = rank_table(docs, text_col)
-    named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    sets = line_sets(named, table, id_col, text_col)
+    Sets of n and m words are similar if 9 times their symmetric difference is at most n + m.
+    """
+    narrow = " ^ ".join(f"{s}.b{k}" for s in (x, y) for k in range(4))
+    wide = " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(4))
+    return F.expr(f"""
+        5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)
+        and 9 * ({x}.pos + {y}.pos + abs(({x}.n - {x}.pos) - ({y}.n - {y}.pos))) <= {x}.n + {y}.n
+        and 9 * bit_count({narrow}) <= {x}.n + {y}.n
+        and ({x}.n < {WIDE} or {y}.n < {WIDE} or 9 * ({wide}) <= {x}.n + {y}.n)
+    """)
 
-    def described(keys: Column) -> Column:
-        bits = F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (k % 64).cast("int"))))
-        words = F.transform(keys, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-        return F.struct(F.size(keys).alias("n"), F.xxhash64(keys).alias("set"), words.alias("keys"), bits.alias("bits"))
 
-    lines = stored(sets.select("_id", "_text", "_line", let(F.col("keys"), described).alias("d")).select("_id", "_text", "_line", "d.*"))
-    prefix = F.slice("keys", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    first = F.min(F.struct("_id", "_text", "_line", "n", "bits", prefix.alias("prefix"))).alias("f")
-    return lines, stored(lines.groupBy("set").agg(first).select("set", "f.*"))
+def _sized(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def _postings(classes: DataFrame, *others: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, hot words with their numbers of classes): a row for each class and prefix word.
+def _postings(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of words that aren't hot, rows of hot words with the number k of their classes, hot words): a row for each class and prefix word.
 
     Sets of fewer than four words match equal ones only.
     """
-    index = classes.where("n >= 4").select("set", *others, "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    return index, stored(index.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
+    index = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", F.posexplode("prefix").alias("pos", "word"))
+    crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
+    index, hot_words = index.drop("cold"), _sized(crowded)
+    return index.join(hot_words, "word", "left_anti"), index.join(hot_words, "word"), crowded
+
+
+def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
+    """(a, b, cell): later and earlier classes that pass the filters."""
+    same = F.lit(True)
+    for name in on:
+        same &= F.col(f"x.{name}") == F.col(f"y.{name}")
+    cell = F.xxhash64(*(F.col(f"x.{name}") for name in on)).alias("cell")
+    return later.alias("x").join(earlier.alias("y"), same & (F.col("x.c") > F.col("y.c")) & _bounds("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell)
+
+
+def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs under hot words: each pair of blocks is joined on its own; a class goes to every pair that has its block."""
+    blocks, own = F.ceil(F.col("k") / HOT).cast("int"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / HOT)).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    return _pairs(later.withColumns({"i": own, "j": F.explode(every)}), earlier.withColumns({"j": own, "i": F.explode(every)}), "word", "i", "j")
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The stored pairs that are similar on their whole sets."""
+    sides = pairs.select("cell", F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = stored(sides.select("c").distinct().join(classes.select("c", "_a", *_PLACE), "c"))
+    chosen = wanted.groupBy(F.pmod("_a", F.lit(CHOSEN)).cast("int").alias("p")).agg(F.bit_or(_bit(F.shiftright("_a", 32))).alias("v"))
+    chosen = chosen.unionByName(lines.sparkSession.range(CHOSEN).select(F.col("id").cast("int").alias("p"), F.lit(0).cast("bigint").alias("v"))).groupBy("p").agg(F.bit_or("v").alias("v"))
+    bits = _constant(F.sort_array(F.collect_list(F.struct("p", "v"))), "bigint", chosen)
+    maybe = lines.where(F.get(bits, F.pmod("_a", F.lit(CHOSEN)).cast("int")).bitwiseAND(_bit(F.shiftright("_a", 32))) != 0)
+    # Repeated rows have one place.
+    sets = maybe.select(*_PLACE, "words").join(wanted.drop("_a"), list(_PLACE)).groupBy("c").agg(F.first("words").alias("words"))
+    sets = stored(sides.join(sets, "c"))
+    dealt = sets.repartition("cell").hint("shuffle_hash")
+    overlap = F.size(F.array_intersect("x.words", "y.words"))
+    n = F.size("x.words") + F.size("y.words")
+    both = (
+        pairs.repartition("cell").alias("p")
+        .join(dealt.alias("x"), (F.col("p.cell") == F.col("x.cell")) & (F.col("p.a") == F.col("x.c")))
+        .join(dealt.alias("y"), (F.col("p.cell") == F.col("y.cell")) & (F.col("p.b") == F.col("y.c")))
+    )
+    # All three are dealt by cell: the joins need no other shuffle.
+    with configured(lines.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        found = stored(both.where(9 * overlap >= 4 * n).select("a", "b"))
+    forget(wanted, sets)
+    return found
 
 
 def _all_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a > b: every pair of classes that match."""
-    index, crowded = _postings(classes)
-    cold = index.join(crowded, "word", "left_anti")
-    # Each pair of blocks is joined on its own; a class goes to every pair that has its block.
-    blocks = F.ceil(F.col("k") / HOT).cast("int")
-    hot = index.join(crowded, "word").withColumn("_own", F.pmod("set", blocks).cast("int"))
-    later = hot.withColumns({"i": F.col("_own"), "j": F.explode(F.sequence(F.lit(0), F.col("_own")))})
-    earlier = hot.withColumns({"i": F.explode(F.sequence(F.col("_own"), blocks - 1)), "j": F.col("_own")})
-    x, y = F.col("x.set"), F.col("y.set")
-    pair = F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).alias("p")
-    few = cold.alias("x").join(cold.alias("y"), (F.col("x.word") == F.col("y.word")) & (x > y) & _bounds("x", "y")).select(pair)
-    # Within a block each pair once; across two both ways round are different pairs of blocks.
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("word", "i", "j")]
-    many = later.alias("x").join(earlier.alias("y"), same[0] & same[1] & same[2] & ((F.col("x.i") > F.col("x.j")) | (x > y)) & _bounds("x", "y")).select(pair)
-    return _verified(stored(few.unionByName(many).select("p.*").distinct()), lines)
+    cold, hot, crowded = _postings(classes)
+    pairs = stored(_distinct(_pairs(cold, cold, "word").unionByName(_block_pairs(hot, hot))))
+    found = _verified(pairs, lines, classes)
+    forget(pairs, crowded)
+    return found
+
+
+def _tables(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    lines = line_table(docs, id_col, text_col)
+    return lines, class_table(lines)
 
 
 def line_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every pair of different sets of words that match, by their first lines: doc_id, line, match_doc_id, match_line; the match is earlier."""
-    lines, classes = _class_tables(docs, id_col, text_col)
-    at = F.struct("_id", "_text", "_line")
+    lines, classes = _tables(docs, id_col, text_col)
     links = _all_links(lines, classes)
+    forget(lines)
     for c in ("a", "b"):
-        links = links.join(classes.select(F.col("set").alias(c), at.alias(f"_{c}")), c)
-    late, early = F.greatest("_a", "_b"), F.least("_a", "_b")
-    return links.select(late["_id"].alias("doc_id"), late["_line"].alias("line"), early["_id"].alias("match_doc_id"), early["_line"].alias("match_line"))
+        links = links.join(classes.select(F.col("c").alias(c), F.struct("_id", "_line").alias(f"_{c}")), c)
+    return links.select(F.col("_a._id").alias("doc_id"), F.col("_a._line").alias("line"), F.col("_b._id").alias("match_doc_id"), F.col("_b._line").alias("match_line"))
 
 
 def _with_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes with _first, _links (classes that match) and _match (the first of those before it, if any)."""
-    links = stored(_all_links(lines, classes))
-    either = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    at = classes.select(F.col("set").alias("b"), F.struct("_id", "_text", "_line").alias("_at"))
-    found = either.join(at, "b").groupBy(F.col("a").alias("set")).agg(F.count(F.lit(1)).alias("_links"), F.min("_at").alias("_least"))
-    whole = classes.select("set", F.struct("_id", "_text", "_line").alias("_first")).join(found, "set", "left")
-    return whole.select("set", "_first", F.coalesce("_links", F.lit(0)).cast("bigint").alias("_links"), F.when(F.col("_least") < F.col("_first"), F.col("_least")).alias("_match"))
+    """(c, _links, _least): the classes that match each, and the first of them."""
+    links = _all_links(lines, classes)
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("e")).select("e.*")
+    found = stored(ends.groupBy("c").agg(F.count(F.lit(1)).alias("_links"), F.min("o").alias("_least")))
+    forget(links)
+    return found
 
 
 def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes with _first and _match: some class before it that matches, if any does."""
-    index, crowded = _postings(classes, "_id", "_text", "_line")
-    cold, hot = index.join(crowded, "word", "left_anti"), index.join(crowded, "word", "left_semi")
-
-    def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        on = (F.col("x.word") == F.col("y.word")) & _later("x", "y") & _bounds("x", "y")
-        return later.alias("x").join(earlier.alias("y"), on).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-
-    # The earliest line of each hot word, against all others of the word.
-    pivots = hot.groupBy("word").agg(F.min(F.struct("_id", "_text", "_line", "set", "n", "bits", "pos")).alias("f")).select("word", "f.*")
-    settled = stored(_verified(stored(joined(cold, cold).unionByName(joined(hot, pivots)).distinct()), lines))
-    left = hot.join(settled.select(F.col("a").alias("set")).distinct(), "set", "left_anti")
-    rest = stored(joined(left, hot).join(settled, ["a", "b"], "left_anti"))
-    found = settled.unionByName(_verified(rest, lines))
-    # Of a class's known earlier matches, the first.
-    named_first = found.join(classes.select(F.col("set").alias("b"), F.struct("_id", "_text", "_line").alias("_at")), "b")
-    match = named_first.groupBy(F.col("a").alias("set")).agg(F.min("_at").alias("_match"))
-    return classes.select("set", F.struct("_id", "_text", "_line").alias("_first")).join(match, "set", "left")
-
-
-def _placed(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The lines with their class's columns and _m, an earlier line that each matches, if any."""
-    match = F.when(F.struct("_id", "_text", "_line") == F.col("_first"), F.col("_match")).otherwise(F.coalesce(F.least("_match", "_first"), F.col("_first")))
-    return lines.select("_id", "_text", "_line", "n", "set").join(classes, "set").withColumn("_m", match)
+    """(c): the classes that match some class before them."""
+    cold, hot, crowded = _postings(classes)
+    # The earliest class of each hot word, against all others of the word.
+    pivots = hot.groupBy("word").agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos")).alias("f")).select("word", "f.*")
+    first = stored(_distinct(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word"))))
+    settled = _verified(first, lines, classes)
+    left = hot.join(settled.select(F.col("a").alias("c")).distinct(), "c", "left_anti")
+    rest = stored(_distinct(_block_pairs(left, hot)).join(first, ["a", "b"], "left_anti"))
+    more = _verified(rest, lines, classes)
+    found = stored(settled.unionByName(more).select(F.col("a").alias("c")).distinct())
+    forget(first, rest, settled, more, crowded)
+    return found
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line with a word: doc_id, line (from 0), n_words (distinct), class_doc_id and class_line
     (first line of the same set), n_links (other sets that match), match_doc_id and match_line (the first line
     before it that it matches, if any, as first line of its set), removed."""
-    lines, classes = _class_tables(docs, id_col, text_col)
-    return _placed(lines, _with_links(lines, classes)).select(
+    lines, classes = _tables(docs, id_col, text_col)
+    found = _with_links(lines, classes)
+    own = F.struct(*_PLACE)
+    earlier = found.where("_least < c").join(classes.select(F.col("c").alias("_least"), own.alias("_match")), "_least").select("c", "_match")
+    judged = classes.select("c", "_a", "_b", own.alias("_first")).join(found.select("c", "_links"), "c", "left").join(earlier, "c", "left").drop("c")
+    match = F.when(own == F.col("_first"), F.col("_match")).otherwise(F.coalesce("_match", F.col("_first")))
+    placed = lines.select(*_PLACE, "n", "_a", "_b").join(judged, ["_a", "_b"]).withColumn("_m", match)
+    return placed.select(
         F.col("_id").alias("doc_id"), F.col("_line").alias("line"), F.col("n").alias("n_words"),
-        F.col("_first._id").alias("class_doc_id"), F.col("_first._line").alias("class_line"), F.col("_links").alias("n_links"),
-        F.col("_m._id").alias("match_doc_id"), F.col("_m._line").alias("match_line"), F.col("_m").isNotNull().alias("removed"), F.col("_text"),
+        F.col("_first._id").alias("class_doc_id"), F.col("_first._line").alias("class_line"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.col("_m._id").alias("match_doc_id"), F.col("_m._line").alias("match_line"), F.col("_m").isNotNull().alias("removed"),
     )
 
 
 def drop_similar_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, without the lines that an earlier line matches; those left without a word go."""
-    lines, classes = _class_tables(docs, id_col, text_col)
-    bad = _placed(lines, _with_some_match(lines, classes)).where("_m is not null")
-    bad = bad.groupBy("_id", F.col("_text").alias("_text_key")).agg(F.collect_set("_line").alias("_bad"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text_key": F.xxhash64(text_col)}).join(bad, ["_id", "_text_key"], "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_bad", i)), "\n")
-    cut = keyed.withColumn("_new", F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(kept))
+    """The documents, all their columns, without the lines that an earlier line matches; those left without a word go.
+
+    The row rides in one struct, so its columns may have any names.
+    """
+    lines, classes = _tables(docs, id_col, text_col)
+    matched = _with_some_match(lines, classes)
+    judged = classes.select("c", "_a", "_b", F.struct(*_PLACE).alias("_first")).join(matched.withColumn("_again", F.lit(True)), "c", "left")
+    placed = lines.select(*_PLACE, "_a", "_b").join(judged, ["_a", "_b"])
+    bad = stored(placed.where("_again or struct(_id, _text, _line) <> _first").groupBy("_id", "_text").agg(F.collect_set("_line").alias("_bad")))
+    forget(lines, classes, matched)
+    text = F.col("_row").getField(text_col)
+    packed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_bad", i)), "\n")
+    cut = packed.join(bad, ["_id", "_text"], "left").withColumn("_new", F.when(F.col("_bad").isNull(), text).otherwise(kept))
     cut = cut.where(F.col("_bad").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.withColumn(text_col, F.col("_new")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[(F.col("_new") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).drop("_text")
+    return dedup_lines(documents(spark, sf_dir))

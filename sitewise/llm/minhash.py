@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import SPACES, documents, durable, hashed_texts, mix64
+from sitewise.llm.common import SPACES, documents, stored, hashed_texts, mix64
 
 SHINGLE = 3
 #: Per cent of the union that the intersection must reach.
@@ -221,7 +221,7 @@ def _blocking(similar: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each linked node reaches, by alternating large and small stars."""
-    edges = durable(links.select("u", "v").where("u <> v").distinct())
+    edges = stored(links.select("u", "v").where("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
         if state == before:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
@@ -263,7 +263,7 @@ def _other_links(postings: DataFrame, sets: DataFrame, roots: DataFrame, similar
         .groupBy("key", "block", "blocks").agg(F.collect_list(member).alias("a"))
     )
     kind = blocks.schema["a"].dataType.simpleString()
-    blocks = durable(blocks)
+    blocks = stored(blocks)
     inside = blocks.select("a", F.lit(None).cast(kind).alias("b"))
     left = blocks.where("blocks > 1").select("key", "block", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other > block")
     right = blocks.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("a").alias("b"))
@@ -277,20 +277,20 @@ def near_duplicates(
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = durable(texts.mapInArrow(_signing(bands, rows, shingle), "doc_id bigint, n_shingles bigint, _a bigint, _b bigint, _keys array<bigint>"))
+    signed = stored(texts.mapInArrow(_signing(bands, rows, shingle), "doc_id bigint, n_shingles bigint, _a bigint, _b bigint, _keys array<bigint>"))
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(
+    classes = stored(
         named.groupBy("_a", "_b").agg(F.min(F.struct("doc_id", "n_shingles", "_keys")).alias("c"))
         .select("_a", "_b", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("n"), F.col("c._keys").alias("_keys"))
     )
     postings = classes.select("id", "n", F.explode("_keys").alias("key"))
     crowded = postings.groupBy("key").count().where("count > 1").select("key")
-    postings = durable(postings.join(crowded, "key").distinct())
+    postings = stored(postings.join(crowded, "key").distinct())
     wanted = postings.select("id").distinct()
-    sets = durable(
+    sets = stored(
         texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_setting(shingle), "id bigint, set binary").where(F.length("set") > 0)
     )
-    links = durable(_first_links(postings, sets, similar))
+    links = stored(_first_links(postings, sets, similar))
     more = _other_links(postings, sets, components(links), similar, block)
     # Texts of one id that are in several classes make those classes one.
     same = named.join(classes.select("_a", "_b", "id"), ["_a", "_b"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, durable
+from sitewise.llm.common import documents, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES, BINS = 7, 16
@@ -114,7 +114,7 @@ def classify_quality(
     docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> DataFrame:
     """A row for each document: doc_id, evidence, host_share, path_share, score, kept."""
-    features = durable(
+    features = stored(
         docs.select(
             F.col(id_col).alias("doc_id"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(path, F.lit("")).alias("_path"),
             binned(F.coalesce(F.col(text_col), F.lit(""))).alias("_bins"),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitewise.llm.common import documents, durable
+from sitewise.llm.common import documents, stored
 
 #: Groups that one task differences, and partial partitions that one task combines.
 BLOCK_ROWS = 8192
@@ -94,7 +94,7 @@ def kk_labels(groups: DataFrame, key: str, size: str, shards: int, *, block_rows
         return pd.DataFrame({key: frame[key], size: frame[size], "_block": frame["_block"], "_part": _spread_single(frame[size].to_numpy(), shards)})
 
     kind = groups.schema[key].dataType.simpleString()
-    placed = durable(
+    placed = stored(
         groups.select(key, size, block.alias("_block")).groupBy("_block").applyInPandas(local, f"{key} {kind}, {size} bigint, _block bigint, _part bigint")
     )
     nodes = placed.groupBy("_block", "_part").agg(F.sum(size).alias("_sum"))
@@ -113,7 +113,7 @@ def kk_labels(groups: DataFrame, key: str, size: str, shards: int, *, block_rows
     maps: list[DataFrame] = []
     while blocks > 1:
         up = _blocks(blocks, fan)
-        level = durable(
+        level = stored(
             nodes.withColumn("_up", F.pmod(F.col("_block"), F.lit(up))).groupBy("_up").applyInPandas(combine, "_up bigint, _block bigint, _part bigint, _end bigint, _sum bigint")
         )
         maps.append(level.select("_block", "_part", "_up", "_end"))
@@ -131,7 +131,7 @@ def with_slots(rows: DataFrame, shard: str, order: list[Column], *, parts: int =
     those before it; the table of counts has a row a part.
     """
     part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    rows = durable(rows.withColumn("_slot_part", part))
+    rows = stored(rows.withColumn("_slot_part", part))
     counts = rows.groupBy(shard, "_slot_part").count()
     before = Window.partitionBy(shard).orderBy("_slot_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_slot_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

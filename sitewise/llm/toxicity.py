@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, durable, hash_run, mix64, runs
+from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, stored, hash_run, mix64, runs
 from sitewise.llm.language_id import fold
 
 #: At most this many labelled documents of each class are learned from, chosen by the hash of their ids.
@@ -383,7 +383,7 @@ def score_toxicity(
 ) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted, spans (offending character offsets, ends excluded)."""
     held = F.lit(False) if held_out is None else held_out
-    rows = durable(labelled_rows(docs.where(~held), labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    rows = stored(labelled_rows(docs.where(~held), labels, id_col=id_col, text_col=text_col, label_col=label_col))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
