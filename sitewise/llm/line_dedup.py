@@ -47,10 +47,13 @@ HOT = 512
 #: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
 CHOSEN = 1 << 16
 #: Sets of so many words have a bitmap of 256 bits, smaller ones of 64.
-WIDE = 64
+WIDE = 80
 #: Tables of up to so many rows are broadcast, larger ones shuffled.
 BROADCAST = 100_000
 
+#: Partitions of up to so much shuffled data are hashed in a join.
+SMALL = "64m"
+
 _PLACE = ("_id", "_text", "_line")
 
 
@@ -87,7 +90,7 @@ def _rank_of(lines: DataFrame):
     def bucket(h: Column) -> Column:
         return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
 
-    seen = lines.select(F.explode(F.transform("words", bucket)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    seen = lines.select(F.explode("words").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = seen.unionByName(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
     rank = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("tinyint")
     pages = every.groupBy((F.col("b") / PAGE).cast("int").alias("p")).agg(F.sort_array(F.collect_list(F.struct("b", rank.alias("v")))).alias("x"))
@@ -168,8 +171,10 @@ def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return _pairs(later.withColumns({"i": own, "j": F.explode(every)}), earlier.withColumns({"j": own, "i": F.explode(every)}), "word", "i", "j")
 
 
-def _distinct(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"))
+def _joined(pairs: DataFrame) -> DataFrame:
+    """The stored different pairs, each with one cell. Where all partitions of a join are small it hashes one side instead of sorting both."""
+    with configured(pairs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=SMALL):
+        return stored(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
 def _all_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a > b: every pair of classes that match."""
     cold, hot, crowded = _postings(classes)
-    pairs = stored(_distinct(_pairs(cold, cold, "word").unionByName(_block_pairs(hot, hot))))
+    pairs = _joined(_pairs(cold, cold, "word").unionByName(_block_pairs(hot, hot)))
     found = _verified(pairs, lines, classes)
     forget(pairs, crowded)
     return found
@@ -236,10 +241,10 @@ def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
     cold, hot, crowded = _postings(classes)
     # The earliest class of each hot word, against all others of the word.
     pivots = hot.groupBy("word").agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos")).alias("f")).select("word", "f.*")
-    first = stored(_distinct(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word"))))
+    first = _joined(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word")))
     settled = _verified(first, lines, classes)
     left = hot.join(settled.select(F.col("a").alias("c")).distinct(), "c", "left_anti")
-    rest = stored(_distinct(_block_pairs(left, hot)).join(first, ["a", "b"], "left_anti"))
+    rest = _joined(_block_pairs(left, hot).join(first, ["a", "b"], "left_anti"))
     more = _verified(rest, lines, classes)
     found = stored(settled.unionByName(more).select(F.col("a").alias("c")).distinct())
     forget(first, rest, settled, more, crowded)
