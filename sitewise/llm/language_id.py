@@ -2,7 +2,8 @@
 
 Tasks count the n-grams of their rows by language and Spark sums the counts; the
 log-probability matrix (learned languages x buckets) is broadcast, and texts are
-scored in numpy as sparse rows times that matrix.
+scored in numpy as sparse rows times that matrix. Languages beyond ``MOST_LANGUAGES`` have matrices of
+their own, held one after another: each scores the texts, and the best and the sum of all go on to the next.
 
 Defined cases
 * null text, or a text with no letter: ``und`` with score 0, held out or not.
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sitewise.llm.common import documents
+from sitewise.llm.common import documents, forget, stored
 
 #: Buckets that n-grams of one to three characters are hashed into.
 BUCKETS = 1 << 15
-#: The matrix has at most this many rows, so the broadcast is at most 25 MB.
+#: A matrix has at most this many rows, so a broadcast is at most 25 MB.
 MOST_LANGUAGES = 200
 #: Characters handled at once.
 PIECE = 1 << 19
@@ -90,21 +91,24 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
-def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log probabilities (buckets, languages)) from all rows given."""
+def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = MOST_LANGUAGES) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Blocks of (languages, log priors, log probabilities (buckets, languages)) from all rows given."""
     used = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs = sorted(r[0] for r in used.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    summed = used.mapInArrow(_counting, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS + 1, max(1, len(langs))))
-    table = summed.toPandas()  # at most languages x buckets rows
-    place = {x: i for i, x in enumerate(langs)}
-    counts[table["bucket"].to_numpy(np.int64), table["lang"].map(place).to_numpy(np.int64) if len(table) else []] = table["n"].to_numpy(np.float64)
-    grams = counts[:BUCKETS] + SMOOTHING
-    log_probs = np.log(grams) - np.log(grams.sum(axis=0))
-    priors = np.log(counts[BUCKETS] + 1) - np.log((counts[BUCKETS] + 1).sum())
-    return langs, priors, log_probs.astype(np.float32)
+    summed = stored(used.mapInArrow(_counting, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    texts = {r["lang"]: r["n"] for r in summed.where(F.col("bucket") == BUCKETS).select("lang", "n").collect()}  # a row a language
+    langs = sorted(texts)
+    whole = sum(texts.values()) + len(texts)
+    for at in range(0, len(langs), most):
+        block = langs[at : at + most]
+        place = {x: i for i, x in enumerate(block)}
+        counts = np.zeros((BUCKETS, len(block)))
+        table = summed.where(F.col("lang").isin(block) & (F.col("bucket") < BUCKETS)).toPandas()  # at most most x buckets rows
+        if len(table):
+            counts[table["bucket"].to_numpy(np.int64), table["lang"].map(place).to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+        grams = counts + SMOOTHING
+        log_probs = np.log(grams) - np.log(grams.sum(axis=0))
+        yield block, np.log([texts[x] + 1 for x in block]) - np.log(whole), log_probs.astype(np.float32)
+    forget(summed)
 
 
 def _scored(texts: list[str], priors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -133,21 +137,23 @@ def _scored(texts: list[str], priors: np.ndarray, matrix: np.ndarray) -> np.ndar
 
 
 def _predicting(model, kind: pa.DataType):
+    """Adds a block of languages to the best language so far, its log probability and the log of the sum of all."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, priors, matrix = model.value
         table = letter_table()
         for batch in batches:
-            pred, score = [None] * batch.num_rows, np.zeros(batch.num_rows)
-            texts = batch.column(2).to_pylist()
-            rows = [i for i, t in enumerate(texts) if t and langs and table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
-            logs = _scored([texts[i] for i in rows], priors, matrix)
+            texts, best = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            top, whole = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in (4, 5))
+            rows = [i for i, t in enumerate(texts) if t and table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
             if rows:
-                best = logs.argmax(axis=1)
-                top = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                for i, b, p in zip(rows, best, top, strict=True):
-                    pred[i], score[i] = langs[b], p
-            pred = [p or "und" for p in pred]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                logs = _scored([texts[i] for i in rows], priors, matrix)
+                own, most = logs.argmax(axis=1), logs.max(axis=1)
+                whole[rows] = np.logaddexp(whole[rows], most + np.log(np.exp(logs - most[:, None]).sum(axis=1)))
+                for i, b, x in zip(rows, own, most, strict=True):
+                    if x > top[i]:
+                        best[i], top[i] = langs[b], x
+            columns = [batch.column(0).cast(kind), batch.column(1), batch.column(2), pa.array(best, pa.string()), pa.array(top), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "text", "best", "top", "whole"])
 
     return predict
 
@@ -157,13 +163,18 @@ def fold(id_col: str, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None) -> DataFrame:
+def identify_languages(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, most: int = MOST_LANGUAGES,
+) -> DataFrame:
     """A row for each document: doc_id, held_out, lang_pred, score. Learns from the rows not held out."""
     held = F.lit(False) if held_out is None else held_out
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held), text_col=text_col, lang_col=lang_col))
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predicting(model, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
+    none = F.lit(float("-inf"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("best"), none.alias("top"), none.alias("whole"))
+    for block in fit(docs.where(~held), text_col=text_col, lang_col=lang_col, most=most):
+        model = docs.sparkSession.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(_predicting(model, to_arrow_type(kind)), rows.schema)
+    return rows.select("doc_id", "held_out", F.coalesce("best", F.lit("und")).alias("lang_pred"), F.when(F.col("best").isNull(), 0.0).otherwise(F.exp(F.col("top") - F.col("whole"))).alias("score"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,17 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sitewise.llm.common import SPACES, documents, stored, hashed_texts, mix64
+from sitewise.llm.common import SPACES, documents, forget, hashed_texts, mix64, stored
 
 SHINGLE = 3
 #: Per cent of the union that the intersection must reach.
 SIMILAR = 85
 #: A pair at the threshold shares no band with a probability of (1 - 0.85^4)^25 = 1e-8.
 BANDS, ROWS = 25, 4
+#: At most so many classes of equal texts are broadcast.
+LARGE = 10_000
 #: Shingles in a block of a bucket that is compared whole; 4 MB.
 BLOCK_SHINGLES = 500_000
 
@@ -230,7 +233,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        done, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        forget(done)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
         if state == before:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
@@ -268,7 +272,9 @@ def _other_links(postings: DataFrame, sets: DataFrame, roots: DataFrame, similar
     left = blocks.where("blocks > 1").select("key", "block", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other > block")
     right = blocks.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("a").alias("b"))
     across = left.join(right, ["key", "other"]).select("a", "b")
-    return inside.unionByName(across).mapInArrow(_blocking(similar), "u bigint, v bigint")
+    found = stored(inside.unionByName(across).mapInArrow(_blocking(similar), "u bigint, v bigint"))
+    forget(blocks)
+    return found
 
 
 def near_duplicates(
@@ -280,8 +286,8 @@ def near_duplicates(
     signed = stored(texts.mapInArrow(_signing(bands, rows, shingle), "doc_id bigint, n_shingles bigint, _a bigint, _b bigint, _keys array<bigint>"))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(
-        named.groupBy("_a", "_b").agg(F.min(F.struct("doc_id", "n_shingles", "_keys")).alias("c"))
-        .select("_a", "_b", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("n"), F.col("c._keys").alias("_keys"))
+        named.groupBy("_a", "_b").agg(F.min(F.struct("doc_id", "n_shingles", "_keys")).alias("c"), F.count(F.lit(1)).alias("m"))
+        .select("_a", "_b", "m", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("n"), F.col("c._keys").alias("_keys"))
     )
     postings = classes.select("id", "n", F.explode("_keys").alias("key"))
     crowded = postings.groupBy("key").count().where("count > 1").select("key")
@@ -293,25 +299,36 @@ def near_duplicates(
     links = stored(_first_links(postings, sets, similar))
     more = _other_links(postings, sets, components(links), similar, block)
     # Texts of one id that are in several classes make those classes one.
-    same = named.join(classes.select("_a", "_b", "id"), ["_a", "_b"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    again = same.join(classes.select(F.col("id").alias("u")), "u", "left_semi")
+    name = F.struct("_a", "_b")
+    several = named.groupBy("doc_id").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("doc_id")
+    same = named.join(several, "doc_id", "left_semi").select("doc_id", "_a", "_b").distinct().join(classes.select("_a", "_b", "id"), ["_a", "_b"])
+    again = same.select("doc_id", "id").join(same.groupBy("doc_id").agg(F.min("id").alias("least")), "doc_id").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     roots = components(links.unionByName(more).unionByName(again))
-    placed = signed.join(classes.select("_a", "_b", "id").where("n > 0"), ["_a", "_b"], "left").join(roots, "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named_roots = stored(classes.select("_a", "_b", "m", "id").join(roots, "id", "left").select("_a", "_b", "m", F.coalesce("root", "id").alias("_root")))
+    forget(classes, postings, sets, links, more)
+    # Of the classes with over a ten-thousandth of the rows there are ten thousand at most: they are broadcast, so no task has all copies of a text.
+    bound = signed.count() / LARGE
+    large = F.broadcast(named_roots.where(F.col("m") > bound).drop("m"))
+    rest = named.join(large, ["_a", "_b"], "left_anti").join(named_roots.where(F.col("m") <= bound).drop("m"), ["_a", "_b"])
+    alone = signed.where("not (n_shingles > 0 and doc_id is not null)").withColumn("_root", F.col("doc_id"))
+    placed = [x.select("doc_id", "n_shingles", F.col("_root").alias("component_id")) for x in (named.join(large, ["_a", "_b"]), rest, alone)]
+    # A class's first row names it, also where its id has other texts in classes with smaller ids.
+    return placed[0].unionByName(placed[1]).unionByName(placed[2]).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, one of each group of near duplicates; rows without an id stay."""
-    from pyspark.sql.window import Window
+    """The documents, all their columns, one of each group of near duplicates; rows without an id stay.
 
+    The row rides in one struct, so its columns may have any names.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(stay, docs[id_col].cast("bigint") == stay["doc_id"], "left_semi")
+    stay = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    packed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     # Rows of one id are one document.
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    one = Window.partitionBy("_id").orderBy("_text")
+    kept = packed.join(stay, "_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    whole = kept.unionByName(packed.where("_id is null"))
+    return whole.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

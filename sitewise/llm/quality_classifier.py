@@ -10,6 +10,7 @@ The score is the evidence added to the log odds of its path.
 Defined cases
 * null or word-less text: all measures are 0; it is scored like any other.
 * null host or path: a host or path of its own, named by the empty string.
+* a source without a path (``site``): its sections stand for paths; without a section it is one path, shrunk to its host.
 * null labels are not learned from; several labels of one document each count.
 * no labels, or one class only: the evidence is 0 and the global share is one half or that of the smoothed counts.
 * null id: scored, never labelled; repeated rows each get a row.
@@ -27,6 +28,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 MEASURES, BINS = 7, 16
 #: Naive Bayes counts measures that hang together as if apart; their sum is weighed down by this.
 TEMPER = 0.5
+#: Sites up to this number are broadcast (a few MB); beyond it each site's documents are dealt to so many tasks.
+BROADCAST_SITES, SALTS = 50_000, 64
 #: Bounds of the strength of shrinking, in documents.
 WEAKEST, STRONGEST = 1.0, 1000.0
 
@@ -110,6 +113,15 @@ def _odds(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
 
 
+def _beside(voted: DataFrame, sites: DataFrame) -> DataFrame:
+    """The documents with the figures of their sites: broadcast if those are few, else joined with each site dealt to many tasks."""
+    sites = stored(sites)
+    if sites.count() <= BROADCAST_SITES:
+        return voted.join(F.broadcast(sites), ["_host", "_path"])
+    salt = F.pmod(F.xxhash64("doc_id", "evidence"), F.lit(SALTS)).cast("int")
+    return voted.withColumn("_salt", salt).join(sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_path", "_salt"])
+
+
 def classify_quality(
     docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> DataFrame:
@@ -126,7 +138,7 @@ def classify_quality(
         F.transform("_bins", lambda b, i: F.get(table, (i * BINS + b).cast("int"))), F.lit(0.0), lambda a, x: a + x
     )
     voted = features.select("doc_id", "_host", "_path", evidence.alias("evidence")).withColumn("_vote", 1 / (1 + F.exp(-(F.col("evidence") + base))))
-    paths = voted.groupBy("_host", "_path").agg(F.sum("_vote").alias("_good"), F.count(F.lit(1)).alias("_n"))
+    paths = stored(voted.groupBy("_host", "_path").agg(F.sum("_vote").alias("_good"), F.count(F.lit(1)).alias("_n")))
     hosts = paths.groupBy("_host").agg(F.sum("_good").alias("_good"), F.sum("_n").alias("_n"))
     overall = hosts.agg((F.sum("_good") / F.sum("_n")).alias("m")).collect()[0]["m"]
     overall = 0.5 if overall is None else float(overall)
@@ -137,23 +149,30 @@ def classify_quality(
     own = F.col("_vote")
     host_share = (F.col("_host_good") - own + by_host * overall) / (F.col("_host_n") - 1 + by_host)
     path_share = (F.col("_good") - own + by_path * F.col("host_share")) / (F.col("_n") - 1 + by_path)
-    joined = voted.join(sites, ["_host", "_path"]).withColumn("host_share", host_share).withColumn("path_share", path_share)
+    joined = _beside(voted, sites).withColumn("host_share", host_share).withColumn("path_share", path_share)
     safe = F.least(F.greatest(F.col("path_share"), F.lit(1e-6)), F.lit(1 - 1e-6))
     scored = joined.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _odds(safe)))))
     six = [F.round(c, 6).alias(c) for c in ("evidence", "host_share", "path_share", "score")]
     return scored.select("doc_id", *six, (F.round("score", 6) >= 0.5).alias("kept"))
 
 
+def site(source: Column, section: Column) -> tuple[Column, Column]:
+    """(host, path) of a source ``host/path``; the documents of a source without a path are told apart by their section."""
+    at = F.instr(source, "/")
+    return F.when(at > 0, F.substring_index(source, "/", 1)).otherwise(source), F.when(at > 0, F.substring(source, at + 1, F.length(source))).otherwise(section)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    # Sites of these tables have one section for each language.
-    return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host=F.col("source"), path=F.col("lang"))
+    # Sources of these tables name no path: the section is the language.
+    host, path = site(F.col("source"), F.col("lang"))
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), host=host, path=path)
 
 
 _COUNT = "length(t) - length(translate(t, '{}', ''))"
 ORACLE_SQL = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(lang, '') AS path, coalesce(text, '') AS t FROM documents
+  SELECT doc_id, coalesce(split_part(source, '/', 1), '') AS host,
+         coalesce(CASE WHEN strpos(source, '/') > 0 THEN substr(source, strpos(source, '/') + 1) ELSE lang END, '') AS path, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c FROM d
 ), f AS (

@@ -1,13 +1,15 @@
 """Quality rules: per-text measures and cross-document line frequency, all in built-in functions.
 
-A line that stands in more than ``line_limit`` different texts of one host is
-boilerplate there and is removed; a document left with less than ``min_left_pct``
-per cent of the characters of its different lines is depleted and rejected.
+A line that stands in more than ``line_limit_pct`` per cent of the documents of its host, and in
+more than ``line_least`` of them, is boilerplate there and is removed; a document left with less
+than ``min_left_pct`` per cent of the characters of its different lines is depleted and rejected.
+The share makes the rule the same for hosts of every size; copies of a document that are
+fewer than that share of their host don't make each other's lines frequent.
 
 Defined cases
 * null or blank text: no words, so ``base_failed`` is true and ``kept`` false.
 * null host: those documents form one host of their own.
-* equal texts of one host count once, so exact copies alone never make a line frequent.
+* rows of one id are one document of their host; rows without an id are told apart by their text.
 * repeated rows (also of one id) each get their own result row.
 * other columns of the input are ignored; clashing names do no harm.
 """
@@ -19,15 +21,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents
+from sitewise.llm.common import documents, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: A line in more texts of one host than this is boilerplate.
-LINE_LIMIT = 100
+#: A line in a larger share of its host's documents, in per cent, and in more documents than the second number is boilerplate.
+LINE_LIMIT_PCT, LINE_LEAST = 10, 5
 #: A document that keeps a smaller share of its line characters is rejected.
 MIN_LEFT_PCT = 30
+#: Hosts with frequent lines up to this number are broadcast; beyond it each host's documents are dealt to so many tasks.
+BROADCAST_HOSTS, SALTS = 20_000, 64
 #: Up to this many repeated windows a linear look-up is cheaper than a sort.
 FEW = 32
 
@@ -115,55 +119,61 @@ def _host(host_col: str) -> Column:
     return F.coalesce(F.xxhash64(F.col(host_col)), F.lit(0))
 
 
-def _line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """A row for each distinct (host, text, normalised line) with the line's length.
+def _distinct_lines(text: Column) -> Column:
+    return F.array_distinct(F.transform(word_lines_of(text), normalised))
 
-    Hosts, texts and lines are 64-bit hashes here: only those cross the network.
+
+def frequent_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit_pct: int = LINE_LIMIT_PCT, line_least: int = LINE_LEAST,
+) -> DataFrame:
+    """(_host, _often): the hashes of each host's boilerplate lines, for hosts that have any.
+
+    Hosts, documents and lines are 64-bit hashes: only those cross the network, and a
+    line's documents are counted before they meet. A host has at most 100 / line_limit_pct times as
+    many such lines as its documents have lines on average.
     """
-    lines = F.array_distinct(F.transform(word_lines_of(F.col(text_col)), normalised))
-    exploded = docs.select(
-        _host(host_col).alias("_host"), F.xxhash64(text_col).alias("_key"), F.explode(lines).alias("_line")
-    ).select("_host", "_key", F.xxhash64("_line").alias("_hash"), F.length("_line").cast("bigint").alias("_chars"))
-    return exploded.groupBy("_host", "_hash", "_key").agg(F.max("_chars").alias("_chars"))
+    own = docs.select(_host(host_col).alias("_host"), F.coalesce(F.xxhash64(id_col), F.xxhash64(text_col)).alias("_doc"), F.col(text_col).alias("_text"))
+    of_host = own.groupBy("_host").agg(F.count_distinct("_doc").alias("_docs"))
+    seen = own.select("_host", "_doc", F.explode(F.transform(_distinct_lines(F.col("_text")), lambda x: F.xxhash64(x))).alias("_line")).distinct()
+    counts = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > line_least)
+    often = counts.join(of_host, "_host").where(100 * F.col("_n") > line_limit_pct * F.col("_docs"))
+    return often.groupBy("_host").agg(F.collect_list("_line").alias("_often"))
 
 
-def frequent_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
-    """(_host, _hash) of the lines that stand in more than line_limit different texts of a host."""
-    counts = _line_table(docs, text_col, host_col).groupBy("_host", "_hash").count()
-    return counts.where(F.col("count") > line_limit).select("_host", "_hash")
+def _beside(docs: DataFrame, often: DataFrame) -> DataFrame:
+    """The documents with their host's ``_often``: broadcast to them if the table is small, else joined with each host dealt to many tasks."""
+    if often.count() <= BROADCAST_HOSTS:
+        return docs.join(F.broadcast(often), "_host", "left")
+    salted = docs.withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    return salted.join(often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left").drop("_salt")
 
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_words: int = 50, max_repeat_pct: int = 50, line_limit: int = LINE_LIMIT, min_left_pct: int = MIN_LEFT_PCT,
+    min_words: int = 50, max_repeat_pct: int = 50, line_limit_pct: int = LINE_LIMIT_PCT, line_least: int = LINE_LEAST, min_left_pct: int = MIN_LEFT_PCT,
     keep_columns: bool = False,
 ) -> DataFrame:
     """A row for each document with its measures, ``base_failed`` and ``kept``.
 
     keep_columns: returns the input's own columns of the kept rows instead, their texts without frequent lines.
     """
-    lines = _line_table(docs, text_col, host_col)
-    often = frequent_lines(docs, text_col=text_col, host_col=host_col, line_limit=line_limit)
-    # A text's frequent lines are no more than its lines.
-    gone = [F.collect_set("_hash").alias("_gone")] if keep_columns else []
-    lost = lines.join(often, ["_host", "_hash"]).groupBy("_host", "_key").agg(F.sum("_chars").alias("_lost"), *gone)
-    chars = F.aggregate(
-        F.array_distinct(F.transform(word_lines_of(F.coalesce(F.col(text_col), F.lit(""))), normalised)),
-        F.lit(0).cast("bigint"), lambda a, x: a + F.length(x),
-    )
+    often = stored(frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, line_limit_pct=line_limit_pct, line_least=line_least))
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_columns else []
-    base = measures(docs, id_col, text_col, _host(host_col).alias("_host"), F.xxhash64(text_col).alias("_key"), chars.alias("_chars"), *own)
+    rows = docs.select(_host(host_col).alias("_host"), F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *own)
+
+    def left(lines: Column) -> Column:
+        gone = F.filter(lines, lambda x: F.array_contains("_often", F.xxhash64(x)))
+        return F.struct(*(F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + F.length(y)).alias(n) for x, n in ((lines, "chars"), (gone, "gone"))))
+
+    with_often = _beside(rows, often).withColumn("_often", F.coalesce("_often", F.array().cast("array<bigint>")))
+    judged = measures(with_often, "doc_id", "_text", let(_distinct_lines(F.coalesce("_text", F.lit(""))), left).alias("_lines"), "_often", "_text", *(["_row"] if keep_columns else []))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    judged = judged.withColumn("base_failed", failed)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("_lines.chars") - F.col("_lines.gone")) >= min_left_pct * F.col("_lines.chars")))
     if keep_columns:
-        base = base.where(~failed)
-    judged = base.join(lost, ["_host", "_key"], "left").withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (100 * (F.col("_chars") - F.coalesce("_lost", F.lit(0))) >= min_left_pct * F.col("_chars"))
-    )
-    if keep_columns:
-        text = F.col("_row").getField(text_col)
-        left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised(x))))
-        cut = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-        return judged.where("kept").select(*[cut.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+        lines = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_often", F.xxhash64(normalised(x))))
+        cut = F.when(F.col("_lines.gone") == 0, F.col("_text")).otherwise(F.array_join(lines, "\n"))
+        return judged.where("kept").select(*[(cut if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -187,17 +197,20 @@ WITH d AS (
 ), rep AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r
 ), lines AS (
-  SELECT DISTINCT d.host, d.text, x.line FROM d JOIN (SELECT r, unnest(nl) AS line FROM m) x USING (r)
+  SELECT r, d.host, coalesce(CAST(d.doc_id AS VARCHAR), md5(d.text)) AS doc, x.line FROM d JOIN (SELECT r, unnest(nl) AS line FROM m) x USING (r)
+), hosts AS (
+  SELECT host, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), md5(text))) AS docs FROM d GROUP BY host
 ), often AS (
-  SELECT host, line FROM lines GROUP BY host, line HAVING count(*) > {LINE_LIMIT}
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT doc) AS n FROM lines GROUP BY ALL) JOIN hosts USING (host)
+  WHERE n > {LINE_LEAST} AND 100 * n > {LINE_LIMIT_PCT} * docs
 ), lost AS (
-  SELECT host, text, sum(length(line)) AS n FROM lines JOIN often USING (host, line) GROUP BY host, text
+  SELECT r, sum(length(line)) AS n FROM lines JOIN often USING (host, line) GROUP BY r
 ), j AS (
   SELECT d.doc_id, m.n_words, m.word_chars,
          CAST(length(d.text) - length(translate(d.text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
          m.n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
          coalesce(list_sum(list_transform(m.nl, lambda x: length(x))), 0) AS chars, coalesce(lost.n, 0) AS lost
-  FROM d JOIN m USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost ON lost.host = d.host AND lost.text = d.text
+  FROM d JOIN m USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -1,14 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at ``. ! ?`` or a line end. Pieces are cut where, among the words
-near by, a sentence end comes first in the order of hashes, or, within a long
-sentence, another word does: so pieces have some ten words, and a passage inside
-a longer sentence has whole pieces of its own. From each piece on, the
-shortest run of two or more pieces with at least ``span_words`` words is hashed
-(96 bits). Runs are joined globally by their hash; whatever a run covers that
-isn't the first of its hash, in order of id and place, is removed. Repeats within
-a text are found where the text is read; only a text's first run of each hash
-crosses the network, and of most of them only the hash and the id matter.
+Sentences end at ``. ! ?`` or a line end; one of more than ``LONG`` words counts as
+several, cut inside at words that come first, in the order of hashes, among those
+near by, so that a passage within it has whole pieces of its own. From each sentence on, and
+back from each, the shortest run of two or more with at least ``span_words`` words is hashed
+(96 bits): whatever a longer repeated run covers, these cover. Runs are joined globally by their hash;
+the sentences of a run that isn't the first of its hash, in order of id and place,
+are removed. Runs are worked out once and written. Repeats within a text are found where the
+text is read; only a text's first run of each hash crosses the network.
 
 Defined cases
 * null or word-less text: no spans. A text of fewer than ``span_words`` words has none either.
@@ -29,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, hash_run, mix64, pieces, runs
+from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, forget, hash_run, mix64, pieces, runs, stored
 
 #: Words of a hashed run of sentences, at least.
 SPAN_WORDS = 14
-#: A piece is cut after the word that comes first among so many on either side.
-CLOSE = 4
+#: A sentence of more words is cut inside, after each word that comes first among so many on either side.
+LONG, CLOSE = 24, 4
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
+_MARKS = _ENDS.copy()
+_MARKS[ord("\n")] = False
 #: Odd bases of the two polynomial hashes and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -47,27 +48,32 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
-def span_table(hashes: np.ndarray, ends: np.ndarray, span_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: first word, end word, and the two hashes of each run.
+def sentence_bounds(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First words of the sentences, or pieces of long ones, and the number of words behind them. ends: whether a sentence ends after each word."""
+    n = len(hashes)
+    of = np.cumsum(np.concatenate([[0], ends[:-1]]))
+    cut = np.bincount(of)[of] > LONG
+    for d in range(1, CLOSE + 1):
+        other = of[d:] != of[:-d]
+        cut[d:] &= other | (hashes[d:] < hashes[:-d])
+        cut[:-d] &= other | (hashes[:-d] <= hashes[d:])
+    return np.concatenate([[0], np.flatnonzero((cut | ends)[:-1]) + 1, [n]])
+
 
-    ends: whether a sentence ends after each word.
-    """
+def span_table(hashes: np.ndarray, ends: np.ndarray, span_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text: first word, end word, and the two hashes of each run, by place."""
     n = len(hashes)
     none = np.empty(0, np.int64)
     if n < span_words:
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    # Sentence ends rank before other words; hashes rank among themselves.
-    rank = (hashes >> np.uint64(1)) | np.where(ends, np.uint64(0), np.uint64(1 << 63))
-    cut = np.ones(n, bool)
-    for d in range(1, CLOSE + 1):
-        cut[d:] &= rank[d:] < rank[:-d]
-        cut[:-d] &= rank[:-d] <= rank[d:]
-    firsts = np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1])
-    bounds = np.append(firsts, n)
-    # The end must leave enough words and lie two pieces on at least.
-    to = np.maximum(np.searchsorted(bounds, firsts + span_words), np.arange(len(firsts)) + 2)
-    whole = to < len(bounds)
-    a, b = firsts[whole], bounds[to[whole]]
+    bounds = sentence_bounds(hashes, ends)
+    last = len(bounds) - 1
+    at = np.arange(len(bounds))
+    to = np.maximum(np.searchsorted(bounds, bounds + span_words), at + 2)
+    back = np.minimum(np.searchsorted(bounds, bounds - span_words, "right") - 1, at - 2)
+    runs_ = np.concatenate([np.stack([at, to], 1)[to <= last], np.stack([back, at], 1)[back >= 0]])
+    code = np.unique(runs_[:, 0] * (last + 1) + runs_[:, 1])
+    a, b = bounds[code // (last + 1)], bounds[code % (last + 1)]
     out = []
     for base, inverse in zip(_BASES, _INVERSES, strict=True):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes + np.uint64(base)) * _powers(base, n - 1))])
@@ -76,7 +82,7 @@ def span_table(hashes: np.ndarray, ends: np.ndarray, span_words: int) -> tuple[n
 
 
 def _words(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: word hashes, whether a sentence ends after the word, and the words' character bounds."""
+    """Of each text: word hashes, whether a sentence ends after the word, and the words' character bounds, marks right behind a word included."""
     if len(cuts) == 2 and len(data) > CHUNK_BYTES:
         got, at = [], 0
         for p in pieces(data, NON_WORD):
@@ -89,11 +95,14 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         hashes, counts, starts, lengths = hash_run(data, cuts, NON_WORD)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     marks = np.concatenate([[0], np.cumsum(_ENDS[data])])
+    # The first byte from each place on that is no sentence mark.
+    plain = np.append(np.where(_MARKS[data], len(data), np.arange(len(data))), len(data))
+    plain = np.minimum.accumulate(plain[::-1])[::-1]
     at = 0
     for k, n in enumerate(counts):
         s, e = starts[at : at + n], starts[at : at + n] + lengths[at : at + n]
         after = np.append(s[1:], cuts[k + 1])[:n]
-        yield hashes[at : at + n], marks[after] > marks[e], chars[s] - chars[cuts[k]], chars[e] - chars[cuts[k]]
+        yield hashes[at : at + n], marks[after] > marks[e], chars[s] - chars[cuts[k]], chars[np.minimum(plain[e], cuts[k + 1])] - chars[cuts[k]]
         at += n
 
 
@@ -131,7 +140,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), _text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
     found = rows.mapInArrow(_spans(span_words), "_h bigint, _g bigint, _id bigint, _key bigint, _start bigint, _size bigint, _again boolean")
     # Key and start in one number: the row stays small.
-    placed = found.select("_h", "_g", "_id", (F.shiftleft("_key", 32) + F.col("_start")).alias("_place"), "_size", "_again")
+    placed = stored(found.select("_h", "_g", "_id", (F.shiftleft("_key", 32) + F.col("_start")).alias("_place"), "_size", "_again"))
     once = placed.where("not _again and _id is not null").drop("_again")
     first = once.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
     later = once.join(first, ["_h", "_g"]).where("_id > _first").select("_id", "_place", "_size")
@@ -140,7 +149,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     span = F.struct("start", (F.col("start") + F.col("_size")).alias("end"))
     ranges = covered.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(span)).alias("_ranges"))
-    return ranges.select("_id", "_key", merged(F.col("_ranges")).alias("spans"))
+    spans = stored(ranges.select("_id", "_key", merged(F.col("_ranges")).alias("spans")))
+    forget(placed)
+    return spans
 
 
 def merged(ranges: Column) -> Column:

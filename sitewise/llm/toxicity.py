@@ -3,9 +3,9 @@
 Labelled words come from labelled documents: a word of a toxic document is
 tagged when its form, or a start or end of it, is far commoner in toxic than in
 clean documents. The field has two tags, weights for those features and for
-their neighbours' presence, and tag transitions; each task fits it on its rows
-and the weights are averaged over tasks, round after round (iterative parameter
-mixing). Forward-backward marginals give each word's probability. A document's score
+their neighbours' presence, and tag transitions; the labelled rows are dealt by their ids to a fixed
+number of parts, each part fits it on its rows in a fixed order and the weights are averaged over parts,
+round after round (iterative parameter mixing), so scores don't depend on how the input is split. Forward-backward marginals give each word's probability. A document's score
 is a logistic function of its largest marginal, the sum of the others of weight and
 its number of words; offending spans are the runs of words over a half.
 
@@ -29,15 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, stored, hash_run, mix64, runs
+from sitewise.llm.common import CHUNK_BYTES, NON_WORD, documents, hash_run, mix64, runs, stored
 from sitewise.llm.language_id import fold
 
 #: At most this many labelled documents of each class are learned from, chosen by the hash of their ids.
 LABELLED = 20_000
-#: At most this many features have weights, so the broadcast is under 10 MB.
-FEATURES = 100_000
-#: A feature must be in so many toxic documents.
-LEAST_DOCS = 3
+#: A feature must be in so many toxic documents, and in one of so many of those learned from: no more than
+#: LEAST_SHARE times as many features as such a document has on average have weights.
+LEAST_DOCS, LEAST_SHARE = 3, 2_000
+#: Parts that the labelled rows are dealt to.
+PARTS = 32
 #: Log odds from which a word of a toxic document counts as labelled toxic, less so many standard errors.
 TAGGED, CAUTION = 2.0, 1.5
 ROUNDS = 3
@@ -205,65 +206,83 @@ def _active(features: np.ndarray, chain: np.ndarray, known: np.ndarray) -> tuple
     return on, has, in_chain[chain]
 
 
+def _plain_gradient(field: Field, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+    """Gradients of the bias and the transitions over all chains without features, whose words are all clean: they differ by length only."""
+    bias, trans = 0.0, np.zeros((2, 2))
+    sizes, counts = np.unique(lengths, return_counts=True)
+    words = np.full(int(sizes.sum()), field.w[-1])
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    for at, u in _padded(number, words, np.nan):
+        prob, pairs = field.marginals(u)
+        times = counts[number[at[:, 0]]]
+        bias -= float(times @ prob.sum(axis=1))
+        trans -= (pairs * times[:, None, None]).sum(axis=0)
+    trans[0, 0] += float(counts @ (sizes - 1))
+    return bias, trans
+
+
 def _fitting(model, odds, known):
-    """Adaptive-gradient steps over this task's rows; emits its weights with the number of words they come from."""
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adaptive-gradient steps over a part's rows; emits its weights with the number of words they come from."""
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
         features, log_odds = known.value, np.append(odds.value, -np.inf)
         field = Field(len(features))
         field.w, field.trans = model.value[0].copy(), model.value[1].copy()
         squares = [np.full(field.w.shape, 1e-3), np.full((2, 2), 1e-3)]
         n = len(features)
         words = 0
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, doc, chain, found, *_ in _words(batch.column(0)):
-                on, has, used = _active(found, chain, features)
-                # Chains without a feature teach the bias: one in eight is enough, weighed by its place alone.
-                used |= chain % 8 == 0
-                if not used.any():
-                    continue
-                near = _neighbours(has, chain)
-                tag = ((log_odds[on].max(axis=0) >= TAGGED) & (toxic[row + doc] == 1)).astype(float)
-                on, near, tag, chain = on[:, used], near[:, used], tag[used], chain[used]
-                unary = field.unary(on, near)
-                grad, grad_t = np.zeros(n + 5), np.zeros((2, 2))
-                for at, u in _padded(chain, unary, np.nan):
-                    prob, pairs = field.marginals(u)
-                    inside = at >= 0
-                    gold = np.where(inside, tag[at], 0.0)
-                    diff = (gold - prob)[inside]
-                    places = at[inside]
-                    for kind in on[:, places]:
-                        np.add.at(grad, np.where(kind < n, kind, n + 4), diff)
-                    grad[n] += near[0, places] @ diff
-                    grad[n + 1] += near[1, places] @ diff
-                    grad[n + 3] += diff.sum()
-                    grad_t -= pairs.sum(axis=0)
-                    both = inside[:, 1:]
-                    x, y = gold[:, :-1][both].astype(int), gold[:, 1:][both].astype(int)
-                    np.add.at(grad_t, (x, y), 1.0)
-                size = len(tag)
-                words += size
-                for w, g, s in ((field.w, grad[: n + 4] / size * 100 - DECAY * field.w, squares[0]), (field.trans, grad_t / size * 100 - DECAY * field.trans, squares[1])):
-                    s += g * g
-                    w += RATE * g / np.sqrt(s)
-        if words:
-            flat = np.concatenate([field.w, field.trans.ravel()]) * words
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(words)))], names=["i", "w", "n"])
+        toxic = rows.column("toxic").to_numpy()
+        for row, doc, chain, found, *_ in _words(rows.column("text").chunk(0)):
+            on, has, used = _active(found, chain, features)
+            firsts = np.flatnonzero(np.concatenate([[True], np.diff(chain) != 0]))
+            lengths = np.diff(np.append(firsts, len(chain)))
+            size = len(chain)
+            grad, grad_t = np.zeros(n + 5), np.zeros((2, 2))
+            if not used.all():
+                grad[n + 3], grad_t = _plain_gradient(field, lengths[~used[firsts]])
+            near = _neighbours(has, chain)
+            tag = ((log_odds[on].max(axis=0) >= TAGGED) & (toxic[row + doc] == 1)).astype(float)
+            on, near, tag, chain = on[:, used], near[:, used], tag[used], chain[used]
+            unary = field.unary(on, near)
+            for at, u in _padded(chain, unary, np.nan) if len(chain) else ():
+                prob, pairs = field.marginals(u)
+                inside = at >= 0
+                gold = np.where(inside, tag[at], 0.0)
+                diff = (gold - prob)[inside]
+                places = at[inside]
+                for kind in on[:, places]:
+                    grad += np.bincount(np.where(kind < n, kind, n + 4), diff, n + 5)
+                grad[n] += near[0, places] @ diff
+                grad[n + 1] += near[1, places] @ diff
+                grad[n + 3] += diff.sum()
+                grad_t -= pairs.sum(axis=0)
+                both = inside[:, 1:]
+                x, y = gold[:, :-1][both].astype(int), gold[:, 1:][both].astype(int)
+                np.add.at(grad_t, (x, y), 1.0)
+            words += size
+            for w, g, s in ((field.w, grad[: n + 4] / size * 100 - DECAY * field.w, squares[0]), (field.trans, grad_t / size * 100 - DECAY * field.trans, squares[1])):
+                s += g * g
+                w += RATE * g / np.sqrt(s)
+        flat = np.concatenate([field.w, field.trans.ravel()]) * words
+        part = np.full(len(flat), rows.column("part")[0].as_py())
+        return pa.table({"part": part, "i": np.arange(len(flat)), "w": flat, "n": np.full(len(flat), float(words))}) if words else _NO_WEIGHTS
 
     return fit
 
 
+_NO_WEIGHTS = pa.table({"part": pa.array([], pa.int64()), "i": pa.array([], pa.int64()), "w": pa.array([], pa.float64()), "n": pa.array([], pa.float64())})
+
+
 def fit(rows: DataFrame) -> tuple[np.ndarray, Field, np.ndarray] | None:
-    """(sorted feature hashes, field, score weights) from rows of (text, toxic, weight); None if a class is missing."""
+    """(sorted feature hashes, field, score weights) from rows of (text, toxic, weight, key, part); None if a class is missing."""
     context = rows.sparkSession.sparkContext
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    in_toxic = rows.where("toxic = 1").mapInArrow(_counting(None), _COUNTS).where("toxic = 1").groupBy("feature").agg(F.sum("n").alias("n"))
-    best = in_toxic.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(FEATURES).toPandas()
+    in_toxic = rows.where("toxic = 1").select("text", "toxic").mapInArrow(_counting(None), _COUNTS).where("toxic = 1").groupBy("feature").agg(F.sum("n").alias("n"))
+    best = in_toxic.where(F.col("n") >= max(LEAST_DOCS, sizes[1] / LEAST_SHARE)).select("feature").toPandas()
     known = np.sort(best["feature"].to_numpy(np.int64).view(np.uint64))
-    counted = rows.mapInArrow(_counting(known), _COUNTS).groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text", "toxic").mapInArrow(_counting(known), _COUNTS).groupBy("feature", "toxic").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((2, len(known)))
     n[counted["toxic"].to_numpy(np.int64), _lookup(counted["feature"].to_numpy(np.int64).view(np.uint64), known)] = counted["n"].to_numpy()
     odds = np.log((n[1] + 0.5) / (sizes[1] + 1)) - np.log((n[0] + 0.5) / (sizes[0] + 1))
@@ -274,12 +293,15 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, Field, np.ndarray] | None:
     shared, log_odds = context.broadcast(known), context.broadcast(odds)
     for _ in range(ROUNDS):
         model = context.broadcast((field.w, field.trans))
-        parts = rows.mapInArrow(_fitting(model, log_odds, shared), "i bigint, w double, n double")
-        mean = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+        parts = rows.groupBy("part").applyInArrow(_fitting(model, log_odds, shared), "part bigint, i bigint, w double, n double")
+        listed = F.sort_array(F.collect_list(F.struct("part", "w", "n")))  # a row a part; added up in the order of parts
+        total = parts.groupBy("i").agg(listed.alias("x")).select("i", *(F.aggregate(F.col("x")[c], F.lit(0.0), lambda a, y: a + y).alias(c) for c in "wn"))
+        mean = total.select("i", (F.col("w") / F.col("n")).alias("w")).toPandas()
         flat = np.zeros(len(field.w) + 4)
         flat[mean["i"].to_numpy(np.int64)] = mean["w"].to_numpy()
         field.w, field.trans = flat[:-4], flat[-4:].reshape(2, 2)
-    seen = rows.mapInArrow(_weighing(context.broadcast((known, field))), "toxic int, a double, b double, c double, d double").toPandas()  # 2 x LABELLED rows at most
+    seen = rows.select("text", "toxic").mapInArrow(_weighing(context.broadcast((known, field))), "toxic int, a double, b double, c double, d double").toPandas()  # 2 x LABELLED rows at most
+    seen = seen.sort_values(["toxic", *"abcd"], ignore_index=True)
     share = {r["toxic"]: r["weight"] for r in rows.groupBy("toxic").agg(F.avg("weight").alias("weight")).collect()}
     return known, field, _logistic(seen[list("abcd")].to_numpy(), seen["toxic"].to_numpy(float), seen["toxic"].map(share).to_numpy(float))
 
@@ -369,13 +391,15 @@ def _scoring(model, kind: pa.DataType):
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int = LABELLED) -> DataFrame:
-    """(text, toxic, weight) of a bounded sample of labelled documents, ``most`` of each class; weight: labelled ones that each stands for."""
+    """(text, toxic, weight, key, part) of a bounded sample of labelled documents, ``most`` of each class; weight: labelled ones that each stands for."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     sizes = known.groupBy("_toxic").count().select("_toxic", F.greatest(F.col("count") / most, F.lit(1.0)).alias("_weight"))
     chosen = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(most) for c in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).join(F.broadcast(sizes), "_toxic")  # at most 2 x most rows of an id and a label
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(sample), "_id").select("text", F.col("_toxic").alias("toxic"), F.col("_weight").alias("weight"))
+    return texts.join(F.broadcast(sample), "_id").select(
+        "text", F.col("_toxic").alias("toxic"), F.col("_weight").alias("weight"), F.xxhash64("_id").alias("key"), F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(PARTS)).cast("bigint").alias("part")
+    )
 
 
 def score_toxicity(

@@ -1,38 +1,62 @@
 """Quality rules, sharding and substring dedup."""
 
+import re
 from collections import Counter, defaultdict
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 
+from sitewise.llm.common import LOWER, NON_WORD, hash_run
 from sitewise.llm.quality_rules import quality_rules
 from sitewise.llm.sharding import differenced, kk_labels, shard_documents
-from sitewise.llm.substring_dedup import substring_dedup
+from sitewise.llm.substring_dedup import sentence_bounds, substring_dedup
 
+ASCII = str.maketrans(ascii_uppercase, ascii_lowercase)
 PROSE = " ".join(f"word{i}" for i in range(80))
 
 
 def test_boilerplate_goes_and_depleted_documents_are_rejected(corpus):
     menu = "Home About Contact Imprint and all the usual links of a page " * 9
     rows = [(k, f"{menu}\n{' '.join(f'u{k}_{i}' for i in range(20))}", "en", "site") for k in range(12)]
-    rows += [(100, f"{menu}\n" + " ".join(f"long{i}" for i in range(400)), "en", "site"), (200, menu + PROSE, "en", "other")]
-    got = {r["doc_id"]: r for r in quality_rules(corpus(*rows), line_limit=10).collect()}
-    assert not any(got[k]["kept"] for k in range(12)) and got[100]["kept"] and got[200]["kept"] is not None
-    kept = quality_rules(corpus(*rows), line_limit=10, keep_columns=True)
-    assert kept.columns == corpus((1, "x")).columns and {r["doc_id"] for r in kept.collect()} >= {100}
+    rows += [(100, f"{menu}\n" + " ".join(f"long{i}" for i in range(400)), "en", "site"), (200, f"{menu}\n" + " ".join(f"other{i}" for i in range(400)), "en", "other")]
+    got = {r["doc_id"]: r for r in quality_rules(corpus(*rows)).collect()}
+    assert not any(got[k]["kept"] for k in range(12)) and got[100]["kept"] and got[200]["kept"]
+    kept = quality_rules(corpus(*rows), keep_columns=True)
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert kept.columns == corpus((1, "x")).columns and set(texts) == {100, 200}
+    assert texts[100] == " ".join(f"long{i}" for i in range(400)) and texts[200] == rows[-1][1]
 
 
 def test_kept_texts_lose_their_frequent_lines(corpus):
     own = {k: " ".join(f"u{k}_{i}" for i in range(60)) for k in range(14)}
     rows = [(k, f"  HOME  menu{k % 2} \n{own[k]}\n\nhome menu{k % 2}\nImprint", "en", "site") for k in range(12)]
-    # Another host with the same lines has too few texts for them to be frequent.
+    # Another host with the same lines has too few documents for them to be frequent.
     rows += [(12, f"home menu0\n{own[12]}\nImprint", "en", "other"), (13, own[13], None, None)]
-    kept = {r["doc_id"]: r["text"] for r in quality_rules(corpus(*rows), line_limit=5, keep_columns=True).collect()}
+    kept = {r["doc_id"]: r["text"] for r in quality_rules(corpus(*rows), keep_columns=True).collect()}
     assert kept == {k: f"{own[k]}\n" for k in range(12)} | {12: rows[12][1], 13: own[13]}
 
 
-def test_copies_alone_make_no_line_frequent(corpus):
-    rows = [(k, PROSE, "en", "site") for k in range(30)]
-    assert all(r["kept"] for r in quality_rules(corpus(*rows), line_limit=10).collect())
+def test_line_limit_is_a_share_of_the_hosts_documents(corpus):
+    # Nine copies among a hundred documents: no line of theirs is in more than a tenth.
+    rows = [(k, PROSE, "en", "site") for k in range(9)] + [(100 + k, " ".join(f"v{k}_{i}" for i in range(60)), "en", "site") for k in range(91)]
+    assert all(r["kept"] for r in quality_rules(corpus(*rows)).collect())
+    # Eleven are: documents count, whether their texts are equal or not.
+    got = quality_rules(corpus(*rows, (200, PROSE, "en", "site"), (201, PROSE, "en", "site"))).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == {*range(9), 200, 201}
+
+
+def test_rows_of_one_id_are_one_document(corpus):
+    rows = [(1, f"menu\n{PROSE}", "en", "site")] * 12 + [(100 + k, " ".join(f"v{k}_{i}" for i in range(60)), "en", "site") for k in range(5)]
+    assert all(r["kept"] for r in quality_rules(corpus(*rows)).collect())
+
+
+def test_many_hosts_take_the_salted_join(corpus, monkeypatch):
+    import sitewise.llm.quality_rules as module
+
+    rows = [(k, f"menu line\n{' '.join(f'u{k}_{i}' for i in range(60))}", "en", f"site{k % 2}") for k in range(24)]
+    want = sorted(map(tuple, quality_rules(corpus(*rows), keep_columns=True).collect()))
+    monkeypatch.setattr(module, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, quality_rules(corpus(*rows), keep_columns=True).collect())) == want and len(want) == 24 and "menu" not in want[0][1]
 
 
 def test_rules_on_odd_rows(odd):
@@ -88,9 +112,57 @@ def test_repeated_passages_go_and_the_first_stays(corpus):
     got = {r["doc_id"]: r for r in substring_dedup(corpus(*rows), with_text=True).collect()}
     assert got[0]["n_removed"] == 0 and got[9]["n_removed"] == 0
     for k in range(1, 5):
-        # All but the ends of the passage, where sentences of each document's own join in.
-        assert 0.8 * len(passage) <= got[k]["n_removed"] <= len(passage) + 2
-        assert f"Own{k}x0" in got[k]["text"] and f"End{k}x29" in got[k]["text"]
+        assert got[k]["n_removed"] == len(passage)
+        assert "shared" not in got[k]["text"] and f"Own{k}x29 text here." in got[k]["text"] and f"End{k}x0 of it." in got[k]["text"]
+
+
+def brute_spans(rows, span_words=14):
+    """Character ranges to remove, by comparing the words of all runs themselves; only the cuts inside long sentences are the module's."""
+    def sentences(text):
+        words = [(m.group().translate(ASCII), m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        ends = [bool(re.search(r"[.!?\n]", text[e : words[i + 1][1] if i + 1 < len(words) else None])) for i, (_, _, e) in enumerate(words)]
+        data = LOWER[np.frombuffer(text.encode(), np.uint8)]
+        hashes = hash_run(data, np.array([0, len(data)]), NON_WORD)[0]
+        assert len(hashes) == len(words)
+        return words, sentence_bounds(hashes, np.array(ends, bool)).tolist() if words else [0]
+
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        words, bounds = sentences(text)
+        hit = set()
+        last = len(bounds) - 1
+        spans = set()
+        for i in range(last):
+            if fits := [j for j in range(i + 2, last + 1) if bounds[j] - bounds[i] >= span_words]:
+                spans.add((i, fits[0]))
+        for j in range(last + 1):
+            if fits := [i for i in range(j - 1) if bounds[j] - bounds[i] >= span_words]:
+                spans.add((fits[-1], j))
+        for i, j in sorted(spans):
+            a, b = bounds[i], bounds[j]
+            if seen.setdefault(tuple(w for w, _, _ in words[a:b]), (doc, a)) != (doc, a):
+                hit.add((words[a][1], words[b - 1][2] + len(re.match(r"[.!?]*", text[words[b - 1][2] :]).group())))
+        merged = []
+        for a, b in sorted(hit):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        out[doc] = [tuple(m) for m in merged]
+    return out
+
+
+def test_spans_of_the_whole_table_equal_brute_force(sample):
+    want = brute_spans([(r["doc_id"], r["text"]) for r in sample.collect()])
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in substring_dedup(sample).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_a_passage_within_long_sentences_is_found(corpus):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join(f"a{k}x{i}" for i in range(50)) + f" {passage} " + " ".join(f"b{k}x{i}" for i in range(50))) for k in range(2)]
+    got = {r["doc_id"]: r for r in substring_dedup(corpus(*rows), with_text=True).collect()}
+    assert got[0]["n_removed"] == 0 and 0.6 * len(passage) <= got[1]["n_removed"] <= len(passage)
 
 
 def test_spans_of_odd_rows(odd):
