@@ -54,7 +54,11 @@ def overlay(hexagons: DataFrame, grid: Grid) -> DataFrame:
     sides = {"_x0": mercator_x(x0), "_y0": mercator_y(y0), "_x1": mercator_x(x0 + grid.lon_step), "_y1": mercator_y(y0 + grid.lat_step)}
     boxed = edged.withColumns(sides).drop("_lats", "_lons")
     met = boxed.where((F.col("_left") < F.col("_x1")) & (F.col("_right") > F.col("_x0")) & (F.col("_low") < F.col("_y1")) & (F.col("_high") > F.col("_y0")))
-    return met.select("row", "col", "population", (clipped_area(xs, ys, *sides) / F.col("_area")).alias("share"))
+    # A polygon whose box lies in the cell is all in it: a share of exactly 1, and no clipping.
+    within = (F.col("_left") >= F.col("_x0")) & (F.col("_right") <= F.col("_x1")) & (F.col("_low") >= F.col("_y0")) & (F.col("_high") <= F.col("_y1"))
+    whole = met.where(within).select("row", "col", "population", F.lit(1.0).alias("share"))
+    parts = met.where(~within).select("row", "col", "population", (clipped_area(xs, ys, *sides) / F.col("_area")).alias("share"))
+    return whole.unionByName(parts)
 
 
 def population_per_cell(cells: DataFrame, hexagons: DataFrame, grid: Grid) -> DataFrame:
