@@ -43,7 +43,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the table of word counts, one small number each: 2 MB as a constant of the plan.
 BUCKETS, PAGE = 1 << 19, 8192
 #: A word in the prefixes of more classes than this is hot; also about the classes of a block.
-HOT = 512
+HOT = 128
 #: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
 CHOSEN = 1 << 16
 #: Sets of so many words have a bitmap of 256 bits, smaller ones of 64.

@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from sitewise.llm.line_dedup import dedup_lines, drop_similar_lines, line_links
 
 
@@ -80,7 +83,7 @@ def test_no_link_is_lost_whatever_is_hot(corpus, monkeypatch):
     pairs = linked(rows)
     assert len(pairs) > 200
     ends = [p for pair in pairs for p in pair]
-    for hot in (3, 512):
+    for hot in (3, 128):
         monkeypatch.setattr(module, "HOT", hot)
         found = [((r[0], r[1]), (r[2], r[3])) for r in line_links(corpus(*rows)).collect()]
         assert len(found) == len(pairs) and set(found) == pairs
@@ -89,3 +92,48 @@ def test_no_link_is_lost_whatever_is_hot(corpus, monkeypatch):
             assert r["n_links"] == ends.count(own)
             before = [b for a, b in pairs if a == own] + [own] * (place != own)
             assert (r["match_doc_id"], r["match_line"]) == (min(before) if before else (None, None))
+
+
+def test_words_that_agree_in_their_low_bits_stay_different(spark, corpus):
+    """Pairs of words whose hashes agree in the 31 bits that the prefixes hold: four shared words of six are no match."""
+    words = spark.range(400_000).selectExpr("concat('w', id) as w").selectExpr("w", "shiftrightunsigned(xxhash64(w), 7) & 2147483647 as b")
+    pairs = [r["ws"] for r in words.groupBy("b").agg({"w": "collect_list"}).toDF("b", "ws").where("size(ws) > 1").orderBy("b").limit(8).collect()]
+    assert len(pairs) == 8
+    rows = [row for k, (x, y, *_) in enumerate(pairs) for row in ((2 * k, f"a{k} b{k} c{k} d{k} {x}"), (2 * k + 1, f"a{k} b{k} c{k} d{k} {y}"))]
+    assert not any(found(corpus(*rows)).values()) and line_links(corpus(*rows)).count() == 0
+    assert drop_similar_lines(corpus(*rows)).count() == 16
+
+
+def test_lines_of_all_lengths_against_brute_force(corpus):
+    rng = random.Random(5)
+    rows = []
+    for k, n in enumerate([3, 4, 5, 6, 8, 10, 15, 40, 79, 80, 81, 95, 120, 300, 500] * 2):
+        base = [f"{k}w{rng.randrange(4 * n)}" for _ in range(n)]
+        for c in range(4):
+            line = [w if rng.random() > 0.07 * c else f"x{k}{rng.randrange(n)}" for w in base]
+            rows.append((100 * c + k, " ".join(line)))
+    assert found(corpus(*rows)) == brute(rows)
+    pairs = {((r[0], r[1]), (r[2], r[3])) for r in line_links(corpus(*rows)).collect()}
+    assert pairs == linked(rows) and len(pairs) > 20
+
+
+def test_dropping_removes_what_an_earlier_line_matches(corpus, monkeypatch):
+    import sitewise.llm.line_dedup as module
+
+    base = [f"common{i}" for i in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"other{k % 7}", *base[k % 20 + 1 :]]) + f"\nlone{k} a{k} b{k} c d") for k in range(40)]
+    want = brute(rows)
+    lines = {(d, i): line for d, text in rows for i, line in enumerate(text.split("\n"))}
+    for hot in (3, 128):
+        monkeypatch.setattr(module, "HOT", hot)
+        kept = {r["doc_id"]: r["text"] for r in drop_similar_lines(corpus(*rows)).collect()}
+        assert kept == {d: "\n".join(lines[d, i] for i in (0, 1) if not want[d, i]) for d, _ in rows}
+
+
+def test_columns_of_any_name_pass_through(corpus):
+    docs = corpus((1, "one two three\nunique words"), (2, "one two three"), (3, "one two three\nmore"))
+    for name in ("_id", "_new", "_bad", "_text_key", "_text", "_row", "_line", "c", "a"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    got = drop_similar_lines(docs)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {1, 3}
+    assert all(r[name] == "mine" for r in got.collect() for name in docs.columns[5:])
