@@ -48,6 +48,8 @@ class Estimate:
     temperature: float = 0
     max_retries: int = 2
     request_pause_s: float = 0.5
+    #: Calls of the model that run at once.
+    tasks: int = 8
     cache_dir: str = ""
 
 

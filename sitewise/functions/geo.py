@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 
@@ -113,6 +115,14 @@ def clipped_area(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1:
     return pd.Series(np.abs(np.where(np.arange(x.shape[1]) < n[:, None], crossed, 0.0).sum(axis=1)) / 2)
 
 
+@F.pandas_udf(T.BinaryType())
+def rectangle_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """An upright rectangle as well-known binary: a little-endian polygon of one closed ring."""
+    head = struct.pack("<BIII", 1, 3, 1, 5)
+    corners = np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1).astype("<f8")
+    return pd.Series([head + row.tobytes() for row in corners])
+
+
 def square(x: Column, y: Column, half: float) -> Column:
     """An upright square ring around a centre."""
     corners = ((-half, -half), (half, -half), (half, half), (-half, half))

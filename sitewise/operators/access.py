@@ -113,14 +113,14 @@ def before_after(cells: DataFrame, facilities: DataFrame, recommended: DataFrame
 
 
 def baseline_placement(cells: DataFrame, n: int, method: str = "population_density", *, seed: int = 0) -> DataFrame:
-    """n cells to compare with: at random (the order of a hash), or else those with most people, ties by id.
+    """n cells to compare with: at random (the order of an MD5 of id and seed), or else those with most people, ties by id.
 
     Random placement of more cells than there are is an error.
     """
     if method == "random":
         if cells.limit(n).count() < n:
             raise ValueError(f"fewer than {n} cells")
-        order = [F.xxhash64("cell_id", F.lit(seed)), F.col("cell_id")]
+        order = [F.md5(F.concat(F.col("cell_id"), F.lit(f"|{seed}"))), F.col("cell_id")]
     else:
         order = [F.desc_nulls_last("population"), F.col("cell_id")]
     return cells.orderBy(*order).limit(n).select("cell_id", "center_lon", "center_lat")

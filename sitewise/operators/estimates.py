@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise import schemas
-from sitewise.durable import durable
+from sitewise.durable import delete_folder, durable, new_folder
 from sitewise.functions.text import cache_key, prompt, reply
 
 #: A model: from a prompt to a reply.
@@ -34,7 +34,7 @@ def parsed(replies: DataFrame, *, raw: str = "raw") -> DataFrame:
     return replies.withColumn("_r", reply(F.col(raw))).select("*", "_r.*").drop("_r")
 
 
-def call_model(misses: DataFrame, make_model: Callable[[], Model], *, max_retries: int = 2, pause_s: float = 0.0, tasks: int = 1) -> DataFrame:
+def call_model(misses: DataFrame, make_model: Callable[[], Model], *, max_retries: int = 2, pause_s: float = 0.0, tasks: int = 8) -> DataFrame:
     """(key, wealth_score, area_character, confidence, error, attempts): the model's replies to the missing prompts.
 
     The model is made in the task. All prompts are asked once; those with an
@@ -77,7 +77,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def estimate_cells(
     contexts: DataFrame, make_model: Callable[[], Model], *, model_name: str, cache_path: str,
-    max_retries: int = 2, pause_s: float = 0.0, tasks: int = 1, batch: int = 10_000, strict: bool = True,
+    max_retries: int = 2, pause_s: float = 0.0, tasks: int = 8, batch: int = 10_000, strict: bool = True,
 ) -> DataFrame:
     """cell_id, wealth_score, area_character, confidence of (cell_id, context).
 
@@ -90,13 +90,16 @@ def estimate_cells(
     keyed = with_keys(contexts, model_name)
     misses = durable(cache_misses(keyed, read_cache(spark, cache_path)))
     parts = max(1, -(-misses.count() // batch))
+    # A folder a batch: each reads its own rows only.
+    folder = new_folder(spark, "misses")
+    misses.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).repartition("part").write.partitionBy("part").parquet(folder)
+    waiting = spark.read.schema("key string, prompt string, part bigint").parquet(folder)
     failed = 0
     for part in range(parts):
-        answered = call_model(
-            misses.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part), make_model, max_retries=max_retries, pause_s=pause_s, tasks=tasks
-        )
+        answered = call_model(waiting.where(F.col("part") == part), make_model, max_retries=max_retries, pause_s=pause_s, tasks=tasks)
         answered.where("error is null").select("key", "wealth_score", "area_character", "confidence").write.mode("append").parquet(cache_path)
         failed += answered.where("error is not null").count()
+    delete_folder(spark, folder)
     if failed and strict:
         raise RuntimeError(f"{failed} prompts have no valid reply after {max_retries + 1} attempts")
     cached = read_cache(spark, cache_path).dropDuplicates(["key"])

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Colours and labels of the two kinds of facility.
+from sitewise.functions.geo import rectangle_wkb
+
+# Colours and labels of the two kinds of facility, and the words of a marker.
 TYPE_COLORS = {"public": "#0F6E56", "private": "#993C1D"}
 TYPE_LABELS = {"public": "государственная", "private": "частная"}
 
+POPUP = "<b>%s</b><br>Тип: %s<br>Ценность: %.2f"
+
 
 def _by_type(table: dict[str, str], kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[kind]
@@ -17,7 +21,7 @@ def _by_type(table: dict[str, str], kind: Column) -> Column:
 def markers(recommended: DataFrame) -> DataFrame:
     """cell_id, lon, lat, color, radius, popup of each recommended place."""
     kind = F.col("facility_type")
-    popup = F.format_string("<b>%s</b><br>Тип: %s<br>Ценность: %.2f", "cell_id", _by_type(TYPE_LABELS, kind), "best_score")
+    popup = F.format_string(POPUP, "cell_id", _by_type(TYPE_LABELS, kind), "best_score")
     return recommended.select(
         "cell_id", F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"), _by_type(TYPE_COLORS, kind).alias("color"),
         (8 + 6 * F.col("best_score")).alias("radius"), popup.alias("popup"),
@@ -51,8 +55,14 @@ def write_csv(df: DataFrame, path: str, *, files: int | None = 1) -> None:
     (flat if files is None else flat.coalesce(files)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def with_geometry(cells: DataFrame) -> DataFrame:
+    """Adds ``geometry``: each cell's rectangle as well-known binary."""
+    return cells.withColumn("geometry", rectangle_wkb("x0", "y0", "x1", "y1"))
+
+
 def save_cells(cells: DataFrame, path: str) -> None:
-    cells.write.mode("overwrite").parquet(path)
+    """Parquet with each cell's edges and its rectangle as well-known binary."""
+    with_geometry(cells).write.mode("overwrite").parquet(path)
 
 
 def map_page(recommended: DataFrame, cells: DataFrame) -> DataFrame:

@@ -25,8 +25,12 @@ def mid_ranks(df: DataFrame, column: str, name: str, *, partitions: int = 64) ->
     offsets = ranged.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranks = ranged.withColumn("_below", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(offsets), "_part")
-    ranks = ranks.select(F.col("_v"), (F.col("_offset") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    ranks = durable(ranks.select(F.col("_v"), F.col("_n"), (F.col("_offset") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name)))
+    # Values with over a ten-thousandth of the rows are ten thousand at most: broadcast, so no task has all rows of one.
+    bound = (ranks.agg(F.sum("_n")).first()[0] or 0) / 10_000
+    often = F.broadcast(ranks.where(F.col("_n") > bound).drop("_n"))
+    rare = df.join(often, df[column] == often["_v"], "left_anti").join(ranks.where(F.col("_n") <= bound).drop("_n"), df[column] == F.col("_v"), "left")
+    return rare.unionByName(df.join(often, df[column] == often["_v"])).drop("_v")
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:

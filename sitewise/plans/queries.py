@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.durable import durable
+from sitewise.durable import durable, new_folder
 from sitewise.functions.text import PROMPT_HEAD, PROMPT_TAIL, cache_key, prompt
 from sitewise.operators import access, estimates, pois, report, scores, selection, spatial, stats
 from sitewise.operators.grid import build_grid, locate
@@ -49,9 +48,9 @@ def poi_exclude_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poi_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = inputs.elements(spark, sf_dir)
-    whole = pois.distinct_elements(both.where("id % 3 <> 0"), both.where("id % 2 = 0"))
-    return whole.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    # All elements, and once more the ways among them, as two overlapping requests return them.
+    every = inputs.elements(spark, sf_dir)
+    return pois.distinct_elements(every, every.where("type = 'way'")).select("type", "id")
 
 
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +94,12 @@ def _fake_model() -> estimates.Model:
 def estimate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a model that answers by the length of its prompt, over an empty cache."""
     asked = durable(cell_context(spark, sf_dir))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/estimates-{uuid.uuid4().hex}"
-    return estimates.estimate_cells(asked, _fake_model, model_name=MODEL, cache_path=folder, tasks=4)
+    return estimates.estimate_cells(asked, _fake_model, model_name=MODEL, cache_path=new_folder(spark, "estimates"), tasks=4)
 
 
 def estimates_left_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = build_grid(spark, GRID)
-    some = inputs.estimates(cells).where("cell_id < 'cell_000100'")
-    return estimates.with_estimates(cells.select("cell_id"), some)
+    return estimates.with_estimates(cells.select("cell_id"), inputs.estimates(cells).where("wealth_score is not null"))
 
 
 def estimated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +143,7 @@ def _sites(spark: SparkSession, sf_dir: str, budget: int) -> tuple[DataFrame, Da
 
 def _selected(budget: int) -> Callable[[SparkSession, str], DataFrame]:
     def site_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _sites(spark, sf_dir, budget)[1].select("cell_id", _six("center_lon"), _six("center_lat"), "facility_type", _six("best_score"))
+        return _sites(spark, sf_dir, budget)[1].select("cell_id", _six("center_lon"), _six("center_lat"), "facility_type", _six("best_score"), "optimal")
 
     return site_selection
 
@@ -156,7 +153,7 @@ def _selected(budget: int) -> Callable[[SparkSession, str], DataFrame]:
 
 def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = build_grid(spark, GRID).select(F.col("cell_id").alias("src"), F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"))
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 10")  # the destinations of this matrix
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     s = F.col("s_suppkey")
     return _rounded(access.travel_times(cells, supplier.select(s.alias("dst"), (37.55 + s / 100.0).alias("lon"), (55.72 + s / 200.0).alias("lat"))), "minutes")
 
@@ -169,11 +166,6 @@ def access_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(access.mean_access_time(inputs.siting_cells(spark, sf_dir), inputs.facilities(spark, sf_dir), GRID), "minutes")
 
 
-def _few_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One in forty of the facilities, so that new places shorten the way."""
-    return inputs.facilities(spark, sf_dir).where("osm_id % 40 = 1").select("lon", "lat")
-
-
 def baseline_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.baseline_placement(inputs.siting_cells(spark, sf_dir), 8).select("cell_id", _six("center_lon"), _six("center_lat"))
 
@@ -184,13 +176,13 @@ def baseline_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = durable(inputs.siting_cells(spark, sf_dir))
-    found = access.before_after(cells, _few_facilities(spark, sf_dir), access.baseline_placement(cells, 8), GRID)
+    found = access.before_after(cells, inputs.facilities(spark, sf_dir).select("lon", "lat"), access.baseline_placement(cells, 8), GRID)
     return found.select(_six("before"), _six("after"), _six("improvement"), (F.col("after") < F.col("before")).alias("nearer"))
 
 
 def _report(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
     cells, chosen = _sites(spark, sf_dir, budget)
-    return access.validation_report(cells, _few_facilities(spark, sf_dir), chosen, GRID)
+    return access.validation_report(cells, inputs.facilities(spark, sf_dir).select("lon", "lat"), chosen, GRID)
 
 
 def _validated(budget: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -257,7 +249,16 @@ def map_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.geojson_features(inputs.siting_cells(spark, sf_dir))
+    """The corners and properties that the outlines hold, read back from their GeoJSON."""
+    kind = "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<cell_id: string, population: bigint, existing_clinics: bigint, wealth_score: int>"
+    read = report.geojson_features(inputs.siting_cells(spark, sf_dir)).select(F.from_json("feature", kind).alias("f"))
+    corners = read.select("f.properties.*", F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"), F.posexplode(F.col("f.geometry.coordinates")[0]).alias("corner", "at"))
+    return corners.select("cell_id", "population", "existing_clinics", "wealth_score", "kind", "shape", "corner", F.round(F.col("at")[0], 6).alias("lon"), F.round(F.col("at")[1], 6).alias("lat"))
+
+
+def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangles of the cells file as well-known binary, in hex."""
+    return report.with_geometry(build_grid(spark, GRID)).select("cell_id", F.length("geometry").alias("bytes"), F.substring(F.hex("geometry"), 1, 26).alias("head"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -304,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_markers": map_markers,
     "map_legend": map_legend,
     "cell_outlines": cell_outlines,
+    "cell_geometry": cell_geometry,
 }
 
 # ------------------------------------------------------------------- oracles
@@ -340,11 +342,6 @@ _CHOSEN = _CANDIDATES + f""", ranked AS (
   SELECT ranked.* FROM ranked, triple WHERE ranked.k IN (triple.i, triple.j, triple.k)
 )"""
 
-_FEW = """, few AS (
-  SELECT lon, lat FROM fac WHERE osm_id % 40 = 1
-)"""
-
-
 def _nearest(name: str, points: str) -> str:
     return f""", {name} AS (
   SELECT cell_id, min({sql_minutes('cells.center_lon', 'cells.center_lat', 'p.lon', 'p.lat')}) AS minutes FROM cells, ({points}) p GROUP BY cell_id
@@ -355,15 +352,63 @@ def _mean(times: str) -> str:
     return f"(SELECT CASE WHEN sum(population) = 0 THEN avg(minutes) ELSE sum(minutes * population) / sum(population) END FROM siting JOIN {times} USING (cell_id))"
 
 
+#: The best choice of eight by growing sets in order of score; a set that can't reach the greedy total even with the best cells left is let go.
+_CHOSEN_8 = _CANDIDATES + f""", ranked AS (
+  SELECT *, row_number() OVER (ORDER BY best_score DESC, cell_id) AS k FROM typed WHERE best_score > 0
+), far AS (
+  SELECT a.k AS i, list(b.k) AS near FROM ranked a JOIN ranked b ON {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} < {MIN_DISTANCE_M} GROUP BY a.k
+), summed AS (
+  SELECT k, best_score, near, sum(best_score) OVER (ORDER BY k) AS upto, count(*) OVER () AS cells FROM ranked JOIN far ON far.i = k
+), greedy AS (
+  SELECT 0 AS n, CAST([] AS BIGINT[]) AS blocked, 0::DOUBLE AS value
+  UNION ALL
+  SELECT n + 1, list_concat(blocked, near), value + best_score FROM (
+    SELECT g.n, g.blocked, g.value, s.near, s.best_score, row_number() OVER (ORDER BY s.k) AS o FROM greedy g JOIN summed s ON NOT list_contains(g.blocked, s.k) WHERE g.n < 8
+  ) WHERE o = 1
+), grown AS (
+  SELECT 0 AS n, CAST([] AS BIGINT[]) AS picked, CAST([] AS BIGINT[]) AS blocked, 0::DOUBLE AS value, 0::BIGINT AS last
+  UNION ALL
+  SELECT g.n + 1, list_append(g.picked, s.k), list_concat(g.blocked, s.near), g.value + s.best_score, s.k
+  FROM grown g JOIN summed s ON s.k > g.last AND NOT list_contains(g.blocked, s.k) JOIN summed z ON z.k = least(s.k + 7 - g.n, s.cells)
+  WHERE g.n < 8 AND g.value + s.best_score + (z.upto - s.upto) >= (SELECT max(value) FROM greedy) - 1e-9
+), chosen AS (
+  SELECT ranked.* FROM ranked JOIN (SELECT unnest(picked) AS k FROM (SELECT picked FROM grown ORDER BY round(value, 11) DESC, picked LIMIT 1)) USING (k)
+)"""
+
 _DENSE = "SELECT center_lon AS lon, center_lat AS lat FROM (SELECT * FROM siting ORDER BY population DESC, cell_id LIMIT {})"
-_THREE = (
-    _CHOSEN + _FEW + _nearest("old_times", "SELECT * FROM few") + _nearest("model_times", "SELECT * FROM few UNION ALL SELECT center_lon, center_lat FROM chosen")
-    + _nearest("dense_times", "SELECT * FROM few UNION ALL " + _DENSE.format(3))
-    + f""", report AS (
+def _report_sql(chosen: str, n: int) -> str:
+    return (
+        chosen + _nearest("old_times", "SELECT lon, lat FROM fac") + _nearest("model_times", "SELECT lon, lat FROM fac UNION ALL SELECT center_lon, center_lat FROM chosen")
+        + _nearest("dense_times", "SELECT lon, lat FROM fac UNION ALL " + _DENSE.format(n))
+        + f""", report AS (
   SELECT 'model' AS scenario, {_mean('old_times')} AS before, {_mean('model_times')} AS after
   UNION ALL SELECT 'baseline_population_density', {_mean('old_times')}, {_mean('dense_times')}
 )"""
+    )
+
+
+_THREE, _EIGHT = _report_sql(_CHOSEN, 3), _report_sql(_CHOSEN_8, 8)
+_REPORT = "SELECT scenario, round(before, 6) AS before, round(after, 6) AS after, round(before - after, 6) AS improvement FROM report"
+_SITES = "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat, facility_type, round(best_score, 6) AS best_score, true AS optimal FROM chosen"
+
+#: Two-sided p of a rank correlation: with r the sine of an angle, the tail of Student's t is a ratio of integrals of cos^(n - 3), by Simpson's rule.
+_P_VALUE = """
+WITH p AS (
+  SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0
+), r AS (
+  SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM p
+), c AS (
+  SELECT corr(a, b) AS rho, count(*) AS n FROM r
+), g AS (
+  SELECT i, CASE WHEN i IN (0, 200000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 200001) t(i)
+), z AS (
+  SELECT rho, n, asin(abs(rho)) AS low, i, w FROM c, g
+), v AS (
+  SELECT rho, n, (pi() / 2 - low) * sum(w * pow(cos(low + (pi() / 2 - low) * i / 200000), n - 3)) AS tail, pi() / 2 * sum(w * pow(cos(pi() / 2 * i / 200000), n - 3)) AS whole
+  FROM z GROUP BY rho, n, low
 )
+SELECT round(rho, 6) AS rho, round(tail / whole, 6) AS p_value, n FROM v
+"""
 
 _REPLY = """
 WITH d AS (
@@ -403,7 +448,7 @@ ORACLES: dict[str, str] = {
     "poi_flatten": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
     "poi_exclude_tag": SQL + "SELECT osm_id, healthcare FROM fac WHERE healthcare IS NULL OR healthcare NOT IN ('laboratory', 'rehabilitation')",
     "poi_exclude_name": SQL + "SELECT osm_id, name FROM fac WHERE NOT regexp_matches(lower(coalesce(name, '')), 'эстет|дентал')",
-    "poi_union": SQL + "SELECT osm_type AS type, count(*) AS n FROM raw_fac WHERE osm_id % 3 <> 0 OR osm_id % 2 = 0 GROUP BY 1",
+    "poi_union": SQL + "SELECT osm_type AS type, osm_id AS id FROM raw_fac",
     "point_in_cell": SQL + "SELECT osm_id, cell_id FROM located",
     "cell_competitors": SQL + "SELECT cell_id, existing_clinics FROM siting",
     "cell_context": _CONTEXT + "SELECT cell_id, context FROM context",
@@ -412,8 +457,8 @@ ORACLES: dict[str, str] = {
     "cache_miss": _KEYS + "SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE right(cell_id, 1) IN ('0', '1', '2'))",
     "parse_response": _REPLY,
     "estimate_cells": _KEYS + "SELECT cell_id, CAST(length(prompt) % 11 AS INTEGER) AS wealth_score, 'mixed' AS area_character, 0.5::DOUBLE AS confidence FROM keyed",
-    "estimates_left_merge": SQL + "SELECT cell_id, CASE WHEN cell_id < 'cell_000100' THEN wealth_score END AS wealth_score, CASE WHEN cell_id < 'cell_000100' THEN area_character END AS area_character FROM est",
-    "estimated_count": SQL + "SELECT count(CASE WHEN cell_id < 'cell_000100' THEN wealth_score END) AS estimated, count(*) AS cells FROM est",
+    "estimates_left_merge": SQL + "SELECT cell_id, wealth_score, CASE WHEN wealth_score IS NOT NULL THEN area_character END AS area_character FROM est",
+    "estimated_count": SQL + "SELECT count(wealth_score) AS estimated, count(*) AS cells FROM est",
     "normalize_minmax": """
 WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS v FROM part), b AS (SELECT min(v) AS lo, max(v) AS hi FROM p)
 SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS same_scaled FROM p, b""",
@@ -421,19 +466,23 @@ SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS
     "candidate_filter": SQL + "SELECT cell_id, area_character FROM est WHERE coalesce(area_character, '') <> 'industrial'",
     "facility_type": _CANDIDATES + "SELECT cell_id, facility_type, round(best_score, 6) AS best_score FROM typed",
     "conflict_pairs": SQL + f"SELECT a.cell_id AS cell_a, b.cell_id AS cell_b FROM cells a JOIN cells b ON a.cell_id < b.cell_id WHERE {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} < {MIN_DISTANCE_M}",
-    "site_selection_of_3": _CHOSEN + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat, facility_type, round(best_score, 6) AS best_score FROM chosen",
+    "site_selection": _CHOSEN_8 + _SITES,
+    "site_selection_of_3": _CHOSEN + _SITES,
     "travel_time": SQL + f"""SELECT cell_id AS src, s_suppkey AS dst,
-      round({sql_minutes('center_lon', 'center_lat', '(37.55::DOUBLE + s_suppkey / 100.0::DOUBLE)', '(55.72::DOUBLE + s_suppkey / 200.0::DOUBLE)')}, 6) AS minutes FROM cells, supplier WHERE s_suppkey < 10""",
+      round({sql_minutes('center_lon', 'center_lat', '(37.55::DOUBLE + s_suppkey / 100.0::DOUBLE)', '(55.72::DOUBLE + s_suppkey / 200.0::DOUBLE)')}, 6) AS minutes FROM cells, supplier""",
     "nearest_time": SQL + _nearest("times", "SELECT lon, lat FROM fac") + "SELECT cell_id, round(minutes, 6) AS minutes FROM times",
     "access_weighted_mean": SQL + _nearest("times", "SELECT lon, lat FROM fac") + f"SELECT round({_mean('times')}, 6) AS minutes",
     "baseline_density": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting ORDER BY population DESC, cell_id LIMIT 8",
-    "before_after": SQL + _FEW + _nearest("old_times", "SELECT * FROM few") + _nearest("new_times", "SELECT * FROM few UNION ALL " + _DENSE.format(8))
+    "baseline_random": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM cells ORDER BY md5(cell_id || '|0'), cell_id LIMIT 8",
+    "before_after": SQL + _nearest("old_times", "SELECT lon, lat FROM fac") + _nearest("new_times", "SELECT lon, lat FROM fac UNION ALL " + _DENSE.format(8))
     + f"SELECT round(b, 6) AS before, round(a, 6) AS after, round(b - a, 6) AS improvement, a < b AS nearer FROM (SELECT {_mean('old_times')} AS b, {_mean('new_times')} AS a)",
-    "validation_report_of_3": _THREE + "SELECT scenario, round(before, 6) AS before, round(after, 6) AS after, round(before - after, 6) AS improvement FROM report",
+    "validation_report": _EIGHT + _REPORT,
+    "validation_report_of_3": _THREE + _REPORT,
     "validation_flags": _THREE + "SELECT m.after < m.before AS nearer, m.before - m.after >= b.before - b.after AS better_than_baseline FROM report m, report b WHERE m.scenario = 'model' AND b.scenario <> 'model'",
     "validation_bars": _THREE + """SELECT round(m.before, 6) AS before, round(m.after, 6) AS model_after, round(b.after, 6) AS baseline_after,
       round(m.before - m.after, 6) AS model_improvement, round(b.before - b.after, 6) AS baseline_improvement FROM report m, report b WHERE m.scenario = 'model' AND b.scenario <> 'model'""",
     "spearman": _PARTS,
+    "spearman_vs_price": _P_VALUE,
     "wealth_histogram": SQL + "SELECT CAST(g AS INTEGER) AS bin, count(e.wealth_score) AS n FROM range(0, 11) t(g) LEFT JOIN est e ON least(e.wealth_score, 10) = g GROUP BY g",
     "score_histogram": SQL + sql_scores("siting") + """, s AS (
   SELECT 'equity' AS score, equity AS v FROM scored UNION ALL SELECT 'profit', profit FROM scored
@@ -447,6 +496,9 @@ SELECT b.score, CAST(g AS INTEGER) AS bin, count(s.v) AS n FROM b CROSS JOIN ran
     "totals": SQL + "SELECT count(*) AS cells, CAST(sum(population) AS BIGINT) AS population, CAST(sum(existing_clinics) AS BIGINT) AS facilities, count(wealth_score) AS estimated FROM siting",
     "map_markers": _CHOSEN + """SELECT cell_id, round(center_lon, 6) AS lon, round(center_lat, 6) AS lat, CASE facility_type WHEN 'public' THEN '#0F6E56' ELSE '#993C1D' END AS color, round(8 + 6 * best_score, 6) AS radius,
       printf('<b>%s</b><br>Тип: %s<br>Ценность: %.2f', cell_id, CASE facility_type WHEN 'public' THEN 'государственная' ELSE 'частная' END, best_score) AS popup FROM chosen""",
+    "cell_outlines": SQL + """SELECT cell_id, population, existing_clinics, wealth_score, 'Feature' AS kind, 'Polygon' AS shape, CAST(corner AS INTEGER) AS corner,
+      round(CASE WHEN corner IN (1, 2) THEN x1 ELSE x0 END, 6) AS lon, round(CASE WHEN corner IN (2, 3) THEN y1 ELSE y0 END, 6) AS lat FROM siting, range(0, 5) t(corner)""",
+    "cell_geometry": SQL + "SELECT cell_id, 93 AS bytes, '01030000000100000005000000' AS head FROM cells",
     "map_legend": _CANDIDATES + """SELECT k.facility_type, k.label, k.color, count(typed.cell_id) AS n FROM (VALUES ('public', 'государственная', '#0F6E56'), ('private', 'частная', '#993C1D')) k(facility_type, label, color)
       LEFT JOIN typed USING (facility_type) GROUP BY ALL""",
 }

@@ -37,7 +37,7 @@ def estimate(config: Config, cells: DataFrame, make_model: Callable[[], Model] |
     if limit is not None:
         asked = asked.orderBy("cell_id").limit(limit)
     maker = make_model or chat_model(e.base_url, e.model, api_key_env=e.api_key_env, temperature=e.temperature)
-    found = estimate_cells(asked, maker, model_name=e.model, cache_path=e.cache_dir, max_retries=e.max_retries, pause_s=e.request_pause_s)
+    found = estimate_cells(asked, maker, model_name=e.model, cache_path=e.cache_dir, max_retries=e.max_retries, pause_s=e.request_pause_s, tasks=e.tasks)
     return with_estimates(cells, found)
 
 
@@ -63,7 +63,7 @@ def run_all(spark: SparkSession, config: Config, make_model: Callable[[], Model]
     pages.write_csv(estimated, f"{out.processed_dir}/cells_estimated.csv", files=None)
     o = config.optimize
     chosen = durable(optimise(estimated, grid, budget=o.budget_clinics, min_distance_m=o.min_distance_m, equity_weight=o.weights.equity, profit_weight=o.weights.profit))
-    pages.write_csv(chosen.drop("optimal"), f"{out.tables_dir}/recommendations.csv")
+    pages.write_csv(chosen, f"{out.tables_dir}/recommendations.csv")
     report = durable(validation_report(estimated, facilities.select("lon", "lat"), chosen, grid, baseline=config.validate.baseline))
     pages.write_csv(report, f"{out.tables_dir}/validation.csv")
     pages.write_geojson(estimated, f"{out.maps_dir}/cells.geojson")
