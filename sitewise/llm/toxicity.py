@@ -37,8 +37,8 @@ LABELLED = 20_000
 #: A feature must be in so many toxic documents, and in one of so many of those learned from: no more than
 #: LEAST_SHARE times as many features as such a document has on average have weights.
 LEAST_DOCS, LEAST_SHARE = 3, 2_000
-#: Parts that the labelled rows are dealt to.
-PARTS = 32
+#: Parts that the labelled rows are dealt to; text bytes of a gradient step; steps of a part in a round, at least: a small part goes over its rows again.
+PARTS, STEP_BYTES, LEAST_STEPS = 8, 1 << 16, 24
 #: Log odds from which a word of a toxic document counts as labelled toxic, less so many standard errors.
 TAGGED, CAUTION = 2.0, 1.5
 ROUNDS = 3
@@ -67,9 +67,9 @@ def _features(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, lengths:
     return out
 
 
-def _words(column: pa.Array) -> Iterator[tuple]:
+def _words(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Of bounded runs: first row; for each word its text, chain, feature hashes, start and length; the run's bytes, its texts' bounds, and the characters of a long text before the run."""
-    for row, rows, data, cuts in runs(column):
+    for row, rows, data, cuts in runs(column, most):
         at = chars = 0
         while at < len(data):
             end = len(data)
@@ -221,6 +221,17 @@ def _plain_gradient(field: Field, lengths: np.ndarray) -> tuple[float, np.ndarra
     return bias, trans
 
 
+def _steps(texts: pa.Array, toxic: np.ndarray, features: np.ndarray, log_odds: np.ndarray) -> Iterator[tuple]:
+    """Of bounded runs: features, neighbours, tags and chains of the words in chains with features, lengths of the other chains, number of words."""
+    for row, doc, chain, found, *_ in _words(texts, STEP_BYTES):
+        on, has, used = _active(found, chain, features)
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(chain) != 0]))
+        lengths = np.diff(np.append(firsts, len(chain)))
+        near = _neighbours(has, chain)
+        tag = ((log_odds[on].max(axis=0) >= TAGGED) & (toxic[row + doc] == 1)).astype(float)
+        yield on[:, used].astype(np.int32), near[:, used].astype(bool), tag[used].astype(bool), chain[used].astype(np.int32), lengths[~used[firsts]], len(chain)
+
+
 def _fitting(model, odds, known):
     """Adaptive-gradient steps over a part's rows; emits its weights with the number of words they come from."""
     def fit(rows: pa.Table) -> pa.Table:
@@ -230,19 +241,15 @@ def _fitting(model, odds, known):
         field.w, field.trans = model.value[0].copy(), model.value[1].copy()
         squares = [np.full(field.w.shape, 1e-3), np.full((2, 2), 1e-3)]
         n = len(features)
-        words = 0
-        toxic = rows.column("toxic").to_numpy()
-        for row, doc, chain, found, *_ in _words(rows.column("text").chunk(0)):
-            on, has, used = _active(found, chain, features)
-            firsts = np.flatnonzero(np.concatenate([[True], np.diff(chain) != 0]))
-            lengths = np.diff(np.append(firsts, len(chain)))
-            size = len(chain)
+        toxic, steps, words = rows.column("toxic").to_numpy(), 0, 0
+        # The steps' words are kept: a part is a fixed share of a bounded sample.
+        seen = list(_steps(rows.column("text").chunk(0), toxic, features, log_odds))
+        while seen and steps < max(LEAST_STEPS, len(seen)):
+            on, near, tag, chain, plain, size = seen[steps % len(seen)]
+            steps += 1
             grad, grad_t = np.zeros(n + 5), np.zeros((2, 2))
-            if not used.all():
-                grad[n + 3], grad_t = _plain_gradient(field, lengths[~used[firsts]])
-            near = _neighbours(has, chain)
-            tag = ((log_odds[on].max(axis=0) >= TAGGED) & (toxic[row + doc] == 1)).astype(float)
-            on, near, tag, chain = on[:, used], near[:, used], tag[used], chain[used]
+            if len(plain):
+                grad[n + 3], grad_t = _plain_gradient(field, plain)
             unary = field.unary(on, near)
             for at, u in _padded(chain, unary, np.nan) if len(chain) else ():
                 prob, pairs = field.marginals(u)
@@ -259,10 +266,10 @@ def _fitting(model, odds, known):
                 both = inside[:, 1:]
                 x, y = gold[:, :-1][both].astype(int), gold[:, 1:][both].astype(int)
                 np.add.at(grad_t, (x, y), 1.0)
-            words += size
             for w, g, s in ((field.w, grad[: n + 4] / size * 100 - DECAY * field.w, squares[0]), (field.trans, grad_t / size * 100 - DECAY * field.trans, squares[1])):
                 s += g * g
                 w += RATE * g / np.sqrt(s)
+        words = sum(x[-1] for x in seen)
         flat = np.concatenate([field.w, field.trans.ravel()]) * words
         part = np.full(len(flat), rows.column("part")[0].as_py())
         return pa.table({"part": part, "i": np.arange(len(flat)), "w": flat, "n": np.full(len(flat), float(words))}) if words else _NO_WEIGHTS
