@@ -1,16 +1,16 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard (the rows of one Arrow batch) becomes a sequence of word numbers. Its
+A shard (rows of one Arrow batch, at most SHARD_WORDS words or one text) becomes a sequence of
+word numbers; a word that no window has is a separator, as is the end of a text. Its
 suffix array gives the Burrows-Wheeler transform, held as a wavelet matrix; all
 benchmark windows are searched backwards at once through its ranks, occurrences
 are located by walking to sampled suffix positions, and the words they cover
-merge into removal spans. A word that no window has is a separator, and a run
-between separators that is shorter than the shortest window is left out of the
-index: neither can be part of an occurrence.
+merge into removal spans.
 
-The benchmark comes in blocks of at most BLOCK_WORDS words, broadcast one by
-one, so what a task or the driver holds of it is bounded; a shard is searched
-for each block.
+The benchmark's items are hashed, dealt to blocks of about BLOCK_WORDS words and made into
+windows by tasks. The driver takes up a block at a time and broadcasts it; the shards are searched
+for PASS_BLOCKS blocks in one pass, each in a worker of its own, and what was found is
+written before the next pass. So neither a task nor the driver holds more than a fixed number of blocks.
 
 Defined cases
 * null or word-less text: no words, not contaminated. Null items or items without words have no window.
@@ -25,21 +25,27 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from sitewise.llm.common import NON_WORD, documents, hash_run, hashed_texts, runs
+from sitewise.llm.common import NON_WORD, documents, forget, hash_run, hashed_texts, runs, stored
 
 WINDOW = 10
-#: Words of benchmark text in a block; its windows take up to 40 bytes a word.
-BLOCK_WORDS = 200_000
+#: Words of benchmark text in a block, about, and of an item's piece in it; windows take up to 40 bytes a word.
+BLOCK_WORDS, PIECE_WORDS = 200_000, 20_000
+#: Blocks searched in one pass over the documents.
+PASS_BLOCKS = 4
+#: Words of a shard.
+SHARD_WORDS = 500_000
 #: Every so many places of a shard the suffix array is kept.
 SAMPLE = 16
 
@@ -165,161 +171,218 @@ class Phrases:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
-def phrase_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """The benchmark's windows in broadcast blocks of bounded size; a block holds one window at least."""
-    block_words = max(block_words, window)
-    context = benchmark.sparkSession.sparkContext
-    blocks: list[Broadcast] = []
-    items: list[tuple[str | None, np.ndarray]] = []
-    words = 0
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col))
-    for item, text in rows.toLocalIterator():
-        hashes = np.concatenate([h for *_, h, _ in hashed_texts(pa.array([text]), NON_WORD)])
-        # A long item goes on in the next block, from the first window that this one lacks.
-        while len(hashes):
-            items.append((item, hashes[:block_words]))
-            words += len(items[-1][1])
-            hashes = hashes[block_words - window + 1 :] if len(hashes) > block_words else hashes[:0]
-            if words >= block_words:
-                blocks.append(context.broadcast(Phrases(items, window)))
-                items, words = [], 0
-    if items:
-        blocks.append(context.broadcast(Phrases(items, window)))
+def _pieces(window: int, most: int):
+    """(item, hashes): the items' words; a long item goes on in another row, from the first window that this one lacks."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = np.concatenate([h for *_, h, _ in hashed_texts(pa.array([text.as_py()]), NON_WORD)])
+                parts = []
+                while len(hashes) > most:
+                    parts.append(hashes[:most].tobytes())
+                    hashes = hashes[most - window + 1 :]
+                if len(hashes):
+                    parts.append(hashes.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.binary())], names=["item", "hashes"])
+
+    return cut
+
+
+def phrase_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, phrases): the benchmark's windows in blocks of about ``block_words`` words, a row a block, stored."""
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    pieces = stored(rows.mapInArrow(_pieces(window, max(window, min(PIECE_WORDS, block_words))), "item string, hashes binary"))
+    words = pieces.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("item", "hashes"), F.lit(max(1, -(-words // (8 * block_words)))))
+
+    def build(table: pa.Table) -> pa.Table:
+        items = [(i, np.frombuffer(h, np.uint64)) for i, h in zip(table["item"].to_pylist(), table["hashes"].to_pylist(), strict=True)]
+        return pa.table({"block": table["block"][:1], "phrases": pa.array([pickle.dumps(Phrases(items, window))], pa.binary())})
+
+    blocks = stored(pieces.withColumn("block", block).groupBy("block").applyInArrow(build, "block bigint, phrases binary"))
+    forget(pieces)
     return blocks
 
 
 # -------------------------------------------------------------------- shards
 
 
-def _long_runs(numbers: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
-    """Places of words in runs of at least ``least`` known words of one text."""
-    known = numbers > 0
-    first = known.copy()
-    first[1:] &= ~known[:-1]
-    inner = bounds[1:-1]
-    inner = inner[inner < len(known)]
-    first[inner] = known[inner]
-    last_of = np.cumsum(first) - 1
-    sizes = np.bincount(last_of[known], minlength=int(first.sum()))
-    return np.flatnonzero(known & (sizes[np.maximum(last_of, 0)] >= least)) if len(sizes) else np.empty(0, np.int64)
-
-
-def _search_shard(column: pa.Array, blocks: list[Broadcast]) -> tuple[np.ndarray, np.ndarray, list[set[str | None]]]:
-    """Of a shard's texts: word bounds, whether each word is hit, and the items found in each."""
-    counts, kept = np.zeros(len(column), np.int64), [[] for _ in blocks]
-    words = 0
-    for row, rows, hashes, n in hashed_texts(column, NON_WORD):
-        counts[row : row + rows] = n
-        if len(hashes):
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            for own, block in zip(kept, blocks, strict=True):
-                numbers = block.value.numbers(hashes)
-                places = _long_runs(numbers, bounds, int(block.value.lengths.min()))
-                own.append((words + places, numbers[places]))
-        words += len(hashes)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.zeros(words + 1, np.int32)
+def _shards(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, word bounds of its rows) of shards of at most SHARD_WORDS words, or of one text."""
+    first, hashes, counts = 0, [], []
+    for row, _, h, n in hashed_texts(column, NON_WORD):
+        if hashes and sum(map(len, hashes)) + len(h) > SHARD_WORDS:
+            yield first, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            first, hashes, counts = row, [], []
+        hashes.append(h)
+        counts.append(n)
+    if hashes:
+        yield first, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def _occurrences(hashes: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, windows) of all occurrences of the block's windows in a shard."""
+    numbers = phrases.numbers(hashes)
+    # A separator before each text and at the end.
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    spot = np.arange(len(numbers)) + text + 1
+    symbols = np.zeros(len(numbers) + len(bounds), np.int64)
+    symbols[spot] = numbers
+    index = FMIndex(symbols, len(phrases.vocabulary) + 1)
+    low, high = index.search(phrases.patterns, phrases.lengths)
+    which = np.repeat(np.arange(len(low)), high - low)
+    rows = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
+    return np.searchsorted(spot, index.locate(rows)), which
+
+
+def _search(column: pa.Array, phrases: Phrases | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str | None]]]:
+    """Of each text: number of words, the ranges of hit words, apart and in order, and the items found."""
+    counts = np.zeros(len(column), np.int64)
+    ranges: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
     found: list[set[str | None]] = [set() for _ in range(len(column))]
-    for own, block in zip(kept, blocks, strict=True):
-        places = np.concatenate([p for p, _ in own]) if own else np.empty(0, np.int64)
-        if not len(places):
+    for first, hashes, bounds in _shards(column):
+        counts[first : first + len(bounds) - 1] = np.diff(bounds)
+        if phrases is None or not len(hashes):
             continue
-        phrases: Phrases = block.value
-        numbers = np.concatenate([x for _, x in own])
-        text = np.searchsorted(bounds, places, "right")
-        gap = np.concatenate([[True], (np.diff(places) != 1) | (np.diff(text) != 0)])
-        # Laid end to end with a separator before each run.
-        spot = np.arange(len(places)) + np.cumsum(gap)
-        symbols = np.zeros(len(places) + int(gap.sum()) + 1, np.int64)
-        symbols[spot] = numbers
-        origin = np.zeros(len(symbols), np.int64)
-        origin[spot] = places
-        index = FMIndex(symbols, len(phrases.vocabulary) + 1)
-        low, high = index.search(phrases.patterns, phrases.lengths)
-        which = np.repeat(np.arange(len(low)), high - low)
-        if not len(which):
+        start, which = _occurrences(hashes, bounds, phrases)
+        if not len(start):
             continue
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
-        start = origin[index.locate(rows)]
+        edges = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(edges, start, 1)
         np.add.at(edges, start + phrases.lengths[which], -1)
+        # Hit words of neighbouring texts touch: a text's end ends a range too.
+        hit = np.cumsum(edges[:-1]) > 0
+        new = np.concatenate([[True], np.diff(hit.astype(np.int8)) != 0])
+        new[bounds[1:-1][bounds[1:-1] < len(hit)]] = True
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(hit))
+        for a, b in zip(begins[hit[begins]].tolist(), ends[hit[begins]].tolist(), strict=True):
+            row = int(np.searchsorted(bounds, a, "right")) - 1
+            ranges[first + row].append((a - int(bounds[row]), b - int(bounds[row])))
         doc = np.searchsorted(bounds, start, "right") - 1
         for d, w in np.unique(np.stack([doc, which]), axis=1).T:
-            found[d].update(phrases.items[i] for i in phrases.owner[phrases.owner_from[w] : phrases.owner_from[w + 1]])
-    return bounds, np.cumsum(edges[:-1]) > 0, found
+            found[first + d].update(phrases.items[i] for i in phrases.owner[phrases.owner_from[w] : phrases.owner_from[w + 1]])
+    return counts, ranges, found
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_HITS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _searched(batch: pa.RecordBatch, at: int, phrases: Phrases | None) -> tuple[pa.StructArray, np.ndarray, list, list]:
+    """The rows, and with what earlier blocks found: their words, hit ranges and items."""
+    rows = batch.column(0)
+    counts, ranges, found = _search(rows.field(at), phrases)
+    for i in np.flatnonzero(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)):
+        ranges[i] = _merged(ranges[i] + [(x["a"], x["b"]) for x in batch.column(1)[i].as_py()])
+        found[i].update(batch.column(2)[i].as_py())
+    return rows, counts, ranges, found
 
 
-def _hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Merged character ranges of the hit words of one text."""
+def _adding(block: Broadcast, at: int):
+    """A block that isn't the last: its hits and items join those of the blocks before."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = pickle.loads(block.value)
+        for batch in batches:
+            rows, _, ranges, found = _searched(batch, at, phrases)
+            hits = pa.array([[{"a": a, "b": b} for a, b in r] for r in ranges], _HITS)
+            yield pa.RecordBatch.from_arrays([rows, hits, pa.array([list(f) for f in found], pa.list_(pa.string()))], names=["row", "hits", "items"])
+
+    return add
+
+
+def _hit_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character ranges of ranges of words of one text."""
     data = next(runs(pa.array([text]), len(text) * 4 + 4))[2]
     _, _, starts, lengths = hash_run(data, np.array([0, len(data)]), NON_WORD)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    return list(zip(chars[starts[first]].tolist(), chars[starts[last] + lengths[last]].tolist(), strict=True))
+    return [(int(chars[starts[a]]), int(chars[starts[b - 1] + lengths[b - 1]])) for a, b in ranges]
 
 
-def _reporting(blocks: list[Broadcast], kind: pa.DataType):
+def _reporting(block: Broadcast | None, kind: pa.DataType):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block and pickle.loads(block.value)
         for batch in batches:
-            bounds, hit, found = _search_shard(batch.column(1), blocks)
-            before = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = before[bounds[1:]] - before[bounds[:-1]]
+            rows, counts, ranges, found = _searched(batch, 1, phrases)
+            n_hit = np.array([sum(b - a for a, b in r) for r in ranges], np.int64)
             ids = [sorted(i for i in f if i is not None) for f in found]
-            spans = [
-                [{"start": a, "end": b} for a, b in _hit_spans(batch.column(1)[i].as_py(), hit[bounds[i] : bounds[i + 1]])] if n_hit[i] else []
-                for i in range(batch.num_rows)
-            ]
+            texts = rows.field(1)
+            spans = [[{"start": a, "end": b} for a, b in _hit_spans(texts[i].as_py(), r)] if r else [] for i, r in enumerate(ranges)]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-            columns = [batch.column(0).cast(kind), pa.array(np.diff(bounds)), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(n_hit > 0), pa.array(spans, span)]
+            columns = [rows.field(0).cast(kind), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return report
 
 
-def _removing(blocks: list[Broadcast], schema: pa.Schema, text_col: str):
-    at = schema.names.index(text_col)
-
+def _removing(block: Broadcast | None, schema: pa.Schema, at: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block and pickle.loads(block.value)
         for batch in batches:
-            texts = batch.column(at)
-            bounds, hit, _ = _search_shard(texts, blocks)
-            before = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = before[bounds[1:]] - before[bounds[:-1]]
-            touched = np.flatnonzero(n_hit)
-            if len(touched):
-                values = texts.to_pylist()
-                for i in touched:
+            rows, counts, ranges, _ = _searched(batch, at, phrases)
+            columns = rows.flatten()
+            n_hit = np.array([sum(b - a for a, b in r) for r in ranges], np.int64)
+            if n_hit.any():
+                values = columns[at].to_pylist()
+                for i in np.flatnonzero(n_hit):
                     text, out, last = values[i], [], 0
-                    for a, b in _hit_spans(text, hit[bounds[i] : bounds[i + 1]]):
+                    for a, b in _hit_spans(text, ranges[i]):
                         out.append(text[last:a])
                         last = b
                     values[i] = "\n".join([*out, text[last:]])
-                columns = list(batch.columns)
-                columns[at] = pa.array(values, texts.type)
-                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                columns[at] = pa.array(values, columns[at].type)
+            whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             # A text that was all benchmark goes.
-            yield batch.filter(pa.array((n_hit == 0) | (n_hit < np.diff(bounds))))
+            yield whole.filter(pa.array((n_hit == 0) | (n_hit < counts)))
 
     return remove
 
 
+def _passes(rows: DataFrame, blocks: DataFrame, at: int) -> tuple[DataFrame, Broadcast | None]:
+    """The rows (a struct, whose field ``at`` is the text) searched for all blocks but the last, and the last one."""
+    context = rows.sparkSession.sparkContext
+    state = rows.withColumns({"hits": F.array().cast("array<struct<a: bigint, b: bigint>>"), "items": F.array().cast("array<string>")})
+    last: Broadcast | None = None
+    done = 0
+    for number in [r["block"] for r in blocks.select("block").orderBy("block").collect()]:
+        if last is not None:
+            state = state.mapInArrow(_adding(last, at), state.schema)
+            done += 1
+            if done % PASS_BLOCKS == 0:
+                state = stored(state)
+        last = context.broadcast(blocks.where(F.col("block") == number).first()["phrases"])
+    forget(blocks)
+    return state, last
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (characters to remove)."""
-    blocks = phrase_blocks(benchmark, id_col=item_col, window=window, block_words=block_words)
     kind = docs.schema[id_col].dataType
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _reporting(blocks, to_arrow_type(kind)),
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).alias("row"))
+    state, last = _passes(rows, phrase_blocks(benchmark, id_col=item_col, window=window, block_words=block_words), 1)
+    return state.mapInArrow(
+        _reporting(last, to_arrow_type(kind)),
         f"doc_id {kind.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start: bigint, end: bigint>>",
     )
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all their columns, with hit words cut from the texts; those left without a word go."""
-    blocks = phrase_blocks(benchmark, id_col=item_col, window=window, block_words=block_words)
-    return docs.mapInArrow(_removing(blocks, to_arrow_schema(docs.schema), text_col), docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
+    state, last = _passes(rows, phrase_blocks(benchmark, id_col=item_col, window=window, block_words=block_words), at)
+    return state.mapInArrow(_removing(last, to_arrow_schema(docs.schema), at), docs.schema)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

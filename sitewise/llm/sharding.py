@@ -29,8 +29,10 @@ from sitewise.llm.common import documents, stored
 
 #: Groups that one task differences, and partial partitions that one task combines.
 BLOCK_ROWS = 8192
-#: Parts of a shard that are numbered apart; 8 x this many counts are held in one small table.
-SLOT_PARTS = 1024
+#: Rows of a shard that are numbered together, about; parts in all up to which their counts are broadcast.
+SLOT_ROWS, BROADCAST_PARTS = 20_000, 100_000
+#: At most so many groups of equal texts are broadcast.
+LARGE = 10_000
 
 
 def differenced(sums: np.ndarray) -> np.ndarray:
@@ -124,20 +126,21 @@ def kk_labels(groups: DataFrame, key: str, size: str, shards: int, *, block_rows
     return placed.select(key, F.col("_part").cast("int").alias("shard"))
 
 
-def with_slots(rows: DataFrame, shard: str, order: list[Column], *, parts: int = SLOT_PARTS) -> DataFrame:
+def with_slots(rows: DataFrame, shard: str, order: list[Column], *, shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Adds ``slot``: gapless from 0 in each shard.
 
-    A shard's rows are numbered in ``parts`` parts apart, each from the count of
+    A shard's rows are numbered in parts of about ``slot_rows`` rows, each from the count of
     those before it; the table of counts has a row a part.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    rows = stored(rows.withColumn("_slot_part", part))
+    rows = stored(rows)
+    parts = max(1, -(-rows.count() // (slot_rows * shards)))
+    rows = rows.withColumn("_slot_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
     counts = rows.groupBy(shard, "_slot_part").count()
     before = Window.partitionBy(shard).orderBy("_slot_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_slot_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(shard, "_slot_part").orderBy(*order)
     numbered = rows.withColumn("_n", F.row_number().over(within))
-    joined = numbered.join(F.broadcast(offsets), [shard, "_slot_part"])
+    joined = numbered.join(F.broadcast(offsets) if parts * shards <= BROADCAST_PARTS else offsets, [shard, "_slot_part"])
     return joined.withColumn("slot", (F.col("_before") + F.col("_n") - 1).cast("bigint")).drop("_before", "_n", "_slot_part")
 
 
@@ -149,10 +152,13 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col(id_col).alias("doc_id"), (F.octet_length(whole) + 1).cast("bigint").alias("size"), F.crc32(whole).alias("text_crc32"),
         F.coalesce(F.md5(text), F.lit("")).alias("_key"),
     )
-    groups = rows.groupBy("_key").agg(F.sum("size").alias("_bytes"))
-    labels = kk_labels(groups, "_key", "_bytes", shards, block_rows=block_rows)
-    placed = rows.join(labels, "_key").drop("_key")
-    slotted = with_slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    groups = stored(rows.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n")))
+    labels = kk_labels(groups.drop("_n"), "_key", "_bytes", shards, block_rows=block_rows)
+    # Groups with over a ten-thousandth of the rows are ten thousand at most: broadcast, so no task has all rows of one.
+    often = groups.where(F.col("_n") > (groups.agg(F.sum("_n")).first()[0] or 0) / LARGE).select("_key")
+    large = F.broadcast(labels.join(F.broadcast(often), "_key", "left_semi"))
+    placed = rows.join(large, "_key").unionByName(rows.join(large, "_key", "left_anti").join(labels, "_key")).drop("_key")
+    slotted = with_slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards=shards)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -49,3 +49,33 @@ def test_odd_rows_and_empty_table(odd):
     assert {r["doc_id"] for r in rows} == {None, 1, 2, 3, 4, 5, 6, 7}
     assert [r["length"] for r in rows if r["doc_id"] in (1, 2, 3)] == [1, 1, 1]
     assert pack_documents(odd.limit(0), tokenizer=default_tokenizer()).count() == 0
+
+
+def brute_packed(lengths, size, most):
+    """Spots by looking through all open bins: the fullest with room takes the piece; at the bound the fullest closes."""
+    open_, out, made = [], [], 0
+    for n in lengths:
+        fits = [b for b in open_ if size - b[1] >= n]
+        if fits:
+            found = max(fits, key=lambda b: b[1])
+        else:
+            if len(open_) >= most:
+                open_.remove(max(open_, key=lambda b: b[1]))
+            found = [made, 0]
+            made += 1
+            open_.append(found)
+        out.append((n, found[1]))
+        found[1] += n
+        if found[1] == size:
+            open_.remove(found)
+    return out, made
+
+
+def test_small_bounds_on_the_whole_table_equal_brute_force(sample):
+    for most in (1, 2, 5, 40):
+        rows = pack_documents(sample, tokenizer=default_tokenizer(), open_bins=most, docs_per_packer=10**9).collect()
+        order = sorted(rows, key=lambda r: -r["length"])
+        spots, made = brute_packed([r["length"] for r in order], 2048, most)
+        # Pieces of one length may change places among themselves.
+        assert sorted(spots) == sorted((r["length"], r["offset"]) for r in rows)
+        assert len({r["sequence_id"] for r in rows}) == made

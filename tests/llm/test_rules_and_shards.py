@@ -76,6 +76,37 @@ def test_differencing_is_tighter_than_dealing():
     assert load.max() - load.min() <= 50
 
 
+def brute_differenced(sizes, k):
+    """Karmarkar-Karp by looking through all partial partitions; sets of the groups of each part."""
+    parts = [[(n, {i})] + [(0, set())] * (k - 1) for i, n in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][0] - p[-1][0])
+        x, y = parts.pop(), parts.pop()
+        parts.append(sorted(((a + b, i | j) for (a, i), (b, j) in zip(x, y[::-1])), key=lambda p: -p[0]))
+    return parts[0]
+
+
+def test_differencing_equals_brute_force():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        k = int(rng.integers(2, 9))
+        sizes = np.unique(rng.integers(1, 10**9, int(rng.integers(1, 60))))
+        sums = np.zeros((len(sizes), k), np.int64)
+        sums[:, 0] = sizes
+        place = differenced(sums)[:, 0]
+        want = {frozenset(g) for _, g in brute_differenced(sizes.tolist(), k) if g}
+        assert {frozenset(np.flatnonzero(place == p).tolist()) for p in set(place.tolist())} == want
+
+
+def test_two_shards_of_few_groups_are_near_the_optimum():
+    sizes = np.array([801, 700, 655, 602, 520, 440, 333, 210, 120, 77])
+    sums = np.zeros((10, 2), np.int64)
+    sums[:, 0] = sizes
+    place = differenced(sums)[:, 0]
+    best = min(abs(int(sizes.sum()) - 2 * sum(int(s) for i, s in enumerate(sizes) if code >> i & 1)) for code in range(1 << 10))
+    assert abs(int(sizes[place == 0].sum()) - int(sizes[place == 1].sum())) <= best + 77
+
+
 def test_shards_keep_groups_whole_and_bytes_even(spark, sample):
     rows = shard_documents(sample).collect()
     texts = {r["doc_id"]: r["text"] for r in sample.collect()}
