@@ -1,7 +1,15 @@
 """A training-corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes what its predecessor wrote, acts on all of it and returns the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``; the last returns the packed pieces. What a stage wrote is
+removed when its successor has been written.
+
+Defined cases
+* null text: no words; the quality rules reject it. Stages by themselves keep such rows, but for packing, where it is a piece of just the end id.
+* null id: its lines remove nothing and stay, it is nobody's near copy; packed like others.
+* rows of one id: one document to near-dedup, which keeps one of them.
+* empty and very long texts, ties, clashing column names: see the operators; rows ride in one struct.
+* an empty table: every stage returns an empty table.
 """
 
 from __future__ import annotations
@@ -10,6 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitewise.durable import delete_folder
 from sitewise.llm.common import documents, shared_folder
 from sitewise.llm.decontamination import remove_contamination
 from sitewise.llm.line_dedup import drop_similar_lines
@@ -63,6 +72,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{k}")
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
     return docs
