@@ -19,7 +19,7 @@ where it was found: a class's whole set goes once to each cell that needs it, no
 once to each pair.
 
 Where only the removed lines are asked for (``drop_similar_lines``), the lines of hot words
-are first held against the earliest line of each; only lines which that
+are first held against a few of the earliest lines of each; only lines which that
 doesn't settle are joined with all earlier ones. So a large group of near copies
 costs a row a line there, not a row a pair.
 
@@ -38,12 +38,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm.common import configured, documents, forget, stored
+from sitewise.llm.quality_rules import let
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of the table of word counts, one small number each: 2 MB as a constant of the plan.
+#: Buckets of the table of word counts, one byte each: half a MB.
 BUCKETS, PAGE = 1 << 19, 8192
 #: A word in the prefixes of more classes than this is hot; also about the classes of a block.
 HOT = 128
+#: Classes of a hot word that all others of the word are first held against.
+PIVOTS = 3
 #: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
 CHOSEN = 1 << 16
 #: Sets of so many words have a bitmap of 256 bits, smaller ones of 64.
@@ -66,12 +69,6 @@ def _bit(x: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
 
 
-def _constant(numbers: Column, kind: str, table: DataFrame) -> Column:
-    """A sorted array of (place, number) structs of one row as a constant; its length is set by parameters, not by the data."""
-    found = table.agg(F.array_join(F.transform(numbers, lambda x: x["v"]), ",")).collect()[0][0]
-    return F.split(F.lit(found), ",").cast(f"array<{kind}>")
-
-
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(place, n, _a, _b, words) of every line that has a word: the sorted hashes of its different words, and the set's name of 128 bits."""
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -85,24 +82,30 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _rank_of(lines: DataFrame):
-    """The function from a word's hash to its rank: half doublings of the count of its bucket's words over all lines."""
-    def bucket(h: Column) -> Column:
-        return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
+
 
-    seen = lines.select(F.explode("words").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def rank_table(lines: DataFrame) -> DataFrame:
+    """One row, an array of a rank for each bucket: half doublings of the count of its words over all lines. Its length is a parameter, whatever the input."""
+    seen = lines.select(F.explode("words").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = seen.unionByName(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
     rank = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("tinyint")
     pages = every.groupBy((F.col("b") / PAGE).cast("int").alias("p")).agg(F.sort_array(F.collect_list(F.struct("b", rank.alias("v")))).alias("x"))
-    pages = pages.select(F.struct("p", F.array_join(F.transform("x", lambda x: x["v"]), ",").alias("v")).alias("x"))
-    ranks = _constant(F.sort_array(F.collect_list("x")), "tinyint", pages)
-    return lambda h: F.get(ranks, bucket(h)).cast("bigint")
+    pages = pages.select(F.struct("p", F.transform("x", lambda x: x["v"]).alias("v")).alias("x"))
+    return stored(pages.agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"])).alias("ranks")))
 
 
 def class_table(lines: DataFrame) -> DataFrame:
     """A row for each different set of words: number, name, place of its first line, size, prefix words with how many of them are surely not hot, bitmap."""
-    rank = _rank_of(lines)
-    keys = F.sort_array(F.transform("words", lambda h: F.shiftleft(rank(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    table = rank_table(lines)
+    # A scalar subquery: tasks hold the one array and no row carries it.
+    ranked = lines.withColumn("ranks", table.scalar())
+
+    def keyed_by(ranks: Column) -> Column:
+        return F.sort_array(F.transform("words", lambda h: F.shiftleft(F.get(ranks, _bucket(h)).cast("bigint"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+
+    keys = let(F.col("ranks"), keyed_by)
 
     def parity(words: Column) -> Column:
         return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(_bit(h)))
@@ -112,7 +115,7 @@ def class_table(lines: DataFrame) -> DataFrame:
         return F.when(F.col("n") >= WIDE, wide).otherwise(parity(F.col("words")) if k == 0 else F.lit(0).cast("bigint")).alias(f"b{k}")
 
     prefix = F.slice("keys", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
-    keyed = lines.select("_a", "_b", *_PLACE, "n", *map(quarter, range(4)), keys.alias("keys"))
+    keyed = ranked.select("_a", "_b", *_PLACE, "n", *map(quarter, range(4)), keys.alias("keys"))
     # A word is at most as frequent as its bucket.
     least_hot = int(2 * (HOT + 1).bit_length() - 2)
     described = keyed.select(
@@ -121,7 +124,9 @@ def class_table(lines: DataFrame) -> DataFrame:
     )
     row = ("n", "cold", *(f"b{k}" for k in range(4)), "prefix")
     classes = described.groupBy("_a", "_b").agg(F.min(F.struct(*_PLACE, *row)).alias("f")).select("_a", "_b", "f.*")
-    return stored(classes.orderBy(*_PLACE).select(F.monotonically_increasing_id().alias("c"), "_a", "_b", *_PLACE, *row))
+    made = stored(classes.orderBy(*_PLACE).select(F.monotonically_increasing_id().alias("c"), "_a", "_b", *_PLACE, *row))
+    forget(table)
+    return made
 
 
 def _bounds(x: str, y: str) -> Column:
@@ -149,19 +154,25 @@ def _postings(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Sets of fewer than four words match equal ones only.
     """
-    index = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", F.posexplode("prefix").alias("pos", "word"))
+    sets = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", "prefix")
+    index = sets.select("*", F.posexplode("prefix").alias("pos", "word")).drop("prefix")
     crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
-    index, hot_words = index.drop("cold"), _sized(crowded)
-    return index.join(hot_words, "word", "left_anti"), index.join(hot_words, "word"), crowded
+    hot_words = _sized(crowded)
+    # A hot row also has the words before its own: of the words that a pair shares only the first one pairs it.
+    before = sets.select("*", F.posexplode("prefix").alias("pos", "word")).where("pos >= cold").withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix", "cold")
+    return index.drop("cold").join(hot_words, "word", "left_anti"), before.join(hot_words, "word"), crowded
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
-    """(a, b, cell): later and earlier classes that pass the filters."""
+    """(a, b, cell): later and earlier classes that pass the filters; of hot rows at their first common word."""
     same = F.lit(True)
     for name in on:
         same &= F.col(f"x.{name}") == F.col(f"y.{name}")
     cell = F.xxhash64(*(F.col(f"x.{name}") for name in on)).alias("cell")
-    return later.alias("x").join(earlier.alias("y"), same & (F.col("x.c") > F.col("y.c")) & _bounds("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell)
+    bounds = _bounds("x", "y")
+    if "before" in later.columns:
+        bounds &= ~F.arrays_overlap("x.before", "y.before")
+    return later.alias("x").join(earlier.alias("y"), same & (F.col("x.c") > F.col("y.c")) & bounds).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell)
 
 
 def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -182,9 +193,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
     sides = pairs.select("cell", F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = stored(sides.select("c").distinct().join(classes.select("c", "_a", *_PLACE), "c"))
     chosen = wanted.groupBy(F.pmod("_a", F.lit(CHOSEN)).cast("int").alias("p")).agg(F.bit_or(_bit(F.shiftright("_a", 32))).alias("v"))
-    chosen = chosen.unionByName(lines.sparkSession.range(CHOSEN).select(F.col("id").cast("int").alias("p"), F.lit(0).cast("bigint").alias("v"))).groupBy("p").agg(F.bit_or("v").alias("v"))
-    bits = _constant(F.sort_array(F.collect_list(F.struct("p", "v"))), "bigint", chosen)
-    maybe = lines.where(F.get(bits, F.pmod("_a", F.lit(CHOSEN)).cast("int")).bitwiseAND(_bit(F.shiftright("_a", 32))) != 0)
+    # At most CHOSEN rows.
+    spot = F.pmod("_a", F.lit(CHOSEN)).cast("int")
+    maybe = lines.withColumn("p", spot).join(F.broadcast(chosen), "p").where(F.col("v").bitwiseAND(_bit(F.shiftright("_a", 32))) != 0)
     # Repeated rows have one place.
     sets = maybe.select(*_PLACE, "words").join(wanted.drop("_a"), list(_PLACE)).groupBy("c").agg(F.first("words").alias("words"))
     sets = stored(sides.join(sets, "c"))
@@ -239,8 +250,9 @@ def _with_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
 def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(c): the classes that match some class before them."""
     cold, hot, crowded = _postings(classes)
-    # The earliest class of each hot word, against all others of the word.
-    pivots = hot.groupBy("word").agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos")).alias("f")).select("word", "f.*")
+    # The earliest classes of each hot word, of so many parts of its classes, against all others of the word.
+    part = F.pmod(F.xxhash64("c"), F.lit(PIVOTS))
+    pivots = hot.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos", "before")).alias("f")).select("word", "f.*")
     first = _joined(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word")))
     settled = _verified(first, lines, classes)
     left = hot.join(settled.select(F.col("a").alias("c")).distinct(), "c", "left_anti")
