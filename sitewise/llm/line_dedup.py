@@ -43,8 +43,8 @@ from sitewise.llm.quality_rules import let
 SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the table of word counts, one byte each: half a MB.
 BUCKETS, PAGE = 1 << 19, 8192
-#: A word in the prefixes of more classes than this is hot; also about the classes of a block.
-HOT = 128
+#: A word in the prefixes of more classes than this is hot; its classes are joined in blocks of about so many.
+HOT, BLOCK = 128, 512
 #: Classes of a hot word that all others of the word are first held against.
 PIVOTS = 3
 #: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
@@ -149,22 +149,25 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def _postings(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _postings(classes: DataFrame, *, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of words that aren't hot, rows of hot words with the number k of their classes, hot words): a row for each class and prefix word.
 
-    Sets of fewer than four words match equal ones only.
+    Sets of fewer than four words match equal ones only. once: hot rows also have the words
+    before their own, so that of the words which a pair shares only the first one pairs it.
     """
     sets = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", "prefix")
     index = sets.select("*", F.posexplode("prefix").alias("pos", "word")).drop("prefix")
     crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
     hot_words = _sized(crowded)
-    # A hot row also has the words before its own: of the words that a pair shares only the first one pairs it.
-    before = sets.select("*", F.posexplode("prefix").alias("pos", "word")).where("pos >= cold").withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix", "cold")
-    return index.drop("cold").join(hot_words, "word", "left_anti"), before.join(hot_words, "word"), crowded
+    hot = index
+    if once:
+        hot = sets.select("*", F.posexplode("prefix").alias("pos", "word")).withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
+    hot = hot.where("pos >= cold").drop("cold").join(hot_words, "word")
+    return index.drop("cold").join(hot_words, "word", "left_anti"), hot, crowded
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
-    """(a, b, cell): later and earlier classes that pass the filters; of hot rows at their first common word."""
+    """(a, b, cell): later and earlier classes that pass the filters; of rows with ``before`` at their first common word."""
     same = F.lit(True)
     for name in on:
         same &= F.col(f"x.{name}") == F.col(f"y.{name}")
@@ -177,7 +180,7 @@ def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
 
 def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs under hot words: each pair of blocks is joined on its own; a class goes to every pair that has its block."""
-    blocks, own = F.ceil(F.col("k") / HOT).cast("int"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / HOT)).cast("int")
+    blocks, own = F.ceil(F.col("k") / BLOCK).cast("int"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / BLOCK)).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     return _pairs(later.withColumns({"i": own, "j": F.explode(every)}), earlier.withColumns({"j": own, "i": F.explode(every)}), "word", "i", "j")
 
@@ -249,7 +252,7 @@ def _with_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(c): the classes that match some class before them."""
-    cold, hot, crowded = _postings(classes)
+    cold, hot, crowded = _postings(classes, once=True)
     # The earliest classes of each hot word, of so many parts of its classes, against all others of the word.
     part = F.pmod(F.xxhash64("c"), F.lit(PIVOTS))
     pivots = hot.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos", "before")).alias("f")).select("word", "f.*")

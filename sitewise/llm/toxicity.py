@@ -4,7 +4,7 @@ Labelled words come from labelled documents: a word of a toxic document is
 tagged when its form, or a start or end of it, is far commoner in toxic than in
 clean documents. The field has two tags, weights for those features and for
 their neighbours' presence, and tag transitions; the labelled rows are dealt by their ids to a fixed
-number of parts, each part fits it on its rows in a fixed order and the weights are averaged over parts,
+number of parts, each part fits it on its rows in a fixed order and each weight is averaged over the parts that have its feature,
 round after round (iterative parameter mixing), so scores don't depend on how the input is split. Forward-backward marginals give each word's probability. A document's score
 is a logistic function of its largest marginal, the sum of the others of weight and
 its number of words; offending spans are the runs of words over a half.
@@ -42,6 +42,8 @@ PARTS, STEP_BYTES, LEAST_STEPS = 8, 1 << 16, 24
 #: Log odds from which a word of a toxic document counts as labelled toxic, less so many standard errors.
 TAGGED, CAUTION = 2.0, 1.5
 ROUNDS = 3
+#: Chains without features all count, with this weight: far the most text is clean, and with more weight it would drown weak signs.
+PLAIN_WEIGHT = 0.125
 #: Score from which a document is predicted toxic.
 PREDICTED = 0.7
 RATE, DECAY = 0.5, 1e-4
@@ -222,14 +224,14 @@ def _plain_gradient(field: Field, lengths: np.ndarray) -> tuple[float, np.ndarra
 
 
 def _steps(texts: pa.Array, toxic: np.ndarray, features: np.ndarray, log_odds: np.ndarray) -> Iterator[tuple]:
-    """Of bounded runs: features, neighbours, tags and chains of the words in chains with features, lengths of the other chains, number of words."""
+    """Of bounded runs: features, neighbours, tags and chains of the words in chains with features, lengths of the other chains, weight of the words."""
     for row, doc, chain, found, *_ in _words(texts, STEP_BYTES):
         on, has, used = _active(found, chain, features)
         firsts = np.flatnonzero(np.concatenate([[True], np.diff(chain) != 0]))
         lengths = np.diff(np.append(firsts, len(chain)))
         near = _neighbours(has, chain)
         tag = ((log_odds[on].max(axis=0) >= TAGGED) & (toxic[row + doc] == 1)).astype(float)
-        yield on[:, used].astype(np.int32), near[:, used].astype(bool), tag[used].astype(bool), chain[used].astype(np.int32), lengths[~used[firsts]], len(chain)
+        yield on[:, used].astype(np.int32), near[:, used].astype(bool), tag[used].astype(bool), chain[used].astype(np.int32), lengths[~used[firsts]], float(used.sum() + PLAIN_WEIGHT * (~used).sum())
 
 
 def _fitting(model, odds, known):
@@ -249,30 +251,31 @@ def _fitting(model, odds, known):
             steps += 1
             grad, grad_t = np.zeros(n + 5), np.zeros((2, 2))
             if len(plain):
-                grad[n + 3], grad_t = _plain_gradient(field, plain)
-            unary = field.unary(on, near)
+                grad[n + 3], grad_t = (PLAIN_WEIGHT * g for g in _plain_gradient(field, plain))
+            unary, diff = field.unary(on, near), np.zeros(len(chain))
             for at, u in _padded(chain, unary, np.nan) if len(chain) else ():
                 prob, pairs = field.marginals(u)
                 inside = at >= 0
                 gold = np.where(inside, tag[at], 0.0)
-                diff = (gold - prob)[inside]
-                places = at[inside]
-                for kind in on[:, places]:
-                    grad += np.bincount(np.where(kind < n, kind, n + 4), diff, n + 5)
-                grad[n] += near[0, places] @ diff
-                grad[n + 1] += near[1, places] @ diff
-                grad[n + 3] += diff.sum()
+                diff[at[inside]] = (gold - prob)[inside]
                 grad_t -= pairs.sum(axis=0)
                 both = inside[:, 1:]
                 x, y = gold[:, :-1][both].astype(int), gold[:, 1:][both].astype(int)
                 np.add.at(grad_t, (x, y), 1.0)
+            known_at = on < n
+            grad += np.bincount(on[known_at], np.broadcast_to(diff, on.shape)[known_at], n + 5)
+            grad[n : n + 4] += near[0] @ diff, near[1] @ diff, 0.0, diff.sum()
             for w, g, s in ((field.w, grad[: n + 4] / size * 100 - DECAY * field.w, squares[0]), (field.trans, grad_t / size * 100 - DECAY * field.trans, squares[1])):
                 s += g * g
                 w += RATE * g / np.sqrt(s)
         words = sum(x[-1] for x in seen)
-        flat = np.concatenate([field.w, field.trans.ravel()]) * words
-        part = np.full(len(flat), rows.column("part")[0].as_py())
-        return pa.table({"part": part, "i": np.arange(len(flat)), "w": flat, "n": np.full(len(flat), float(words))}) if words else _NO_WEIGHTS
+        # A feature's weight comes from the parts that have it, by how often they do.
+        times = np.full(len(field.w) + 4, words)
+        times[:n] = sum(np.bincount(on[on < n], minlength=n) for on, *_ in seen)
+        at = np.flatnonzero(times)
+        flat = np.concatenate([field.w, field.trans.ravel()])
+        part = np.full(len(at), rows.column("part")[0].as_py())
+        return pa.table({"part": part, "i": at, "w": flat[at] * times[at], "n": times[at]}) if seen else _NO_WEIGHTS
 
     return fit
 
@@ -304,7 +307,7 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, Field, np.ndarray] | None:
         listed = F.sort_array(F.collect_list(F.struct("part", "w", "n")))  # a row a part; added up in the order of parts
         total = parts.groupBy("i").agg(listed.alias("x")).select("i", *(F.aggregate(F.col("x")[c], F.lit(0.0), lambda a, y: a + y).alias(c) for c in "wn"))
         mean = total.select("i", (F.col("w") / F.col("n")).alias("w")).toPandas()
-        flat = np.zeros(len(field.w) + 4)
+        flat = np.concatenate([field.w, field.trans.ravel()])
         flat[mean["i"].to_numpy(np.int64)] = mean["w"].to_numpy()
         field.w, field.trans = flat[:-4], flat[-4:].reshape(2, 2)
     seen = rows.select("text", "toxic").mapInArrow(_weighing(context.broadcast((known, field))), "toxic int, a double, b double, c double, d double").toPandas()  # 2 x LABELLED rows at most

@@ -34,6 +34,7 @@ def test_hot_words_lose_no_line(corpus, monkeypatch):
     import sitewise.llm.line_dedup as module
 
     monkeypatch.setattr(module, "HOT", 3)
+    monkeypatch.setattr(module, "BLOCK", 4)
     base = [f"common{i}" for i in range(20)]
     rows = []
     for k in range(60):
@@ -85,6 +86,7 @@ def test_no_link_is_lost_whatever_is_hot(corpus, monkeypatch):
     ends = [p for pair in pairs for p in pair]
     for hot in (3, 128):
         monkeypatch.setattr(module, "HOT", hot)
+        monkeypatch.setattr(module, "BLOCK", hot)
         found = [((r[0], r[1]), (r[2], r[3])) for r in line_links(corpus(*rows)).collect()]
         assert len(found) == len(pairs) and set(found) == pairs
         for r in dedup_lines(corpus(*rows)).collect():
@@ -126,6 +128,7 @@ def test_dropping_removes_what_an_earlier_line_matches(corpus, monkeypatch):
     lines = {(d, i): line for d, text in rows for i, line in enumerate(text.split("\n"))}
     for hot in (3, 128):
         monkeypatch.setattr(module, "HOT", hot)
+        monkeypatch.setattr(module, "BLOCK", hot)
         kept = {r["doc_id"]: r["text"] for r in drop_similar_lines(corpus(*rows)).collect()}
         assert kept == {d: "\n".join(lines[d, i] for i in (0, 1) if not want[d, i]) for d, _ in rows}
 
