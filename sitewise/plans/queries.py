@@ -14,6 +14,8 @@ from sitewise.operators.grid import build_grid, locate
 from sitewise.plans import inputs
 from sitewise.plans.inputs import GRID, SQL, sql_haversine, sql_minutes, sql_scores
 from sitewise.plans.siting import optimise
+from sitewise.sources import tables
+from sitewise.sources.overpass import recorded_elements
 
 MODEL = "test-model"
 MIN_DISTANCE_M = 1000.0
@@ -53,6 +55,30 @@ def poi_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pois.distinct_elements(every, every.where("type = 'way'")).select("type", "id")
 
 
+def recorded_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements written as recorded responses of about a thousand each, and read back by the source."""
+    elements = inputs.elements(spark, sf_dir)
+    part = F.pmod(F.xxhash64("id"), F.lit(elements.count() // 1000 + 1)).alias("_part")
+    whole = F.struct(F.collect_list(F.struct("type", "id", "lat", "lon", "center", "tags")).alias("elements"))
+    folder = new_folder(spark, "responses")
+    elements.groupBy(part).agg(F.to_json(whole).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return pois.flatten(recorded_elements(spark, folder)).withColumns({c: F.round(c, 9) for c in ("lon", "lat")})
+
+
+def prices_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices written as CSV by all tasks, and read back by the source."""
+    folder = new_folder(spark, "prices")
+    report.write_csv(inputs.prices(spark, sf_dir).select("cell_id", "price_per_m2"), folder, files=None)
+    return tables.load_prices(spark, folder)
+
+
+def cells_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells file, written with its geometry and read back."""
+    folder = new_folder(spark, "cells")
+    report.save_cells(inputs.siting_cells(spark, sf_dir), folder)
+    return tables.load_cells(spark, folder).select("cell_id", "population", "existing_clinics", _six("x0"), _six("y1"), F.length("geometry").alias("bytes"))
+
+
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate(inputs.facilities(spark, sf_dir), GRID).select("osm_id", GRID.cell_id(F.col("row"), F.col("col")).alias("cell_id"))
 
@@ -267,6 +293,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "poi_exclude_tag": poi_exclude_tag,
     "poi_exclude_name": poi_exclude_name,
     "poi_union": poi_union,
+    "recorded_response": recorded_response,
+    "prices_csv": prices_csv,
+    "cells_file": cells_file,
     "point_in_cell": point_in_cell,
     "cell_competitors": cell_competitors,
     "cell_context": cell_context,
@@ -446,6 +475,9 @@ SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r
 ORACLES: dict[str, str] = {
     "grid_cells": SQL + "SELECT cell_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM cells",
     "poi_flatten": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
+    "recorded_response": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
+    "prices_csv": "SELECT printf('cell_%06d', p_partkey) AS cell_id, CASE WHEN p_partkey % 19 <> 0 THEN p_retailprice END AS price_per_m2 FROM part",
+    "cells_file": SQL + "SELECT cell_id, population, existing_clinics, round(x0, 6) AS x0, round(y1, 6) AS y1, 93 AS bytes FROM siting",
     "poi_exclude_tag": SQL + "SELECT osm_id, healthcare FROM fac WHERE healthcare IS NULL OR healthcare NOT IN ('laboratory', 'rehabilitation')",
     "poi_exclude_name": SQL + "SELECT osm_id, name FROM fac WHERE NOT regexp_matches(lower(coalesce(name, '')), 'эстет|дентал')",
     "poi_union": SQL + "SELECT osm_type AS type, osm_id AS id FROM raw_fac",
