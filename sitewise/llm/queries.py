@@ -1,7 +1,8 @@
 """Registered queries of the text operators and their SQL oracles."""
 
 from sitewise.llm import (
-    decontamination, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity,
+    decontamination, exact_search, fill_in_middle, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup,
+    toxicity, whitening,
 )
 
 QUERIES = {
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_exact_top_k": exact_search.op13_exact_top_k,
 }
 
 ORACLES = {
@@ -22,4 +26,6 @@ ORACLES = {
     "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_quality_classifier": quality_classifier.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_exact_top_k": exact_search.ORACLE_SQL,
 }
