@@ -33,3 +33,17 @@ def durable(df: DataFrame) -> DataFrame:
 def delete_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage with a written table, to be deleted with ``forget`` when nothing reads it any more."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    for table in tables:
+        delete_folder(table.sparkSession, table.written_at)

@@ -2,13 +2,14 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from sitewise.operators.grid import Grid, build_grid
 from sitewise.operators.scores import filter_candidates, normalize, with_facility_type, with_scores
-from sitewise.operators.selection import _best, conflict_pairs, most_conflicts, select_sites
+from sitewise.operators.selection import best_choice, cliques, conflict_pairs, explore, greedy, most_conflicts, pose, select_sites
 
 GRID = Grid((37.55, 55.72, 37.65, 55.78), 500)
 
@@ -49,22 +50,66 @@ def test_conflicts(spark):
     assert len(pairs) == 959 and most_conflicts(GRID, 1000) == 12
 
 
-def test_search_equals_brute_force():
+def problems(many, most=9):
+    """(problem, the best total, the set of that total that comes first) of random scores with ties and conflicts."""
     rnd = random.Random(1)
-    for _ in range(150):
-        n, budget = rnd.randint(1, 9), rnd.randint(1, 4)
+    for _ in range(many):
+        n, budget = rnd.randint(1, most), rnd.randint(1, 4)
         scores = sorted((rnd.randint(1, 6) / 4 for _ in range(n)), reverse=True)
-        blocked = [0] * n
+        blocked = [set() for _ in range(n)]
         for a, b in itertools.combinations(range(n), 2):
             if rnd.random() < 0.4:
-                blocked[a] |= 1 << b
-                blocked[b] |= 1 << a
-        sets = [s for k in range(1, budget + 1) for s in itertools.combinations(range(n), k) if all(not blocked[a] >> b & 1 for a, b in itertools.combinations(s, 2))]
+                blocked[a].add(b)
+                blocked[b].add(a)
+        sets = [s for k in range(1, budget + 1) for s in itertools.combinations(range(n), k) if all(b not in blocked[a] for a, b in itertools.combinations(s, 2))]
         top = max(sum(scores[i] for i in s) for s in sets)
-        want = min(s for s in sets if sum(scores[i] for i in s) == top)
-        found = [_best(scores, blocked, first, budget, 0.0, 10**6) for first in range(n)]
-        value = max(v for v, c, _ in found if c)
-        assert value == top and min(tuple(c) for v, c, _ in found if c and v == top) == want
+        yield pose(np.array(scores), [np.array(sorted(x), int) for x in blocked], budget), top, min(s for s in sets if sum(scores[i] for i in s) == top)
+
+
+def test_search_equals_brute_force():
+    for visits in (1, 3, 10**6):
+        for problem, top, want in problems(150):
+            best, nodes = greedy(problem.scores, problem.blocked, problem.budget), [((), 0)]
+            while nodes:
+                best, still = explore(problem, nodes, best, visits)
+                nodes = [(chosen, at) for chosen, at, _ in still]
+            assert best == (top, want)
+
+
+def test_cliques_cover_all_conflicts():
+    for problem, _, _ in problems(60, 14):
+        found = cliques(problem.blocked)
+        pairs = {p for c in found for p in itertools.combinations(c, 2)}
+        assert pairs == {(a, int(b)) for a, near in enumerate(problem.blocked) for b in near if a < b}
+        free = np.ones(len(problem.scores), bool)
+        assert problem.bound(0.0, free, problem.budget) >= greedy(problem.scores, problem.blocked, problem.budget)[0] - 1e-12
+
+
+def test_rounds_of_tasks_hand_back_open_nodes(spark):
+    for problem, top, want in list(problems(40, 12))[-4:]:
+        assert best_choice(spark, problem, visits=2) == (top, want)
+
+
+def smooth(grid, column):
+    """Scores in waves, so that neighbours have nearly the same."""
+    return (2 + F.sin(F.col("row") / 5.0) * F.cos(F.col("col") / 4.0) + F.sin((F.col("row") + 2 * F.col("col")) / 7.0)).alias(column)
+
+
+def test_a_large_grid_ends_with_an_optimum(spark):
+    grid = Grid((37.55, 55.72, 37.55 + 39.5 * GRID.lon_step, 55.72 + 39.5 * GRID.lat_step), 500)
+    assert (grid.rows, grid.columns) == (40, 40)
+    cells = build_grid(spark, grid).withColumns({"best_score": smooth(grid, "best_score"), "facility_type": F.lit("public")})
+    got = select_sites(cells, grid, budget=12, min_distance_m=1000).collect()
+    again = select_sites(cells, grid, budget=12, min_distance_m=1000, visits=40).collect()
+    assert len(got) == 12 and got == again and all(r["optimal"] for r in got)
+    near = {(r[0], r[1]) for r in conflict_pairs(cells, grid, 1000).collect()}
+    assert not any(tuple(sorted(p)) in near for p in itertools.combinations([r["cell_id"] for r in got], 2))
+    # Better than the best free cell again and again.
+    left, total = sorted(cells.select("cell_id", "best_score").collect(), key=lambda r: (-r[1], r[0])), 0.0
+    for _ in range(12):
+        total += left[0][1]
+        left = [r for r in left if r[0] != left[0][0] and tuple(sorted((r[0], left[0][0]))) not in near]
+    assert sum(r["best_score"] for r in got) > total
 
 
 @pytest.mark.parametrize("budget", [1, 3])
