@@ -78,43 +78,6 @@ def ring_area(ring: Column) -> Column:
     return let(ring, lambda r: F.when(F.size(r) < 3, F.lit(0.0)).otherwise(shoelace(r)))
 
 
-def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded rings (a row each, n corners) without what lies before a line; behind: each corner's distance behind it."""
-    place = np.arange(x.shape[1])
-    own = place < n[:, None]
-    after = np.where(place + 1 < n[:, None], place + 1, 0)
-    far = np.take_along_axis(behind, after, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = behind / (behind - far)
-        made = [np.stack([v, v + t * (np.take_along_axis(v, after, 1) - v)], axis=2).reshape(len(v), -1) for v in (x, y)]
-    keep = np.stack([own & (behind >= 0), own & ((behind >= 0) != (far >= 0))], axis=2).reshape(len(x), -1)
-    count = keep.sum(axis=1)
-    order = np.argsort(~keep, axis=1, kind="stable")[:, : max(1, int(count.max(initial=0)))]
-    return *(np.take_along_axis(v, order, 1) for v in made), count
-
-
-@F.pandas_udf(T.DoubleType())
-def clipped_area(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """Area of the part of a ring (its corners' xs and ys) inside an upright rectangle, all rings of a batch at once.
-
-    A ring that isn't convex is cut into one way too, along the rectangle's sides where it left it; the signed area is right.
-    """
-    n = xs.map(len).to_numpy()
-    if not n.max(initial=0):
-        return pd.Series(np.zeros(len(n)))
-    own = np.arange(n.max()) < n[:, None]
-    x, y = np.zeros(own.shape), np.zeros(own.shape)
-    x[own], y[own] = np.concatenate(xs.tolist()), np.concatenate(ys.tolist())
-    # From the rectangle's corner, so that large coordinates don't cancel.
-    left, low = x0.to_numpy()[:, None], y0.to_numpy()[:, None]
-    x, y, width, height = x - left, y - low, x1.to_numpy()[:, None] - left, y1.to_numpy()[:, None] - low
-    for behind in (lambda: x, lambda: width - x, lambda: y, lambda: height - y):
-        x, y, n = _cut(x, y, n, behind())
-    after = np.where(np.arange(x.shape[1]) + 1 < n[:, None], np.arange(x.shape[1]) + 1, 0)
-    crossed = x * np.take_along_axis(y, after, 1) - np.take_along_axis(x, after, 1) * y
-    return pd.Series(np.abs(np.where(np.arange(x.shape[1]) < n[:, None], crossed, 0.0).sum(axis=1)) / 2)
-
-
 @F.pandas_udf(T.BinaryType())
 def rectangle_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """An upright rectangle as well-known binary: a little-endian polygon of one closed ring."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.functions.geo import clipped_area, latitude, longitude, mercator_x, mercator_y, ring_area
 from sitewise.functions.text import CONTEXT_HEAD, CONTEXT_NONE, label
 from sitewise.operators.grid import Grid, locate
+from sitewise.operators.overlay import population_sums
 
 
 def count_facilities(cells: DataFrame, facilities: DataFrame, grid: Grid) -> DataFrame:
@@ -31,38 +31,8 @@ def contexts(cells: DataFrame, facilities: DataFrame, grid: Grid) -> DataFrame:
     return cells.join(found, ["row", "col"], "left").select("cell_id", F.coalesce("_context", F.lit(CONTEXT_NONE)).alias("context"))
 
 
-def overlay(hexagons: DataFrame, grid: Grid) -> DataFrame:
-    """row, col, population, share: the pieces of projected polygons by cell, each with its share of the polygon's area.
-
-    A polygon meets the cells that its bounding box reaches, found by division,
-    so there is no join. A cell of degrees is an upright rectangle in the
-    projection too. Polygons without area and null populations give no piece.
-    """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-
-    def reach(low, high, guess, last: int):
-        a, b = F.greatest(guess(low) - 1, F.lit(0)), F.least(guess(high) + 1, F.lit(last))
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-
-    sized = hexagons.where("ring is not null and population is not null").withColumns(
-        {"_area": ring_area(F.col("ring")), "_left": F.array_min(xs), "_right": F.array_max(xs), "_low": F.array_min(ys), "_high": F.array_max(ys)}
-    ).where("_area > 0")
-    spread = sized.withColumn("row", F.explode(reach(latitude(F.col("_low")), latitude(F.col("_high")), grid.guess_row, grid.rows - 1)))
-    spread = spread.withColumn("col", F.explode(reach(longitude(F.col("_left")), longitude(F.col("_right")), grid.guess_column, grid.columns - 1)))
-    edged = grid.with_edges(spread.withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")}))
-    x0, y0 = F.get("_lons", F.col("col")), F.get("_lats", F.col("row"))
-    sides = {"_x0": mercator_x(x0), "_y0": mercator_y(y0), "_x1": mercator_x(x0 + grid.lon_step), "_y1": mercator_y(y0 + grid.lat_step)}
-    boxed = edged.withColumns(sides).drop("_lats", "_lons")
-    met = boxed.where((F.col("_left") < F.col("_x1")) & (F.col("_right") > F.col("_x0")) & (F.col("_low") < F.col("_y1")) & (F.col("_high") > F.col("_y0")))
-    # A polygon whose box lies in the cell is all in it: a share of exactly 1, and no clipping.
-    within = (F.col("_left") >= F.col("_x0")) & (F.col("_right") <= F.col("_x1")) & (F.col("_low") >= F.col("_y0")) & (F.col("_high") <= F.col("_y1"))
-    whole = met.where(within).select("row", "col", "population", F.lit(1.0).alias("share"))
-    parts = met.where(~within).select("row", "col", "population", (clipped_area(xs, ys, *sides) / F.col("_area")).alias("share"))
-    return whole.unionByName(parts)
-
-
 def population_per_cell(cells: DataFrame, hexagons: DataFrame, grid: Grid) -> DataFrame:
     """The cells with ``population``: sums of the pieces' shares, rounded half to even, 0 where there are none."""
-    sums = overlay(hexagons, grid).groupBy("row", "col").agg(F.sum(F.col("population") * F.col("share")).alias("_sum"))
-    whole = F.bround(F.coalesce("_sum", F.lit(0.0)), 0).cast("bigint")
-    return cells.join(sums, ["row", "col"], "left").withColumn("population", whole).drop("_sum")
+    sums = population_sums(hexagons, grid)
+    whole = F.bround(F.coalesce("people", F.lit(0.0)), 0).cast("bigint")
+    return cells.join(sums, ["row", "col"], "left").withColumn("population", whole).drop("people")

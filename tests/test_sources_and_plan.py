@@ -7,7 +7,7 @@ import pytest
 from sitewise.config import load_config
 from sitewise.operators.grid import Grid, build_grid
 from sitewise.operators.report import write_csv
-from sitewise.operators.spatial import overlay
+from sitewise.operators.overlay import overlay
 from sitewise.plans.siting import collect, estimate, grid_of, optimise
 from sitewise.sources.geopackage import load_population, outer_ring
 
