@@ -131,23 +131,22 @@ def _spans(span_words: int):
 
 
 def _text_key(text_col: str) -> Column:
-    """31 bits that tell texts of one id apart."""
-    return F.shiftrightunsigned(F.xxhash64(text_col), 33)
+    """Tells texts of one id, or of none, apart."""
+    return F.xxhash64(text_col)
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
     """(_id, _key, spans): the merged character ranges to remove from each document that has any."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), _text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
     found = rows.mapInArrow(_spans(span_words), "_h bigint, _g bigint, _id bigint, _key bigint, _start bigint, _size bigint, _again boolean")
-    # Key and start in one number: the row stays small.
-    placed = stored(found.select("_h", "_g", "_id", (F.shiftleft("_key", 32) + F.col("_start")).alias("_place"), "_size", "_again"))
+    # Start and size in one number: the row stays small.
+    placed = stored(found.select("_h", "_g", "_id", "_key", (F.shiftleft("_start", 32) + F.col("_size")).alias("_range"), "_again"))
     once = placed.where("not _again and _id is not null").drop("_again")
     first = once.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
-    later = once.join(first, ["_h", "_g"]).where("_id > _first").select("_id", "_place", "_size")
-    covered = later.unionByName(placed.where("_again").select("_id", "_place", "_size")).select(
-        "_id", F.shiftright("_place", 32).alias("_key"), F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "_size"
-    )
-    span = F.struct("start", (F.col("start") + F.col("_size")).alias("end"))
+    later = once.join(first, ["_h", "_g"]).where("_id > _first").select("_id", "_key", "_range")
+    covered = later.unionByName(placed.where("_again").select("_id", "_key", "_range"))
+    start = F.shiftright("_range", 32)
+    span = F.struct(start.alias("start"), (start + F.col("_range").bitwiseAND(F.lit(0xFFFFFFFF))).alias("end"))
     ranges = covered.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(span)).alias("_ranges"))
     spans = stored(ranges.select("_id", "_key", merged(F.col("_ranges")).alias("spans")))
     forget(placed)

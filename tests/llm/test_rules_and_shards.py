@@ -5,11 +5,14 @@ from collections import Counter, defaultdict
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
 
 from sitewise.llm.common import LOWER, NON_WORD, hash_run
 from sitewise.llm.quality_rules import quality_rules
 from sitewise.llm.sharding import differenced, kk_labels, shard_documents
-from sitewise.llm.substring_dedup import sentence_bounds, substring_dedup
+from sitewise.llm.substring_dedup import substring_dedup
 
 ASCII = str.maketrans(ascii_uppercase, ascii_lowercase)
 PROSE = " ".join(f"word{i}" for i in range(80))
@@ -148,14 +151,29 @@ def test_repeated_passages_go_and_the_first_stays(corpus):
 
 
 def brute_spans(rows, span_words=14):
-    """Character ranges to remove, by comparing the words of all runs themselves; only the cuts inside long sentences are the module's."""
+    """Character ranges to remove, by comparing the words of all runs themselves; only the order of words inside long sentences is the module's."""
+    def cuts(hashes, ends):
+        """A bound behind each sentence, and in one of over 24 words behind words whose hash comes first among the four on either side of the same sentence; of equal ones the first."""
+        bounds, first = [0], 0
+        for i in range(len(hashes)):
+            if not ends[i] and i < len(hashes) - 1:
+                continue
+            if i + 1 - first > 24:
+                for k in range(first, i):
+                    near = range(max(first, k - 4), min(i, k + 4) + 1)
+                    if min(near, key=lambda j: (hashes[j], j)) == k:
+                        bounds.append(k + 1)
+            bounds.append(i + 1)
+            first = i + 1
+        return bounds
+
     def sentences(text):
         words = [(m.group().translate(ASCII), m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
         ends = [bool(re.search(r"[.!?\n]", text[e : words[i + 1][1] if i + 1 < len(words) else None])) for i, (_, _, e) in enumerate(words)]
         data = LOWER[np.frombuffer(text.encode(), np.uint8)]
         hashes = hash_run(data, np.array([0, len(data)]), NON_WORD)[0]
         assert len(hashes) == len(words)
-        return words, sentence_bounds(hashes, np.array(ends, bool)).tolist() if words else [0]
+        return words, cuts(hashes.tolist(), ends)
 
     seen, out = {}, {}
     for doc, text in sorted(rows):
@@ -189,6 +207,22 @@ def test_spans_of_the_whole_table_equal_brute_force(sample):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_id_with_keys_alike_in_half_their_bits(spark, corpus, doc_id):
+    """Clean texts beside texts with a repeat, of the same (or no) id, whose hashes agree in their upper 31 bits."""
+    own = " ".join(f"Word {i} of it stands here." for i in range(6))
+    n = spark.range(200_000)
+    clean = n.select(F.concat(F.lit("c"), "id", F.lit(f" one. {own}")).alias("clean"))
+    twice = n.select(F.concat(F.lit("r"), "id", F.lit(f" one. {own} between. {own}")).alias("twice"))
+    key = lambda c: F.shiftrightunsigned(F.xxhash64(c), 33).alias("k")
+    pairs = clean.select("clean", key("clean")).join(twice.select("twice", key("twice")), "k").select("clean", "twice").distinct().collect()
+    assert len(pairs) >= 3
+    rows = [(doc_id, r[k]) for r in pairs for k in ("clean", "twice")]
+    got = substring_dedup(corpus(*rows), with_text=True).collect()
+    assert len(got) == len(rows)
+    assert all((r["n_removed"] > 0) == (r["n_chars"] > 300) for r in got) and {r["text"] for r in got if not r["n_removed"]} == {r["clean"] for r in pairs}
+
+
 def test_a_passage_within_long_sentences_is_found(corpus):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(k, " ".join(f"a{k}x{i}" for i in range(50)) + f" {passage} " + " ".join(f"b{k}x{i}" for i in range(50))) for k in range(2)]
