@@ -53,13 +53,8 @@ def _stripped(text: Column) -> Column:
 
 
 def json_part(raw: Column) -> Column:
-    """A reply without a code fence around it, from its first brace to its last, if it has any."""
-
-    def bare(text: Column) -> Column:
-        # What the fence holds: its first line's language aside, up to a closing fence if there is one.
-        return _stripped(F.regexp_extract(text, r"(?s)^(?:`{3}[A-Za-z]*)?(.*?)(?:`{3})?$", 1))
-
-    return let(bare(_stripped(raw)), lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")), t))
+    """What stands from a reply's first brace to its last; only an object is an answer."""
+    return F.regexp_extract(raw, r"(?s)\{.*\}", 0)
 
 
 def reply(raw: Column) -> Column:

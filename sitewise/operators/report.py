@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.geo import rectangle_wkb
+from sitewise.sources.geofile import write_geometries
 
-# Colours and labels of the two kinds of facility, and the words of a marker.
+# Colours and labels of the two kinds of facility, the words of a marker, a line of the legend, and a circle's least radius and what a score of 1 adds.
 TYPE_COLORS = {"public": "#0F6E56", "private": "#993C1D"}
 TYPE_LABELS = {"public": "государственная", "private": "частная"}
 
 POPUP = "<b>%s</b><br>Тип: %s<br>Ценность: %.2f"
+LEGEND_LINE = "<span style='color:%s'>&#9679;</span> %s (%d)"
+RADIUS, RADIUS_BY_SCORE = 8, 6
 
 
 def _by_type(table: dict[str, str], kind: Column) -> Column:
@@ -24,7 +27,7 @@ def markers(recommended: DataFrame) -> DataFrame:
     popup = F.format_string(POPUP, "cell_id", _by_type(TYPE_LABELS, kind), "best_score")
     return recommended.select(
         "cell_id", F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"), _by_type(TYPE_COLORS, kind).alias("color"),
-        (8 + 6 * F.col("best_score")).alias("radius"), popup.alias("popup"),
+        (RADIUS + RADIUS_BY_SCORE * F.col("best_score")).alias("radius"), popup.alias("popup"),
     )
 
 
@@ -61,8 +64,8 @@ def with_geometry(cells: DataFrame) -> DataFrame:
 
 
 def save_cells(cells: DataFrame, path: str) -> None:
-    """Parquet with each cell's edges and its rectangle as well-known binary."""
-    with_geometry(cells).write.mode("overwrite").parquet(path)
+    """A geometry file with each cell's edges and its rectangle as well-known binary."""
+    write_geometries(with_geometry(cells), path)
 
 
 def map_page(recommended: DataFrame, cells: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def map_page(recommended: DataFrame, cells: DataFrame) -> DataFrame:
     bounds = cells.agg(((F.min("x0") + F.max("x1")) / 2).alias("lon"), ((F.min("y0") + F.max("y1")) / 2).alias("lat"))
     made = markers(recommended).agg(F.to_json(F.sort_array(F.collect_list(F.struct("cell_id", "lon", "lat", "color", "radius", "popup")))).alias("markers"))
     lines = legend(recommended).agg(
-        F.array_join(F.sort_array(F.collect_list(F.format_string("<span style='color:%s'>&#9679;</span> %s (%d)", "color", "label", "n"))), "<br>").alias("legend")
+        F.array_join(F.sort_array(F.collect_list(F.format_string(LEGEND_LINE, "color", "label", "n"))), "<br>").alias("legend")
     )
     page = F.format_string(
         "<!doctype html><meta charset='utf-8'><div id='legend'>%s</div><script>const centre=[%.6f,%.6f];const markers=%s;</script>", "legend", "lat", "lon", "markers"

@@ -15,6 +15,9 @@ from sitewise.operators.spatial import count_facilities, population_per_cell
 
 GRID = Grid((37.55, 55.72, 37.65, 55.78), 500)
 HALF_M = 200.0
+#: A box in projected metres: west, south, east, north.
+METRIC_BOX = (4_183_000.25, 7_504_500.25, 4_185_500.25, 7_507_000.25)
+SQL_IN_BOX = "x + {h} >= {} AND y + {h} >= {} AND x - {h} <= {} AND y - {h} <= {}".format(*METRIC_BOX, h=HALF_M)
 EXCLUDED_TAGS = ("laboratory", "rehabilitation")
 EXCLUDED_NAMES = ("эстет", "дентал")
 
@@ -52,7 +55,14 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = _coordinate("o_orderkey", 6007, 1009, 37.55, 10000.0), _coordinate("o_orderkey", 7001, 991, 55.72, 16500.0)
     ring = square(mercator_x(lon), mercator_y(lat), HALF_M)
-    return _table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("population"), ring.alias("ring"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("population"), ring.alias("ring"))
+
+
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same squares by their edges: o_orderkey, population, x0, y0, x1, y1."""
+    corners = hexagons(spark, sf_dir)
+    low, high = F.get("ring", 0), F.get("ring", 2)
+    return corners.select("o_orderkey", "population", low["x"].alias("x0"), low["y"].alias("y0"), high["x"].alias("x1"), high["y"].alias("y1"))
 
 
 def estimates(cells: DataFrame) -> DataFrame:
@@ -144,7 +154,7 @@ WITH RECURSIVE lats AS (
 ), counted AS (
   SELECT cell_id, count(*) AS n FROM located GROUP BY cell_id
 ), squares AS (
-  SELECT o_totalprice / 1000 AS population, {_X.format('37.55::DOUBLE + (o_orderkey * 6007 % 1009)::DOUBLE / 10000.0::DOUBLE')} AS x, {_Y.format('(55.72::DOUBLE + (o_orderkey * 7001 % 991)::DOUBLE / 16500.0::DOUBLE)')} AS y
+  SELECT o_orderkey, o_totalprice / 1000 AS population, {_X.format('37.55::DOUBLE + (o_orderkey * 6007 % 1009)::DOUBLE / 10000.0::DOUBLE')} AS x, {_Y.format('(55.72::DOUBLE + (o_orderkey * 7001 % 991)::DOUBLE / 16500.0::DOUBLE)')} AS y
   FROM orders
 ), metric AS (
   SELECT cell_id, {_X.format('x0')} AS mx0, {_X.format('x1')} AS mx1, {_Y.format('y0')} AS my0, {_Y.format('y1')} AS my1 FROM cells

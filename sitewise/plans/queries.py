@@ -12,9 +12,11 @@ from sitewise.functions.text import PROMPT_HEAD, PROMPT_TAIL, cache_key, prompt
 from sitewise.operators import access, estimates, pois, report, scores, selection, spatial, stats
 from sitewise.operators.grid import build_grid, locate
 from sitewise.plans import inputs
-from sitewise.plans.inputs import GRID, SQL, sql_haversine, sql_minutes, sql_scores
+from sitewise.plans.inputs import GRID, HALF_M, SQL, sql_haversine, sql_minutes, sql_scores
 from sitewise.plans.siting import optimise
 from sitewise.sources import tables
+from sitewise.sources.geofile import edges_of, in_box, read_geometries, write_geometries
+from sitewise.sources.geopackage import write_population
 from sitewise.sources.overpass import recorded_elements
 
 MODEL = "test-model"
@@ -33,7 +35,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_grid(spark, GRID).select("cell_id", *[_six(c) for c in ("x0", "y0", "x1", "y1", "center_lon", "center_lat")])
+    return inputs.siting_cells(spark, sf_dir).select("cell_id", "population", *[_six(c) for c in ("x0", "y0", "x1", "y1", "center_lon", "center_lat")])
 
 
 def poi_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +75,29 @@ def prices_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells file, written with its geometry and read back."""
+    """The cells file, written with its geometry and read back, edges from both."""
     folder = new_folder(spark, "cells")
     report.save_cells(inputs.siting_cells(spark, sf_dir), folder)
-    return tables.load_cells(spark, folder).select("cell_id", "population", "existing_clinics", _six("x0"), _six("y1"), F.length("geometry").alias("bytes"))
+    read = tables.load_cells(spark, folder).withColumn("wkb", edges_of("geometry"))
+    return read.select("cell_id", "population", "existing_clinics", _six("x0"), _six("y1"), *[_six(f"wkb.{c}", f"wkb_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
+def population_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares of all orders in GeoPackage files of the tasks, read back with a filter on their boxes."""
+    folder = new_folder(spark, "areas")
+    write_population(inputs.hexagons(spark, sf_dir), folder)
+    areas = spark.read.format("gpkg").option("path", folder).load()
+    west, south, east, north = inputs.METRIC_BOX
+    met = areas.where((F.col("max_x") >= west) & (F.col("min_x") <= east) & (F.col("max_y") >= south) & (F.col("min_y") <= north))
+    return met.select(_six("population"), F.round("min_x", 3).alias("min_x"), F.round("max_y", 3).alias("max_y"), F.size("ring").alias("corners"))
+
+
+def geometry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares of all orders in a geometry file; those of a box, found by the row groups' statistics, with the edges that their geometry has."""
+    folder = new_folder(spark, "geometries")
+    write_geometries(report.with_geometry(inputs.squares(spark, sf_dir)), folder, rows_per_group=100, geographic=False)
+    read = in_box(read_geometries(spark, folder), *inputs.METRIC_BOX).withColumn("wkb", edges_of("geometry"))
+    return read.select("o_orderkey", *[F.round(f"wkb.{c}", 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +145,14 @@ def estimate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimates_left_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = build_grid(spark, GRID)
-    return estimates.with_estimates(cells.select("cell_id"), inputs.estimates(cells).where("wealth_score is not null"))
+    cells = inputs.siting_cells(spark, sf_dir)
+    known = cells.where("wealth_score is not null").select("cell_id", "wealth_score", "area_character")
+    return estimates.with_estimates(cells.select("cell_id", "population"), known)
 
 
 def estimated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimates_left_merge(spark, sf_dir).agg(F.count("wealth_score").alias("estimated"), F.count(F.lit(1)).alias("cells"))
+    merged = estimates_left_merge(spark, sf_dir).where("population > 0")
+    return merged.agg(F.count("wealth_score").alias("estimated"), F.count(F.lit(1)).alias("cells"), F.sum("population").alias("population"))
 
 
 # ------------------------------------------------------------------ optimise
@@ -146,7 +169,7 @@ def need_and_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.filter_candidates(inputs.estimates(build_grid(spark, GRID))).select("cell_id", "area_character")
+    return scores.filter_candidates(inputs.siting_cells(spark, sf_dir)).select("cell_id", "area_character", "population", "existing_clinics")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +181,15 @@ def facility_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("cell_id", "facility_type", _six("best_score"))
 
 
+def weighted_facility_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With profit worth twice and equity half."""
+    scored = scores.with_scores(scores.filter_candidates(durable(inputs.siting_cells(spark, sf_dir))))
+    return scores.with_facility_type(scored, equity_weight=0.5, profit_weight=2.0).select("cell_id", "facility_type", _six("best_score"))
+
+
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.conflict_pairs(build_grid(spark, GRID), GRID, MIN_DISTANCE_M)
+    """Among the cells that have facilities."""
+    return selection.conflict_pairs(inputs.siting_cells(spark, sf_dir).where("existing_clinics > 0"), GRID, MIN_DISTANCE_M)
 
 
 def _sites(spark: SparkSession, sf_dir: str, budget: int) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +227,7 @@ def baseline_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.baseline_placement(build_grid(spark, GRID), 8, "random").select("cell_id", _six("center_lon"), _six("center_lat"))
+    return access.baseline_placement(inputs.siting_cells(spark, sf_dir).where("population > 0"), 8, "random").select("cell_id", _six("center_lon"), _six("center_lat"))
 
 
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +270,7 @@ def spearman_vs_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wealth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.unit_histogram(inputs.estimates(build_grid(spark, GRID)), "wealth_score", 0, 11)
+    return stats.unit_histogram(inputs.siting_cells(spark, sf_dir).where("existing_clinics > 0"), "wealth_score", 0, 11)
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +288,7 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.bounds(build_grid(spark, GRID))
+    found = stats.bounds(inputs.siting_cells(spark, sf_dir).where("existing_clinics > 0"))
     return _rounded(found, *found.columns)
 
 
@@ -283,8 +313,9 @@ def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rectangles of the cells file as well-known binary, in hex."""
-    return report.with_geometry(build_grid(spark, GRID)).select("cell_id", F.length("geometry").alias("bytes"), F.substring(F.hex("geometry"), 1, 26).alias("head"))
+    """The cells' rectangles as well-known binary, in hex, and read back."""
+    made = report.with_geometry(inputs.siting_cells(spark, sf_dir)).withColumn("wkb", edges_of("geometry"))
+    return made.select("cell_id", "population", F.substring(F.hex("geometry"), 1, 26).alias("head"), *[_six(f"wkb.{c}", c) for c in ("x0", "y0", "x1", "y1")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -296,6 +327,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recorded_response": recorded_response,
     "prices_csv": prices_csv,
     "cells_file": cells_file,
+    "population_file": population_file,
+    "geometry_file": geometry_file,
     "point_in_cell": point_in_cell,
     "cell_competitors": cell_competitors,
     "cell_context": cell_context,
@@ -310,6 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "need_and_demand": need_and_demand,
     "candidate_filter": candidate_filter,
     "facility_type": facility_type,
+    "weighted_facility_type": weighted_facility_type,
     "conflict_pairs": conflict_pairs,
     "site_selection": _selected(8),
     "site_selection_of_3": _selected(3),
@@ -473,11 +507,13 @@ SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r
 """
 
 ORACLES: dict[str, str] = {
-    "grid_cells": SQL + "SELECT cell_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM cells",
+    "grid_cells": SQL + "SELECT cell_id, population, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting",
     "poi_flatten": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
     "recorded_response": SQL + "SELECT * REPLACE (round(lon, 9) AS lon, round(lat, 9) AS lat) FROM fac",
     "prices_csv": "SELECT printf('cell_%06d', p_partkey) AS cell_id, CASE WHEN p_partkey % 19 <> 0 THEN p_retailprice END AS price_per_m2 FROM part",
-    "cells_file": SQL + "SELECT cell_id, population, existing_clinics, round(x0, 6) AS x0, round(y1, 6) AS y1, 93 AS bytes FROM siting",
+    "cells_file": SQL + "SELECT cell_id, population, existing_clinics, round(x0, 6) AS x0, round(y1, 6) AS y1, round(x0, 6) AS wkb_x0, round(y0, 6) AS wkb_y0, round(x1, 6) AS wkb_x1, round(y1, 6) AS wkb_y1 FROM siting",
+    "population_file": SQL + f"SELECT round(population, 6) AS population, round(x - {HALF_M}, 3) AS min_x, round(y + {HALF_M}, 3) AS max_y, 4 AS corners FROM squares WHERE {inputs.SQL_IN_BOX}",
+    "geometry_file": SQL + f"SELECT o_orderkey, round(x - {HALF_M}, 3) AS x0, round(y - {HALF_M}, 3) AS y0, round(x + {HALF_M}, 3) AS x1, round(y + {HALF_M}, 3) AS y1 FROM squares WHERE {inputs.SQL_IN_BOX}",
     "poi_exclude_tag": SQL + "SELECT osm_id, healthcare FROM fac WHERE healthcare IS NULL OR healthcare NOT IN ('laboratory', 'rehabilitation')",
     "poi_exclude_name": SQL + "SELECT osm_id, name FROM fac WHERE NOT regexp_matches(lower(coalesce(name, '')), 'эстет|дентал')",
     "poi_union": SQL + "SELECT osm_type AS type, osm_id AS id FROM raw_fac",
@@ -489,15 +525,16 @@ ORACLES: dict[str, str] = {
     "cache_miss": _KEYS + "SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE right(cell_id, 1) IN ('0', '1', '2'))",
     "parse_response": _REPLY,
     "estimate_cells": _KEYS + "SELECT cell_id, CAST(length(prompt) % 11 AS INTEGER) AS wealth_score, 'mixed' AS area_character, 0.5::DOUBLE AS confidence FROM keyed",
-    "estimates_left_merge": SQL + "SELECT cell_id, wealth_score, CASE WHEN wealth_score IS NOT NULL THEN area_character END AS area_character FROM est",
-    "estimated_count": SQL + "SELECT count(wealth_score) AS estimated, count(*) AS cells FROM est",
+    "estimates_left_merge": SQL + "SELECT cell_id, population, wealth_score, CASE WHEN wealth_score IS NOT NULL THEN area_character END AS area_character FROM siting",
+    "estimated_count": SQL + "SELECT count(wealth_score) AS estimated, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population FROM siting WHERE population > 0",
     "normalize_minmax": """
 WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS v FROM part), b AS (SELECT min(v) AS lo, max(v) AS hi FROM p)
 SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS same_scaled FROM p, b""",
     "need_and_demand": SQL + sql_scores("siting") + "SELECT cell_id, round(equity, 6) AS equity, round(profit, 6) AS profit FROM scored",
-    "candidate_filter": SQL + "SELECT cell_id, area_character FROM est WHERE coalesce(area_character, '') <> 'industrial'",
+    "candidate_filter": SQL + "SELECT cell_id, area_character, population, existing_clinics FROM siting WHERE coalesce(area_character, '') <> 'industrial'",
     "facility_type": _CANDIDATES + "SELECT cell_id, facility_type, round(best_score, 6) AS best_score FROM typed",
-    "conflict_pairs": SQL + f"SELECT a.cell_id AS cell_a, b.cell_id AS cell_b FROM cells a JOIN cells b ON a.cell_id < b.cell_id WHERE {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} < {MIN_DISTANCE_M}",
+    "weighted_facility_type": _CANDIDATES + "SELECT cell_id, CASE WHEN 0.5::DOUBLE * equity >= 2.0::DOUBLE * profit THEN 'public' ELSE 'private' END AS facility_type, round(greatest(0.5::DOUBLE * equity, 2.0::DOUBLE * profit), 6) AS best_score FROM typed",
+    "conflict_pairs": SQL + f"SELECT a.cell_id AS cell_a, b.cell_id AS cell_b FROM siting a JOIN siting b ON a.cell_id < b.cell_id WHERE a.existing_clinics > 0 AND b.existing_clinics > 0 AND {sql_haversine('a.center_lon', 'a.center_lat', 'b.center_lon', 'b.center_lat')} < {MIN_DISTANCE_M}",
     "site_selection": _CHOSEN_8 + _SITES,
     "site_selection_of_3": _CHOSEN + _SITES,
     "travel_time": SQL + f"""SELECT cell_id AS src, s_suppkey AS dst,
@@ -505,7 +542,7 @@ SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS
     "nearest_time": SQL + _nearest("times", "SELECT lon, lat FROM fac") + "SELECT cell_id, round(minutes, 6) AS minutes FROM times",
     "access_weighted_mean": SQL + _nearest("times", "SELECT lon, lat FROM fac") + f"SELECT round({_mean('times')}, 6) AS minutes",
     "baseline_density": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting ORDER BY population DESC, cell_id LIMIT 8",
-    "baseline_random": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM cells ORDER BY md5(cell_id || '|0'), cell_id LIMIT 8",
+    "baseline_random": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting WHERE population > 0 ORDER BY md5(cell_id || '|0'), cell_id LIMIT 8",
     "before_after": SQL + _nearest("old_times", "SELECT lon, lat FROM fac") + _nearest("new_times", "SELECT lon, lat FROM fac UNION ALL " + _DENSE.format(8))
     + f"SELECT round(b, 6) AS before, round(a, 6) AS after, round(b - a, 6) AS improvement, a < b AS nearer FROM (SELECT {_mean('old_times')} AS b, {_mean('new_times')} AS a)",
     "validation_report": _EIGHT + _REPORT,
@@ -515,7 +552,7 @@ SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS
       round(m.before - m.after, 6) AS model_improvement, round(b.before - b.after, 6) AS baseline_improvement FROM report m, report b WHERE m.scenario = 'model' AND b.scenario <> 'model'""",
     "spearman": _PARTS,
     "spearman_vs_price": _P_VALUE,
-    "wealth_histogram": SQL + "SELECT CAST(g AS INTEGER) AS bin, count(e.wealth_score) AS n FROM range(0, 11) t(g) LEFT JOIN est e ON least(e.wealth_score, 10) = g GROUP BY g",
+    "wealth_histogram": SQL + "SELECT CAST(g AS INTEGER) AS bin, count(e.wealth_score) AS n FROM range(0, 11) t(g) LEFT JOIN (SELECT * FROM siting WHERE existing_clinics > 0) e ON least(e.wealth_score, 10) = g GROUP BY g",
     "score_histogram": SQL + sql_scores("siting") + """, s AS (
   SELECT 'equity' AS score, equity AS v FROM scored UNION ALL SELECT 'profit', profit FROM scored
 ), b AS (
@@ -524,13 +561,13 @@ SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS
 SELECT b.score, CAST(g AS INTEGER) AS bin, count(s.v) AS n FROM b CROSS JOIN range(0, 20) t(g) LEFT JOIN s ON s.score = b.score AND least(19, CAST(floor((s.v - lo) / (hi - lo) * 20) AS INTEGER)) = g GROUP BY ALL""",
     "wealth_by_clinics": SQL + "SELECT least(existing_clinics, 5) AS existing_clinics, round(avg(wealth_score), 6) AS mean_wealth_score FROM siting GROUP BY 1",
     "type_counts": _CANDIDATES + "SELECT count(*) FILTER (facility_type = 'public') AS n_public, count(*) FILTER (facility_type = 'private') AS n_private FROM typed",
-    "bounds": SQL + "SELECT round(min(x0), 6) AS min_lon, round(min(y0), 6) AS min_lat, round(max(x1), 6) AS max_lon, round(max(y1), 6) AS max_lat, round((min(x0) + max(x1)) / 2, 6) AS mid_lon, round((min(y0) + max(y1)) / 2, 6) AS mid_lat FROM cells",
+    "bounds": SQL + "SELECT round(min(x0), 6) AS min_lon, round(min(y0), 6) AS min_lat, round(max(x1), 6) AS max_lon, round(max(y1), 6) AS max_lat, round((min(x0) + max(x1)) / 2, 6) AS mid_lon, round((min(y0) + max(y1)) / 2, 6) AS mid_lat FROM siting WHERE existing_clinics > 0",
     "totals": SQL + "SELECT count(*) AS cells, CAST(sum(population) AS BIGINT) AS population, CAST(sum(existing_clinics) AS BIGINT) AS facilities, count(wealth_score) AS estimated FROM siting",
     "map_markers": _CHOSEN + """SELECT cell_id, round(center_lon, 6) AS lon, round(center_lat, 6) AS lat, CASE facility_type WHEN 'public' THEN '#0F6E56' ELSE '#993C1D' END AS color, round(8 + 6 * best_score, 6) AS radius,
       printf('<b>%s</b><br>Тип: %s<br>Ценность: %.2f', cell_id, CASE facility_type WHEN 'public' THEN 'государственная' ELSE 'частная' END, best_score) AS popup FROM chosen""",
     "cell_outlines": SQL + """SELECT cell_id, population, existing_clinics, wealth_score, 'Feature' AS kind, 'Polygon' AS shape, CAST(corner AS INTEGER) AS corner,
       round(CASE WHEN corner IN (1, 2) THEN x1 ELSE x0 END, 6) AS lon, round(CASE WHEN corner IN (2, 3) THEN y1 ELSE y0 END, 6) AS lat FROM siting, range(0, 5) t(corner)""",
-    "cell_geometry": SQL + "SELECT cell_id, 93 AS bytes, '01030000000100000005000000' AS head FROM cells",
+    "cell_geometry": SQL + "SELECT cell_id, population, '01030000000100000005000000' AS head, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM siting",
     "map_legend": _CANDIDATES + """SELECT k.facility_type, k.label, k.color, count(typed.cell_id) AS n FROM (VALUES ('public', 'государственная', '#0F6E56'), ('private', 'частная', '#993C1D')) k(facility_type, label, color)
       LEFT JOIN typed USING (facility_type) GROUP BY ALL""",
 }

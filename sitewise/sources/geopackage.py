@@ -1,19 +1,32 @@
-"""Population polygons of a GeoPackage, read by tasks over ranges of row ids, with a box pushed to its spatial index."""
+"""Population polygons in GeoPackage files, read by tasks over files or ranges of row ids with filters pushed to the spatial index, and written by tasks."""
 
 from __future__ import annotations
 
+import contextlib
+import math
+import operator
 import sqlite3
 import struct
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 from sitewise import schemas
+from sitewise.functions.geo import MERCATOR_M
+from sitewise.sources.staged import StagedFiles, Written, located, visible
 
-#: Rows of a task.
+#: Rows of a task that reads, and of a file that one writes.
 RANGE = 100_000
+#: Fixed value: the number of the projection in files.
+SRS = 3857
 #: Bytes of the envelope after a geometry's header, by its code.
 _ENVELOPES = (0, 32, 48, 48, 64)
 
@@ -88,18 +101,41 @@ def outer_ring(blob: bytes) -> Ring:
 
 
 class _Rows(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
-        self.low, self.high = low, high
+    """A file, and the row ids of one task; None: all."""
 
+    def __init__(self, path: str, low: int | None = None, high: int | None = None) -> None:
+        self.path, self.low, self.high = path, low, high
 
-class GeoPackageReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
-        self.bbox = [float(x) for x in options["bbox"].split(",")] if options.get("bbox") else None
-        self.table = options.get("table")
 
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+def _open(path: str) -> sqlite3.Connection:
+    """A file of a mounted file system is read in place, another one is loaded."""
+    fs, at = located(path)
+    if isinstance(fs, arrow_fs.LocalFileSystem):
+        return sqlite3.connect(f"file:{at}?mode=ro", uri=True)
+    db = sqlite3.connect(":memory:")
+    with fs.open_input_stream(at) as f:
+        db.deserialize(f.read())
+    return db
+
+
+_COMPARED = {GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, EqualTo: operator.eq}
+#: Where the spatial index, whose boxes are rounded outwards, may decide: column, comparison, its column and sign.
+_INDEXED = {("max_x", ">"): ("maxx", ">="), ("max_y", ">"): ("maxy", ">="), ("min_x", "<"): ("minx", "<="), ("min_y", "<"): ("miny", "<=")}
+
+
+class GeoPackageReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], columns: list[str]) -> None:
+        self.path, self.table, self.columns = options["path"], options.get("table"), columns
+        self.conditions: list[tuple[str, type[Filter], float]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of the people and the box with constants are this reader's."""
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column in ("population", "min_x", "max_x", "min_y", "max_y") and (type(f) in _COMPARED or isinstance(f, IsNotNull)):
+                self.conditions.append((column, type(f), getattr(f, "value", None)))
+            else:
+                yield f
 
     def _names(self, db: sqlite3.Connection) -> tuple[str, str, str]:
         """Table, its geometry column and its row id column."""
@@ -110,54 +146,149 @@ class GeoPackageReader(DataSourceReader):
         return found[0], found[1], key
 
     def partitions(self) -> list[InputPartition]:
-        with self._open() as db:
+        """A task for each file of a folder, or for each range of ids of a single file."""
+        files = visible(self.path, ".gpkg")
+        if len(files) != 1:
+            return [_Rows(f) for f in files]
+        with contextlib.closing(_open(files[0])) as db:
             table, _, key = self._names(db)
             low, high = db.execute(f'select min("{key}"), max("{key}") from "{table}"').fetchone()
-        return [] if low is None else [_Rows(a, min(high, a + RANGE - 1)) for a in range(low, high + 1, RANGE)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with self._open() as db:
+        return [] if low is None else [_Rows(files[0], a, min(high, a + RANGE - 1)) for a in range(low, high + 1, RANGE)]
+
+    def _where(self, db: sqlite3.Connection, partition: _Rows, table: str, shape: str, key: str) -> tuple[str, list[float]]:
+        parts, values = [f't."{shape}" is not null'], []
+        if partition.low is not None:
+            parts.append(f't."{key}" between ? and ?')
+            values += [partition.low, partition.high]
+        signs = {GreaterThan: ">", GreaterThanOrEqual: ">", LessThan: "<", LessThanOrEqual: "<"}
+        boxes = [(*_INDEXED[c, signs[k]], v) for c, k, v in self.conditions if k in signs and (c, signs[k]) in _INDEXED]
+        index = f"rtree_{table}_{shape}"
+        if boxes and db.execute("select 1 from sqlite_master where name = ?", (index,)).fetchone():
+            parts.append(f't."{key}" in (select id from "{index}" where {" and ".join(f"{c} {sign} ?" for c, sign, _ in boxes)})')
+            values += [v for *_, v in boxes]
+        return " and ".join(parts), values
+
+    def read(self, partition: _Rows) -> Iterator[tuple]:
+        shaped = bool({*self.columns, *(c for c, *_ in self.conditions)} - {"population"})
+        with contextlib.closing(_open(partition.path)) as db:
             table, shape, key = self._names(db)
-            sql = f'select t.population, t."{shape}" from "{table}" t where t."{key}" between ? and ?'
-            values: list[float] = [partition.low, partition.high]
-            if self.bbox:
-                index = f"rtree_{table}_{shape}"
-                if db.execute("select 1 from sqlite_master where name = ?", (index,)).fetchone():
-                    sql += f' and t."{key}" in (select id from "{index}" where maxx >= ? and minx <= ? and maxy >= ? and miny <= ?)'
-                    values += [self.bbox[0], self.bbox[2], self.bbox[1], self.bbox[3]]
-            for population, blob in db.execute(sql, values):
-                ring = outer_ring(blob) if blob is not None else []
-                if not ring:
-                    continue
-                xs, ys = [x for x, _ in ring], [y for _, y in ring]
-                if self.bbox and (max(xs) < self.bbox[0] or min(xs) > self.bbox[2] or max(ys) < self.bbox[1] or min(ys) > self.bbox[3]):
+            where, values = self._where(db, partition, table, shape, key)
+            # Without the ring or its box only the header is read, which says whether the geometry is empty.
+            blob_column = f't."{shape}"' if shaped else f'substr(t."{shape}", 1, 4)'
+            for population, blob in db.execute(f'select t.population, {blob_column} from "{table}" t where {where}', values):
+                row: dict[str, object] = {"population": None if population is None else float(population)}
+                if shaped:
+                    if not (ring := outer_ring(blob)):
+                        continue
+                    xs, ys = [x for x, _ in ring], [y for _, y in ring]
+                    row |= {"ring": ring, "min_x": min(xs), "max_x": max(xs), "min_y": min(ys), "max_y": max(ys)}
+                elif blob[3] & 0x10:
                     continue
-                yield None if population is None else float(population), ring
+                if all(row[c] is not None and (k is IsNotNull or _COMPARED[k](row[c], v)) for c, k, v in self.conditions):
+                    yield tuple(row[c] for c in self.columns)
+
+
+def _blob(ring: Ring) -> bytes:
+    """A ring as a geometry with its box."""
+    xs, ys = [x for x, _ in ring], [y for _, y in ring]
+    closed = [*ring, ring[0]]
+    head = b"GP\x00\x03" + struct.pack("<i4d", SRS, min(xs), max(xs), min(ys), max(ys))
+    return head + struct.pack(f"<BIII{2 * len(closed)}d", 1, 3, 1, len(closed), *[v for p in closed for v in p])
+
+
+def _package(rows: list[tuple[float | None, Ring]]) -> bytes:
+    """A file of one table ``areas`` with a spatial index."""
+    with contextlib.closing(sqlite3.connect(":memory:")) as db:
+        db.execute("create table gpkg_spatial_ref_sys (srs_name text, srs_id integer primary key, organization text, organization_coordsys_id integer, definition text)")
+        db.execute("insert into gpkg_spatial_ref_sys values ('spherical Mercator', ?, 'EPSG', ?, 'undefined')", (SRS, SRS))
+        db.execute("create table gpkg_contents (table_name text primary key, data_type text, identifier text, srs_id integer)")
+        db.execute("insert into gpkg_contents values ('areas', 'features', 'areas', ?)", (SRS,))
+        db.execute("create table gpkg_geometry_columns (table_name text, column_name text, geometry_type_name text, srs_id integer, z integer, m integer)")
+        db.execute("insert into gpkg_geometry_columns values ('areas', 'geom', 'POLYGON', ?, 0, 0)", (SRS,))
+        db.execute("create table areas (fid integer primary key, population real, geom blob)")
+        db.execute("create virtual table rtree_areas_geom using rtree(id, minx, maxx, miny, maxy)")
+        db.executemany("insert into areas values (?, ?, ?)", ((i, p, _blob(r)) for i, (p, r) in enumerate(rows)))
+        boxes = ((i, min(x for x, _ in r), max(x for x, _ in r), min(y for _, y in r), max(y for _, y in r)) for i, (_, r) in enumerate(rows))
+        db.executemany("insert into rtree_areas_geom values (?, ?, ?, ?, ?)", boxes)
+        db.commit()
+        return db.serialize()
+
+
+class GeoPackageWriter(DataSourceArrowWriter):
+    """A file for each ``RANGE`` rows of a task, built in memory; rows without a ring have no geometry to write and are left out."""
+
+    def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool) -> None:
+        self.files = StagedFiles(options["path"], ".gpkg", overwrite)
+        self.places = [schema.names.index(c) for c in ("population", "ring")]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names, rows, held = [], 0, []
+
+        def flush() -> None:
+            nonlocal rows
+            name, out = self.files.create()
+            with out:
+                out.write(_package(held))
+            names.append(name)
+            rows += len(held)
+            held.clear()
+
+        for batch in iterator:
+            for population, ring in zip(*(batch.column(k).to_pylist() for k in self.places), strict=True):
+                if ring:
+                    held.append((population, [(p["x"], p["y"]) for p in ring]))
+                if len(held) == RANGE:
+                    flush()
+        if held:
+            flush()
+        return Written(names, rows)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        self.files.commit(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self.files.abort()
 
 
 class GeoPackageDataSource(DataSource):
-    """Format ``gpkg``: options path (a file that every executor sees), bbox in the file's metres, table."""
+    """Format ``gpkg``: options path (a file, or a folder of files, that every executor sees) and table.
+
+    Filters on population and on the box's columns reach the file and its spatial index; a schema of fewer columns reads
+    no more than those. Writing puts (population, ring) of each task into files of its own.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "gpkg"
 
     def schema(self) -> StructType | str:
-        return schemas.HEXAGONS
+        return schemas.BOXED_HEXAGONS
 
     def reader(self, schema: StructType) -> GeoPackageReader:
-        return GeoPackageReader(dict(self.options))
+        return GeoPackageReader(dict(self.options), schema.names)
 
+    def writer(self, schema: StructType, overwrite: bool) -> GeoPackageWriter:
+        return GeoPackageWriter(dict(self.options), schema, overwrite)
 
-def load_population(spark: SparkSession, path: str, bbox: Sequence[float] | None = None) -> DataFrame:
-    """population, ring (projected metres) of a file; bbox in degrees keeps the polygons whose box meets it."""
-    import math
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets sources in Python see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GeoPackageDataSource)
-    reader = spark.read.format("gpkg").option("path", path)
+
+
+def load_population(spark: SparkSession, path: str, bbox: Sequence[float] | None = None) -> DataFrame:
+    """population, ring (projected metres) of a file or folder; bbox in degrees keeps the polygons whose box meets it."""
+    register(spark)
+    areas = spark.read.format("gpkg").option("path", path).load()
     if bbox is not None:
-        radius = 6_378_137.0
-        x = [radius * math.radians(v) for v in (bbox[0], bbox[2])]
-        y = [radius * math.log(math.tan(math.pi / 4 + math.radians(v) / 2)) for v in (bbox[1], bbox[3])]
-        reader = reader.option("bbox", ",".join(map(repr, (x[0], y[0], x[1], y[1]))))
-    return reader.load()
+        x = [MERCATOR_M * math.radians(v) for v in (bbox[0], bbox[2])]
+        y = [MERCATOR_M * math.log(math.tan(math.pi / 4 + math.radians(v) / 2)) for v in (bbox[1], bbox[3])]
+        areas = areas.where((F.col("max_x") >= x[0]) & (F.col("min_x") <= x[1]) & (F.col("max_y") >= y[0]) & (F.col("min_y") <= y[1]))
+    return areas.select("population", "ring")
+
+
+def write_population(polygons: DataFrame, path: str) -> None:
+    """population, ring in GeoPackage files, a few a task, in place of what the folder had."""
+    register(polygons.sparkSession)
+    polygons.select("population", "ring").write.format("gpkg").mode("overwrite").option("path", path).save()

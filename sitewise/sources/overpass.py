@@ -15,14 +15,18 @@ from sitewise import schemas
 from sitewise.operators.pois import distinct_elements, exclude_name, exclude_tag, flatten
 
 
+# The service's language.
+QUERY, CLAUSE = "[out:json][timeout:60];({});out center;", '{}["{}"="{}"]({},{},{},{});'
+
+
 def build_query(bbox: Sequence[float], tags: Sequence[str]) -> str:
     """Nodes and ways of every ``key=value`` tag within min_lon, min_lat, max_lon, max_lat, with the ways' centres."""
     west, south, east, north = bbox
     clauses = []
     for tag in tags:
         key, value = tag.split("=")
-        clauses += [f'{kind}["{key}"="{value}"]({south},{west},{north},{east});' for kind in ("node", "way")]
-    return f"[out:json][timeout:60];({''.join(clauses)});out center;"
+        clauses += [CLAUSE.format(kind, key, value, south, west, north, east) for kind in ("node", "way")]
+    return QUERY.format("".join(clauses))
 
 
 class _Tag(InputPartition):
