@@ -48,8 +48,10 @@ class Estimate:
     temperature: float = 0
     max_retries: int = 2
     request_pause_s: float = 0.5
-    #: Calls of the model that run at once.
+    #: Tasks that call the model, calls that each runs at once, and calls of all in a second (0: no limit).
     tasks: int = 8
+    concurrency: int = 1
+    requests_per_s: float = 0
     cache_dir: str = ""
 
 

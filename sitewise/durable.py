@@ -47,3 +47,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     for table in tables:
         delete_folder(table.sparkSession, table.written_at)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's name, as readers in Spark and writers in Python both understand it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()

@@ -144,6 +144,18 @@ def estimate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.estimate_cells(asked, _fake_model, model_name=MODEL, cache_path=new_folder(spark, "estimates"), tasks=4)
 
 
+def estimates_of_arriving_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts written as files and estimated as a stream, some files a batch."""
+    folder = new_folder(spark, "arriving")
+    cell_context(spark, sf_dir).repartition(6).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("cell_id string, context string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    query = estimates.estimate_arriving(
+        arriving, _fake_model, output_path=f"{folder}/out", checkpoint=f"{folder}/checkpoint", model_name=MODEL, cache_path=f"{folder}/cache", tasks=2, concurrency=4
+    )
+    query.awaitTermination()
+    return estimates.latest_estimates(spark, f"{folder}/out")
+
+
 def estimates_left_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = inputs.siting_cells(spark, sf_dir)
     known = cells.where("wealth_score is not null").select("cell_id", "wealth_score", "area_character")
@@ -337,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_miss": cache_miss,
     "parse_response": parse_response,
     "estimate_cells": estimate_cells,
+    "estimates_of_arriving_cells": estimates_of_arriving_cells,
     "estimates_left_merge": estimates_left_merge,
     "estimated_count": estimated_count,
     "normalize_minmax": normalize_minmax,
@@ -525,6 +538,7 @@ ORACLES: dict[str, str] = {
     "cache_miss": _KEYS + "SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE right(cell_id, 1) IN ('0', '1', '2'))",
     "parse_response": _REPLY,
     "estimate_cells": _KEYS + "SELECT cell_id, CAST(length(prompt) % 11 AS INTEGER) AS wealth_score, 'mixed' AS area_character, 0.5::DOUBLE AS confidence FROM keyed",
+    "estimates_of_arriving_cells": _KEYS + "SELECT cell_id, CAST(length(prompt) % 11 AS INTEGER) AS wealth_score, 'mixed' AS area_character, 0.5::DOUBLE AS confidence FROM keyed",
     "estimates_left_merge": SQL + "SELECT cell_id, population, wealth_score, CASE WHEN wealth_score IS NOT NULL THEN area_character END AS area_character FROM siting",
     "estimated_count": SQL + "SELECT count(wealth_score) AS estimated, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population FROM siting WHERE population > 0",
     "normalize_minmax": """

@@ -37,7 +37,7 @@ def estimate(config: Config, cells: DataFrame, make_model: Callable[[], Model] |
     if limit is not None:
         asked = asked.orderBy("cell_id").limit(limit)
     maker = make_model or chat_model(e.base_url, e.model, api_key_env=e.api_key_env, temperature=e.temperature)
-    found = estimate_cells(asked, maker, model_name=e.model, cache_path=e.cache_dir, max_retries=e.max_retries, pause_s=e.request_pause_s, tasks=e.tasks)
+    found = estimate_cells(asked, maker, model_name=e.model, cache_path=e.cache_dir, max_retries=e.max_retries, pause_s=e.request_pause_s, tasks=e.tasks, concurrency=e.concurrency, per_second=e.requests_per_s or None)
     return with_estimates(cells, found)
 
 

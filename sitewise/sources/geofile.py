@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sitewise.durable import forget, written
+from sitewise.durable import forget, qualified, written
 from sitewise.sources.staged import StagedFiles, Written
 
 #: Rows of a row group.
@@ -120,7 +120,7 @@ def write_geometries(df: DataFrame, path: str, *, rows_per_group: int = GROUP, g
 
     place = on_curve(cell("x0", "x1", low_x, high_x), cell("y0", "y1", low_y, high_y))
     laid = table.withColumn("_place", place).repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
-    laid.write.format("geofile").mode("overwrite").options(path=path, rows_per_group=rows_per_group, geographic=str(geographic).lower()).save()
+    laid.write.format("geofile").mode("overwrite").options(path=qualified(spark, path), rows_per_group=rows_per_group, geographic=str(geographic).lower()).save()
     forget(table)
 
 
