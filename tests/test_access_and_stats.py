@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -18,19 +19,48 @@ def way(lon1, lat1, lon2, lat2):
     return 2 * 6_371_000 * math.asin(math.sqrt(a)) / 1000 / 25 * 60
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
 @pytest.mark.parametrize("points", [[(37.6, 55.75)], [(36.0, 54.0), (39.5, 56.0)], "many", "corner"])
-def test_nearest_equals_all_pairs(spark, points):
+def test_nearest_equals_all_pairs(spark, points, most):
     rnd = random.Random(7)
     if points == "many":
         points = [(rnd.uniform(37.5, 37.7), rnd.uniform(55.7, 55.8)) for _ in range(200)]
     elif points == "corner":
         points = [(37.9 + rnd.random() / 100, 55.9 + rnd.random() / 100) for _ in range(100)]
     cells = build_grid(spark, GRID)
-    got = {r["cell_id"]: r["minutes"] for r in nearest_times(cells, spark.createDataFrame(points, "lon double, lat double"), GRID).collect()}
+    got = {r["cell_id"]: r["minutes"] for r in nearest_times(cells, spark.createDataFrame([*points, points[0], (None, 55.7), (37.6, None), (float("nan"), 55.7)], "lon double, lat double"), GRID, most_points=most).collect()}
     for c in cells.collect():
         assert got[c["cell_id"]] == pytest.approx(min(way(c["center_lon"], c["center_lat"], *p) for p in points), abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 33, 900])
+def test_tree_equals_all_pairs(n, monkeypatch):
+    import sitewise.operators.nearest as module
+
+    rng = np.random.default_rng(n)
+    lon, lat = rng.uniform(-180, 180, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n)))
+    lon[::3], lat[::3] = lon[0], lat[0]  # many at one place
+    if n > 2:
+        lat[1] = 90.0
+    tree = module.Tree.of(lon, lat)
+    assert sorted(zip(tree.lon, tree.lat)) == sorted(zip(lon, lat)) and (tree.end[-(2**tree.levels):] - tree.begin[-(2**tree.levels):]).max() <= 16
+    x, y = np.concatenate([rng.uniform(-180, 180, 300), [180, -180, 0, lon[0]]]), np.concatenate([rng.uniform(-90, 90, 300), [0, 0, -90, lat[0]]])
+    want = ((module.on_sphere(x, y)[:, None] - module.on_sphere(lon, lat)[None]) ** 2).sum(axis=2).min(axis=1)
+    for pairs in (1 << 18, 7):
+        monkeypatch.setattr(module, "PAIRS", pairs)
+        at = tree.nearest(x, y)
+        assert np.allclose(((module.on_sphere(x, y) - module.on_sphere(tree.lon[at], tree.lat[at])) ** 2).sum(axis=1), want, atol=1e-15)
+
+
+def test_queries_without_a_place(spark):
+    from sitewise.operators.nearest import small_tree, with_nearest
+
+    points = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (50.0, 5.0)], "lon double, lat double")
+    assert small_tree(points, 1) is None and small_tree(points.limit(0)) is None
+    asked = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0), ("c", 60.0, 5.0)], "name string, x double, y double")
+    assert sorted(map(tuple, with_nearest(asked, small_tree(points, 2), lon="x", lat="y").select("name", "_lon", "_lat").collect())) == [("a", 1.0, 2.0), ("b", None, None), ("c", 50.0, 5.0)]
+
+
 def test_means(spark):
     cells = build_grid(spark, GRID).limit(3).withColumn("population", F.lit(0).cast("bigint"))
     one = spark.createDataFrame([(37.6, 55.75)], "lon double, lat double")
