@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.functions.geo import mercator_x, mercator_y, square
+from sitewise.functions.geo import haversine_m, mercator_x, mercator_y, minutes, square
 from sitewise.operators.grid import Grid, build_grid
 from sitewise.operators.pois import flatten
 from sitewise.operators.spatial import count_facilities, population_per_cell
@@ -78,6 +78,26 @@ def siting_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(estimates(build_grid(spark, GRID)), "cell_id", "left")
 
 
+def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes at all customers' places, and roads both ways from each order's customer to another one, by the straight way at three quarters of the speed."""
+    customers = _table(spark, sf_dir, "customer")
+    nodes = customers.select(
+        F.col("c_custkey").alias("node"), _coordinate("c_custkey", 7919, 1000, 37.55, 9500.0).alias("lon"), _coordinate("c_custkey", 104729, 997, 55.72, 16000.0).alias("lat")
+    )
+    most = customers.agg(F.max("c_custkey").alias("most"))
+    pairs = _table(spark, sf_dir, "orders").crossJoin(F.broadcast(most)).select(
+        F.col("o_custkey").alias("a"), (1 + (F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % F.col("most")).alias("b")
+    )
+
+    def at(side: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(side), F.col("lon").alias(f"lon_{side}"), F.col("lat").alias(f"lat_{side}"))
+
+    measured = pairs.join(at("a"), "a").join(at("b"), "b")
+    way = minutes(haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))) / 0.75
+    roads = measured.select("a", "b", way.alias("minutes"))
+    return nodes, roads.unionByName(roads.select(F.col("b").alias("a"), F.col("a").alias("b"), "minutes"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw: ten kinds of model replies, valid and not."""
     d = F.col("doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.durable import durable, new_folder
 from sitewise.functions.text import PROMPT_HEAD, PROMPT_TAIL, cache_key, prompt
-from sitewise.operators import access, estimates, pois, report, scores, selection, spatial, stats
+from sitewise.operators import access, estimates, network, pois, report, scores, selection, spatial, stats
 from sitewise.operators.grid import build_grid, locate
 from sitewise.plans import inputs
 from sitewise.plans.inputs import GRID, HALF_M, SQL, sql_haversine, sql_minutes, sql_scores
@@ -230,6 +230,13 @@ def nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(access.nearest_times(build_grid(spark, GRID), inputs.facilities(spark, sf_dir), GRID), "minutes")
 
 
+def network_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each cell over the network to the nearest facility of a kind."""
+    nodes, edges = inputs.network(spark, sf_dir)
+    clinics = inputs.facilities(spark, sf_dir).where("amenity = 'clinic'").select("lon", "lat")
+    return _rounded(network.network_times(build_grid(spark, GRID), clinics, nodes, edges), "minutes")
+
+
 def access_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(access.mean_access_time(inputs.siting_cells(spark, sf_dir), inputs.facilities(spark, sf_dir), GRID), "minutes")
 
@@ -362,6 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_selection_of_3": _selected(3),
     "travel_time": travel_time,
     "nearest_time": nearest_time,
+    "network_time": network_time,
     "access_weighted_mean": access_weighted_mean,
     "baseline_density": baseline_density,
     "baseline_random": baseline_random,
@@ -510,6 +518,24 @@ WITH d AS (
 SELECT doc_id, CASE WHEN valid THEN w END AS wealth_score, CASE WHEN valid THEN a END AS area_character, CASE WHEN valid THEN round(c, 6) END AS confidence, valid FROM y
 """
 
+#: Ways over the roads by rounds in which every node takes the best of itself and its neighbours.
+_NETWORK = SQL + f""", nodes AS (
+  SELECT osm_id AS node, lon, lat FROM raw_fac
+), pairs AS (
+  SELECT o_custkey AS a, 1 + (o_orderkey * 31 + o_custkey * 17) % (SELECT max(c_custkey) FROM customer) AS b FROM orders
+), roads AS (
+  SELECT a, b, {sql_minutes('p.lon', 'p.lat', 'q.lon', 'q.lat')} / 0.75::DOUBLE AS m FROM pairs JOIN nodes p ON p.node = a JOIN nodes q ON q.node = b
+), ways AS (
+  SELECT a, b, min(m) AS m FROM (SELECT a, b, m FROM roads UNION ALL SELECT b, a, m FROM roads UNION ALL SELECT node, node, 0::DOUBLE FROM nodes) GROUP BY ALL
+), rounds AS (
+  SELECT 0 AS n, osm_id AS node, 0::DOUBLE AS m FROM fac WHERE amenity = 'clinic'
+  UNION ALL
+  SELECT r.n + 1, w.b, min(r.m + w.m) FROM rounds r JOIN ways w ON w.a = r.node WHERE r.n < 40 GROUP BY r.n + 1, w.b
+), snapped AS (
+  SELECT cell_id, arg_min(node, {sql_haversine('center_lon', 'center_lat', 'lon', 'lat')}) AS node, min({sql_minutes('center_lon', 'center_lat', 'lon', 'lat')}) AS way FROM cells, nodes GROUP BY cell_id
+)
+SELECT cell_id, round(m + way, 6) AS minutes FROM snapped LEFT JOIN (SELECT node, m FROM rounds WHERE n = 40) USING (node)"""
+
 _PARTS = """
 WITH p AS (
   SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0
@@ -554,6 +580,7 @@ SELECT p_partkey, round((v - lo) / (hi - lo), 6) AS price_scaled, 0.0::DOUBLE AS
     "travel_time": SQL + f"""SELECT cell_id AS src, s_suppkey AS dst,
       round({sql_minutes('center_lon', 'center_lat', '(37.55::DOUBLE + s_suppkey / 100.0::DOUBLE)', '(55.72::DOUBLE + s_suppkey / 200.0::DOUBLE)')}, 6) AS minutes FROM cells, supplier""",
     "nearest_time": SQL + _nearest("times", "SELECT lon, lat FROM fac") + "SELECT cell_id, round(minutes, 6) AS minutes FROM times",
+    "network_time": _NETWORK,
     "access_weighted_mean": SQL + _nearest("times", "SELECT lon, lat FROM fac") + f"SELECT round({_mean('times')}, 6) AS minutes",
     "baseline_density": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting ORDER BY population DESC, cell_id LIMIT 8",
     "baseline_random": SQL + "SELECT cell_id, round(center_lon, 6) AS center_lon, round(center_lat, 6) AS center_lat FROM siting WHERE population > 0 ORDER BY md5(cell_id || '|0'), cell_id LIMIT 8",
