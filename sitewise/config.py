@@ -78,6 +78,8 @@ class Output:
     processed_dir: str = "data/processed"
     tables_dir: str = "outputs/tables"
     maps_dir: str = "outputs/maps"
+    #: Address of the map's background tiles with {z}, {x} and {y}; none if empty.
+    base_map: str = ""
     figures_dir: str = "outputs/figures"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.geo import rectangle_wkb
+from sitewise.operators.grid import Grid
+from sitewise.operators.tiles import page
 from sitewise.sources.geofile import write_geometries
 
 # Colours and labels of the two kinds of facility, the words of a marker, a line of the legend, and a circle's least radius and what a score of 1 adds.
@@ -68,6 +70,16 @@ def save_cells(cells: DataFrame, path: str) -> None:
     write_geometries(with_geometry(cells), path)
 
 
+def legend_lines(recommended: DataFrame) -> DataFrame:
+    """One row, ``legend``: a line for each kind."""
+    return legend(recommended).agg(F.array_join(F.sort_array(F.collect_list(F.format_string(LEGEND_LINE, "color", "label", "n"))), "<br>").alias("legend"))
+
+
+def tiled_page(recommended: DataFrame, grid: Grid, *, tiles: str, base: str = "") -> DataFrame:
+    """One row, ``html``: a page of the recommended places over a background, with the outlines and numbers of the tiles in view."""
+    return page(markers(recommended), legend_lines(recommended), grid, tiles=tiles, base=base)
+
+
 def map_page(recommended: DataFrame, cells: DataFrame) -> DataFrame:
     """One row, ``html``: a page with the recommended places as circles of their colour, size and words, and a legend.
 
@@ -75,10 +87,8 @@ def map_page(recommended: DataFrame, cells: DataFrame) -> DataFrame:
     """
     bounds = cells.agg(((F.min("x0") + F.max("x1")) / 2).alias("lon"), ((F.min("y0") + F.max("y1")) / 2).alias("lat"))
     made = markers(recommended).agg(F.to_json(F.sort_array(F.collect_list(F.struct("cell_id", "lon", "lat", "color", "radius", "popup")))).alias("markers"))
-    lines = legend(recommended).agg(
-        F.array_join(F.sort_array(F.collect_list(F.format_string(LEGEND_LINE, "color", "label", "n"))), "<br>").alias("legend")
-    )
-    page = F.format_string(
+    lines = legend_lines(recommended)
+    whole = F.format_string(
         "<!doctype html><meta charset='utf-8'><div id='legend'>%s</div><script>const centre=[%.6f,%.6f];const markers=%s;</script>", "legend", "lat", "lon", "markers"
     )
-    return bounds.join(F.broadcast(made), how="cross").join(F.broadcast(lines), how="cross").select(page.alias("html"))
+    return bounds.join(F.broadcast(made), how="cross").join(F.broadcast(lines), how="cross").select(whole.alias("html"))

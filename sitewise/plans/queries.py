@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from sitewise.durable import durable, new_folder
 from sitewise.functions.text import PROMPT_HEAD, PROMPT_TAIL, cache_key, prompt
-from sitewise.operators import access, estimates, network, pois, report, scores, selection, spatial, stats
+from sitewise.operators import access, estimates, network, pois, report, scores, selection, spatial, stats, tiles
 from sitewise.operators.grid import build_grid, locate
 from sitewise.plans import inputs
 from sitewise.plans.inputs import GRID, HALF_M, SQL, sql_haversine, sql_minutes, sql_scores
 from sitewise.plans.siting import optimise
-from sitewise.sources import tables
+from sitewise.sources.tables import load_cells, load_prices
 from sitewise.sources.geofile import edges_of, in_box, read_geometries, write_geometries
 from sitewise.sources.geopackage import write_population
 from sitewise.sources.overpass import recorded_elements
@@ -71,14 +71,14 @@ def prices_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prices written as CSV by all tasks, and read back by the source."""
     folder = new_folder(spark, "prices")
     report.write_csv(inputs.prices(spark, sf_dir).select("cell_id", "price_per_m2"), folder, files=None)
-    return tables.load_prices(spark, folder)
+    return load_prices(spark, folder)
 
 
 def cells_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells file, written with its geometry and read back, edges from both."""
     folder = new_folder(spark, "cells")
     report.save_cells(inputs.siting_cells(spark, sf_dir), folder)
-    read = tables.load_cells(spark, folder).withColumn("wkb", edges_of("geometry"))
+    read = load_cells(spark, folder).withColumn("wkb", edges_of("geometry"))
     return read.select("cell_id", "population", "existing_clinics", _six("x0"), _six("y1"), *[_six(f"wkb.{c}", f"wkb_{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -331,6 +331,12 @@ def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corners.select("cell_id", "population", "existing_clinics", "wealth_score", "kind", "shape", "corner", F.round(F.col("at")[0], 6).alias("lon"), F.round(F.col("at")[1], 6).alias("lat"))
 
 
+def map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outlines of each tile of all levels with their numbers."""
+    found = tiles.tile_features(inputs.siting_cells(spark, sf_dir), GRID)
+    return found.select("z", "x", "y", "row", "col", "cells", "population", "existing_clinics", *[_six(c) for c in ("wealth_score", "x0", "y0", "x1", "y1")])
+
+
 def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells' rectangles as well-known binary, in hex, and read back."""
     made = report.with_geometry(inputs.siting_cells(spark, sf_dir)).withColumn("wkb", edges_of("geometry"))
@@ -389,6 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_markers": map_markers,
     "map_legend": map_legend,
     "cell_outlines": cell_outlines,
+    "map_tiles": map_tiles,
     "cell_geometry": cell_geometry,
 }
 
@@ -608,6 +615,13 @@ SELECT b.score, CAST(g AS INTEGER) AS bin, count(s.v) AS n FROM b CROSS JOIN ran
       printf('<b>%s</b><br>Тип: %s<br>Ценность: %.2f', cell_id, CASE facility_type WHEN 'public' THEN 'государственная' ELSE 'частная' END, best_score) AS popup FROM chosen""",
     "cell_outlines": SQL + """SELECT cell_id, population, existing_clinics, wealth_score, 'Feature' AS kind, 'Polygon' AS shape, CAST(corner AS INTEGER) AS corner,
       round(CASE WHEN corner IN (1, 2) THEN x1 ELSE x0 END, 6) AS lon, round(CASE WHEN corner IN (2, 3) THEN y1 ELSE y0 END, 6) AS lat FROM siting, range(0, 5) t(corner)""",
+    "map_tiles": SQL + """, pyramid AS (
+  SELECT z, CAST(r // (1 << ({1} - z)) AS INTEGER) AS row, CAST(c // (1 << ({1} - z)) AS INTEGER) AS col, count(*) AS cells, CAST(sum(population) AS BIGINT) AS population,
+         CAST(sum(existing_clinics) AS BIGINT) AS existing_clinics, avg(wealth_score) AS wealth_score, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM siting, (SELECT CAST(g AS INTEGER) AS z FROM range({0}, {1} + 1) t(g)) GROUP BY ALL
+)
+SELECT z, CAST(floor(((x0 + x1) / 2 / 360 + 0.5::DOUBLE) * (1 << z)) AS INTEGER) AS x, CAST(floor((0.5::DOUBLE - ln(tan(pi() / 4 + radians((y0 + y1) / 2) / 2)) / (2 * pi())) * (1 << z)) AS INTEGER) AS y,
+  row, col, cells, population, existing_clinics, round(wealth_score, 6) AS wealth_score, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM pyramid""".format(*tiles.levels(GRID)),
     "cell_geometry": SQL + "SELECT cell_id, population, '01030000000100000005000000' AS head, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM siting",
     "map_legend": _CANDIDATES + """SELECT k.facility_type, k.label, k.color, count(typed.cell_id) AS n FROM (VALUES ('public', 'государственная', '#0F6E56'), ('private', 'частная', '#993C1D')) k(facility_type, label, color)
       LEFT JOIN typed USING (facility_type) GROUP BY ALL""",

@@ -16,6 +16,7 @@ from sitewise.operators.grid import Grid, build_grid
 from sitewise.operators.scores import filter_candidates, with_facility_type, with_scores
 from sitewise.operators.selection import select_sites
 from sitewise.operators.spatial import contexts, count_facilities, population_per_cell
+from sitewise.operators.tiles import write_tiles
 from sitewise.sources.geopackage import load_population
 from sitewise.sources.overpass import fetch_pois
 
@@ -67,5 +68,6 @@ def run_all(spark: SparkSession, config: Config, make_model: Callable[[], Model]
     report = durable(validation_report(estimated, facilities.select("lon", "lat"), chosen, grid, baseline=config.validate.baseline))
     pages.write_csv(report, f"{out.tables_dir}/validation.csv")
     pages.write_geojson(estimated, f"{out.maps_dir}/cells.geojson")
-    pages.map_page(chosen, estimated).write.mode("overwrite").text(f"{out.maps_dir}/recommendations")
+    write_tiles(estimated, grid, f"{out.maps_dir}/tiles")
+    pages.tiled_page(chosen, grid, tiles="../tiles", base=out.base_map).write.mode("overwrite").text(f"{out.maps_dir}/recommendations")
     return report.orderBy(F.desc("scenario"))
