@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitewise.llm.common import NON_WORD, hash_run
 from sitewise.llm.language_id import BUCKETS, SMOOTHING, identify_languages, letters_and_gaps, ngram_buckets, op3_language_id
 from sitewise.llm.quality_classifier import classify_quality, site
-from sitewise.llm.toxicity import Field, _judged, _plain_gradient, op4_toxicity, score_toxicity
+from sitewise.llm.toxicity import Field, _judged, _plain_gradient, _repeated, op4_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,6 +68,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert (good.predicted == 1).mean() < 0.05
 
 
+def test_toxic_documents_are_found_and_clean_ones_left_alone(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").toPandas()
+    assert (rows[rows.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (rows[rows.toxic == 0].predicted == 1).mean() < 0.01
+
+
+def test_small_parts_go_over_their_steps_again():
+    assert [(again, x) for again, x in _repeated(iter("ab"))][:5] == [(False, "a"), (False, "b"), (True, "a"), (True, "b"), (True, "a")]
+    assert sum(1 for _ in _repeated(iter("ab"))) == 24 and list(_repeated(iter(range(30)))) == [(False, k) for k in range(30)] and not list(_repeated(iter(())))
+
+
 def test_toxicity_cases(odd, labels):
     rows = score_toxicity(odd, labels).collect()
     assert len(rows) == odd.count()
