@@ -20,8 +20,8 @@ once to each pair.
 
 Where only the removed lines are asked for (``drop_similar_lines``), the lines of hot words
 are first held against a few of the earliest lines of each; only lines which that
-doesn't settle are joined with all earlier ones. So a large group of near copies
-costs a row a line there, not a row a pair.
+doesn't settle are joined with all earlier ones; words of more than ``BLOCK`` classes join them together with another word, as
+prefixes longer by one share two. So a large group of near copies costs a row a line there, not a row a pair.
 
 Defined cases
 * null text, and lines without a word: no result rows; such lines are never removed.
@@ -96,6 +96,11 @@ def rank_table(lines: DataFrame) -> DataFrame:
     return stored(pages.agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"])).alias("ranks")))
 
 
+def _prefix_words() -> Column:
+    """Of so many rarest words two similar sets share one."""
+    return F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
+
+
 def class_table(lines: DataFrame) -> DataFrame:
     """A row for each different set of words: number, name, place of its first line, size, prefix words with how many of them are surely not hot, bitmap."""
     table = rank_table(lines)
@@ -114,7 +119,8 @@ def class_table(lines: DataFrame) -> DataFrame:
         wide = parity(F.filter("words", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(3) == k))
         return F.when(F.col("n") >= WIDE, wide).otherwise(parity(F.col("words")) if k == 0 else F.lit(0).cast("bigint")).alias(f"b{k}")
 
-    prefix = F.slice("keys", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
+    # One word more than a pair surely shares one of: of so many it shares two.
+    prefix = F.slice("keys", 1, _prefix_words() + 1)
     keyed = ranked.select("_a", "_b", *_PLACE, "n", *map(quarter, range(4)), keys.alias("keys"))
     # A word is at most as frequent as its bucket.
     least_hot = int(2 * (HOT + 1).bit_length() - 2)
@@ -152,17 +158,14 @@ def _sized(table: DataFrame) -> DataFrame:
 def _postings(classes: DataFrame, *, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of words that aren't hot, rows of hot words with the number k of their classes, hot words): a row for each class and prefix word.
 
-    Sets of fewer than four words match equal ones only. once: hot rows also have the words
-    before their own, so that of the words which a pair shares only the first one pairs it.
+    Sets of fewer than four words match equal ones only. once: hot rows keep their prefix.
     """
     sets = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", "prefix")
-    index = sets.select("*", F.posexplode("prefix").alias("pos", "word")).drop("prefix")
+    whole = sets.select("*", F.posexplode("prefix").alias("pos", "word")).where(F.col("pos") < _prefix_words())
+    index = whole.drop("prefix")
     crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
     hot_words = _sized(crowded)
-    hot = index
-    if once:
-        hot = sets.select("*", F.posexplode("prefix").alias("pos", "word")).withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
-    hot = hot.where("pos >= cold").drop("cold").join(hot_words, "word")
+    hot = (whole if once else index).where("pos >= cold").drop("cold").join(hot_words, "word")
     return index.drop("cold").join(hot_words, "word", "left_anti"), hot, crowded
 
 
@@ -185,6 +188,16 @@ def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return _pairs(later.withColumns({"i": own, "j": F.explode(every)}), earlier.withColumns({"j": own, "i": F.explode(every)}), "word", "i", "j")
 
 
+def _two_words(hot: DataFrame) -> DataFrame:
+    """A row for each word of a prefix behind a hot one, ``second``.
+
+    Two similar sets share two words of their prefixes. ``pos`` counts as if only the second were common, so that the bounds take
+    both into account.
+    """
+    behind = F.posexplode(F.slice("prefix", F.col("pos") + 2, F.greatest(F.size("prefix") - F.col("pos") - 1, F.lit(0)))).alias("d", "second")
+    return hot.select("c", "n", "b0", "b1", "b2", "b3", "word", "pos", behind).withColumn("pos", F.col("pos") + F.col("d")).drop("d")
+
+
 def _joined(pairs: DataFrame) -> DataFrame:
     """The stored different pairs, each with one cell. Where all partitions of a join are small it hashes one side instead of sorting both."""
     with configured(pairs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=SMALL):
@@ -255,11 +268,16 @@ def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
     cold, hot, crowded = _postings(classes, once=True)
     # The earliest classes of each hot word, of so many parts of its classes, against all others of the word.
     part = F.pmod(F.xxhash64("c"), F.lit(PIVOTS))
-    pivots = hot.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos", "before")).alias("f")).select("word", "f.*")
-    first = _joined(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word")))
+    placed = hot.withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
+    pivots = placed.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos", "before")).alias("f")).select("word", "f.*")
+    first = _joined(_pairs(cold, cold, "word").unionByName(_pairs(placed, pivots, "word")))
     settled = _verified(first, lines, classes)
-    left = hot.join(settled.select(F.col("a").alias("c")).distinct(), "c", "left_anti")
-    rest = _joined(_block_pairs(left, hot).join(first, ["a", "b"], "left_anti"))
+    done = settled.select(F.col("a").alias("c")).distinct()
+    few, many = F.col("k") <= BLOCK, F.col("k") > BLOCK
+    by_word = _pairs(placed.where(few).join(done, "c", "left_anti"), placed.where(few), "word")
+    # Of commoner words, which stand last in prefixes, two at a time: few lines share both.
+    by_two = _pairs(_two_words(hot.where(many).join(done, "c", "left_anti")), _two_words(hot.where(many)), "word", "second")
+    rest = _joined(by_word.unionByName(by_two).join(first, ["a", "b"], "left_anti"))
     more = _verified(rest, lines, classes)
     found = stored(settled.unionByName(more).select(F.col("a").alias("c")).distinct())
     forget(first, rest, settled, more, crowded)

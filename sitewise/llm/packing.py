@@ -174,7 +174,7 @@ def _tokenised(tokenizer: str, end_id: int, sequence: int, schema: pa.Schema, wi
                     part = ids[at : at + width]
                     values = [doc, k, at // 4, len(part) // 4, zlib.crc32(part)]
                     if with_ids:
-                        values.append(part)
+                        values.append(narrow(part))
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
                 if len(rows[0]) >= 10_000:
@@ -221,14 +221,28 @@ class OpenBins:
         return found, self.size - free
 
 
+def narrow(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits each if all fit: most of what is shuffled and sorted is ids."""
+    values = np.frombuffer(ids, "<u4")
+    return values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else ids
+
+
+def widened(ids: bytes, length: int) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
+
+
 def _packed(sequence: int, open_bins: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(sequence, open_bins)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            spots = [bins.put(n) for n in batch.column("length").to_pylist()]
-            names = [*batch.schema.names, "sequence_id", "offset"]
-            columns = [*batch.columns, pa.array([first + b for b, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
+            lengths = batch.column("length").to_pylist()
+            spots = [bins.put(n) for n in lengths]
+            names, whole = [*batch.schema.names, "sequence_id", "offset"], list(batch.columns)
+            if "ids" in batch.schema.names:
+                k = batch.schema.names.index("ids")
+                whole[k] = pa.array([widened(b, n) for b, n in zip(whole[k].to_pylist(), lengths, strict=True)], pa.binary())
+            columns = [*whole, pa.array([first + b for b, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return pack
