@@ -8,9 +8,10 @@ are located by walking to sampled suffix positions, and the words they cover
 merge into removal spans.
 
 The benchmark's items are hashed, dealt to blocks of about BLOCK_WORDS words and made into
-windows by tasks. The driver takes up a block at a time and broadcasts it; the shards are searched
-for PASS_BLOCKS blocks in one pass, each in a worker of its own, and what was found is
-written before the next pass. So neither a task nor the driver holds more than a fixed number of blocks.
+windows by tasks. PASS_BLOCKS blocks are broadcast for a pass over the documents, in which each shard is indexed once, by
+the words of all the pass's blocks, and searched for one block after another. So neither a task nor the driver holds more than a
+fixed number of blocks. A benchmark of more blocks takes several passes: the documents are then written once, with a number for each row,
+and a pass hands on no more than the numbers, hits and items of rows that have any.
 
 Defined cases
 * null or word-less text: no words, not contaminated. Null items or items without words have no window.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ WINDOW = 10
 BLOCK_WORDS, PIECE_WORDS = 200_000, 20_000
 #: Blocks searched in one pass over the documents.
 PASS_BLOCKS = 4
+#: Rows with hits up to so many are broadcast to the documents of the next pass.
+BROADCAST_ROWS = 50_000
 #: Words of a shard.
 SHARD_WORDS = 500_000
 #: Every so many places of a shard the suffix array is kept.
@@ -165,6 +169,15 @@ class Phrases:
         self.owner = np.concatenate([sorted(o) for o in owners.values()]).astype(np.int64)
         self.owner_from = np.concatenate([[0], np.cumsum([len(o) for o in owners.values()])])
 
+
+class Search:
+    """Blocks that are searched for in one pass: the words of all of them, and the windows of each in numbers of these words."""
+
+    def __init__(self, blocks: list[bytes]) -> None:
+        self.blocks: list[Phrases] = [pickle.loads(b) for b in blocks]
+        self.vocabulary = np.unique(np.concatenate([p.vocabulary for p in self.blocks]))
+        self.patterns = [np.append(0, np.searchsorted(self.vocabulary, p.vocabulary) + 1)[p.patterns] for p in self.blocks]
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers from 1; 0 for words outside."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -220,36 +233,41 @@ def _shards(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def _occurrences(hashes: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, windows) of all occurrences of the block's windows in a shard."""
-    numbers = phrases.numbers(hashes)
+def _occurrences(hashes: np.ndarray, bounds: np.ndarray, search: Search) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
+    """(block, first words, windows) of all occurrences of each block's windows in a shard."""
+    numbers = search.numbers(hashes)
     # A separator before each text and at the end.
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     spot = np.arange(len(numbers)) + text + 1
     symbols = np.zeros(len(numbers) + len(bounds), np.int64)
     symbols[spot] = numbers
-    index = FMIndex(symbols, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.patterns, phrases.lengths)
-    which = np.repeat(np.arange(len(low)), high - low)
-    rows = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
-    return np.searchsorted(spot, index.locate(rows)), which
+    index = FMIndex(symbols, len(search.vocabulary) + 1)
+    for phrases, patterns in zip(search.blocks, search.patterns, strict=True):
+        low, high = index.search(patterns, phrases.lengths)
+        which = np.repeat(np.arange(len(low)), high - low)
+        rows = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
+        if len(rows):
+            yield phrases, np.searchsorted(spot, index.locate(rows)), which
 
 
-def _search(column: pa.Array, phrases: Phrases | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str | None]]]:
+def _search(column: pa.Array, search: Search | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str | None]]]:
     """Of each text: number of words, the ranges of hit words, apart and in order, and the items found."""
     counts = np.zeros(len(column), np.int64)
     ranges: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
     found: list[set[str | None]] = [set() for _ in range(len(column))]
     for first, hashes, bounds in _shards(column):
         counts[first : first + len(bounds) - 1] = np.diff(bounds)
-        if phrases is None or not len(hashes):
-            continue
-        start, which = _occurrences(hashes, bounds, phrases)
-        if not len(start):
+        if search is None or not len(hashes):
             continue
         edges = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(edges, start, 1)
-        np.add.at(edges, start + phrases.lengths[which], -1)
+        for phrases, start, which in _occurrences(hashes, bounds, search):
+            np.add.at(edges, start, 1)
+            np.add.at(edges, start + phrases.lengths[which], -1)
+            doc = np.searchsorted(bounds, start, "right") - 1
+            for d, w in np.unique(np.stack([doc, which]), axis=1).T:
+                found[first + d].update(phrases.items[i] for i in phrases.owner[phrases.owner_from[w] : phrases.owner_from[w + 1]])
+        if not edges.any():
+            continue
         # Hit words of neighbouring texts touch: a text's end ends a range too.
         hit = np.cumsum(edges[:-1]) > 0
         new = np.concatenate([[True], np.diff(hit.astype(np.int8)) != 0])
@@ -259,9 +277,6 @@ def _search(column: pa.Array, phrases: Phrases | None) -> tuple[np.ndarray, list
         for a, b in zip(begins[hit[begins]].tolist(), ends[hit[begins]].tolist(), strict=True):
             row = int(np.searchsorted(bounds, a, "right")) - 1
             ranges[first + row].append((a - int(bounds[row]), b - int(bounds[row])))
-        doc = np.searchsorted(bounds, start, "right") - 1
-        for d, w in np.unique(np.stack([doc, which]), axis=1).T:
-            found[first + d].update(phrases.items[i] for i in phrases.owner[phrases.owner_from[w] : phrases.owner_from[w + 1]])
     return counts, ranges, found
 
 
@@ -278,26 +293,27 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _searched(batch: pa.RecordBatch, at: int, phrases: Phrases | None) -> tuple[pa.StructArray, np.ndarray, list, list]:
-    """The rows, and with what earlier blocks found: their words, hit ranges and items."""
+def _searched(batch: pa.RecordBatch, at: int, search: Search | None) -> tuple[pa.StructArray, np.ndarray, list, list]:
+    """The rows, and with what earlier passes found: their words, hit ranges and items."""
     rows = batch.column(0)
-    counts, ranges, found = _search(rows.field(at), phrases)
+    counts, ranges, found = _search(rows.field(at), search)
     for i in np.flatnonzero(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)):
         ranges[i] = _merged(ranges[i] + [(x["a"], x["b"]) for x in batch.column(1)[i].as_py()])
         found[i].update(batch.column(2)[i].as_py())
     return rows, counts, ranges, found
 
 
-def _adding(block: Broadcast, at: int):
-    """A block that isn't the last: its hits and items join those of the blocks before."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = pickle.loads(block.value)
+def _finding(blocks: Broadcast):
+    """Of the numbered texts that have any: hits and items of a pass."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(blocks.value)
         for batch in batches:
-            rows, _, ranges, found = _searched(batch, at, phrases)
-            hits = pa.array([[{"a": a, "b": b} for a, b in r] for r in ranges], _HITS)
-            yield pa.RecordBatch.from_arrays([rows, hits, pa.array([list(f) for f in found], pa.list_(pa.string()))], names=["row", "hits", "items"])
+            _, ranges, found = _search(batch.column(1), search)
+            rows = [i for i, r in enumerate(ranges) if r]
+            hits = pa.array([[{"a": a, "b": b} for a, b in ranges[i]] for i in rows], _HITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), hits, pa.array([list(found[i]) for i in rows], pa.list_(pa.string()))], names=["no", "hits", "items"])
 
-    return add
+    return find
 
 
 def _hit_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,13 +324,13 @@ def _hit_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(int(chars[starts[a]]), int(chars[starts[b - 1] + lengths[b - 1]])) for a, b in ranges]
 
 
-def _reporting(block: Broadcast | None, kind: pa.DataType):
+def _reporting(blocks: Broadcast | None, kind: pa.DataType):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = block and pickle.loads(block.value)
+        search = blocks and Search(blocks.value)
         for batch in batches:
-            rows, counts, ranges, found = _searched(batch, 1, phrases)
+            rows, counts, ranges, found = _searched(batch, 1, search)
             n_hit = np.array([sum(b - a for a, b in r) for r in ranges], np.int64)
             ids = [sorted(i for i in f if i is not None) for f in found]
             texts = rows.field(1)
@@ -326,11 +342,11 @@ def _reporting(block: Broadcast | None, kind: pa.DataType):
     return report
 
 
-def _removing(block: Broadcast | None, schema: pa.Schema, at: int):
+def _removing(blocks: Broadcast | None, schema: pa.Schema, at: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = block and pickle.loads(block.value)
+        search = blocks and Search(blocks.value)
         for batch in batches:
-            rows, counts, ranges, _ = _searched(batch, at, phrases)
+            rows, counts, ranges, _ = _searched(batch, at, search)
             columns = rows.flatten()
             n_hit = np.array([sum(b - a for a, b in r) for r in ranges], np.int64)
             if n_hit.any():
@@ -350,20 +366,32 @@ def _removing(block: Broadcast | None, schema: pa.Schema, at: int):
 
 
 def _passes(rows: DataFrame, blocks: DataFrame, at: int) -> tuple[DataFrame, Broadcast | None]:
-    """The rows (a struct, whose field ``at`` is the text) searched for all blocks but the last, and the last one."""
+    """(row, hits, items): the rows, a struct whose field ``at`` is the text, with what all passes but the last have found; and the last one's blocks."""
     context = rows.sparkSession.sparkContext
-    state = rows.withColumns({"hits": F.array().cast("array<struct<a: bigint, b: bigint>>"), "items": F.array().cast("array<string>")})
-    last: Broadcast | None = None
-    done = 0
-    for number in [r["block"] for r in blocks.select("block").orderBy("block").collect()]:
-        if last is not None:
-            state = state.mapInArrow(_adding(last, at), state.schema)
-            done += 1
-            if done % PASS_BLOCKS == 0:
-                state = stored(state)
-        last = context.broadcast(blocks.where(F.col("block") == number).first()["phrases"])
+    kinds = {"hits": "array<struct<a: bigint, b: bigint>>", "items": "array<string>"}
+    numbers = [r["block"] for r in blocks.select("block").orderBy("block").collect()]
+
+    def broadcast(at: int) -> Broadcast:
+        return context.broadcast([r["phrases"] for r in blocks.where(F.col("block").isin(numbers[at : at + PASS_BLOCKS])).orderBy("block").collect()])
+
+    if len(numbers) <= PASS_BLOCKS:
+        last = broadcast(0) if numbers else None
+        forget(blocks)
+        return rows.select("row", *[F.array().cast(k).alias(c) for c, k in kinds.items()]), last
+    frozen = stored(rows.select("row", F.monotonically_increasing_id().alias("no")))
+    text = F.col("row").getField(rows.schema["row"].dataType.names[at])
+    found = []
+    for k in range(0, len(numbers) - PASS_BLOCKS, PASS_BLOCKS):
+        own = broadcast(k)
+        found.append(stored(frozen.select("no", text.alias("text")).mapInArrow(_finding(own), f"no bigint, hits {kinds['hits']}, items {kinds['items']}")))
+        own.destroy()
+    last = broadcast(k + PASS_BLOCKS)
     forget(blocks)
-    return state, last
+    whole = reduce(DataFrame.unionByName, found).groupBy("no").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in kinds])
+    hit = stored(whole)
+    forget(*found)
+    joined = frozen.join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, "no", "left")
+    return joined.select("row", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in kinds.items()]), last
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

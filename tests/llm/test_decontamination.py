@@ -42,6 +42,24 @@ def test_against_brute_force_in_blocks_of_any_size(corpus, benchmark):
         assert got == brute(rows, ITEMS)
 
 
+def test_passes_hand_on_rows_with_hits_only(spark, corpus, benchmark, monkeypatch):
+    import sitewise.llm.decontamination as module
+
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{w}" for w in rng.integers(0, 30, rng.integers(1, 25)))) for k in range(40)]
+    rows = [(k, " ".join(f"w{w}" for w in rng.integers(0, 40, 30)) + (" " + items[k % 40][1] if k % 3 == 0 else "")) for k in range(60)] + [(60, None), (61, "clean")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(rows, items)
+    for broadcast in (50_000, 0):
+        monkeypatch.setattr(module, "PASS_BLOCKS", 2)
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+        docs = corpus(*rows).repartition(3)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in find_contamination(docs, table, block_words=60).collect()}
+        assert got == want and sum(w[4] for w in want.values()) >= 20
+        kept = {r["doc_id"]: words(r["text"]) for r in remove_contamination(docs, table, block_words=60).collect()}
+        assert {k: len(w) for k, w in kept.items()} == {k: w[0] - w[1] for k, w in want.items() if w[0] > w[1] or not w[0]}
+
+
 def test_locate_finds_every_occurrence():
     rng = np.random.default_rng(0)
     symbols = rng.integers(0, 4, 500)
