@@ -11,12 +11,14 @@ words. A line is removed if an earlier line matches it.
 
 A link is a pair of classes that match. ``line_links`` has them all, and the result counts
 them for each line; with the class of each line they say every pair of similar
-lines. A word in the prefixes of more than ``HOT`` classes is joined block by block of
-its classes, so no task has all of them; the links are the same for every ``HOT``.
+lines. Classes are dealt by prefix word and paired by word and size: a class lies with its
+own group of sizes and is held against the groups of its bounds, three at most, so a row
+for each class and prefix word is all that is shuffled. A word in the prefixes of more
+than ``BLOCK`` classes is dealt by its groups of sizes too, so no task has all of it.
+The links are the same for every ``HOT`` and ``BLOCK``.
 
-A pair is verified in the cell (a shared prefix word, or two blocks of a hot one)
-where it was found: a class's whole set goes once to each cell that needs it, not
-once to each pair.
+A pair is verified in the cell (a shared prefix word and group of sizes) where it was
+found: a class's whole set goes once to each cell that needs it, not once to each pair.
 
 Where only the removed lines are asked for (``drop_similar_lines``), the lines of hot words
 are first held against a few of the earliest lines of each; only lines which that
@@ -43,8 +45,10 @@ from sitewise.llm.quality_rules import let
 SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the table of word counts, one byte each: half a MB.
 BUCKETS, PAGE = 1 << 19, 8192
-#: A word in the prefixes of more classes than this is hot; its classes are joined in blocks of about so many.
-HOT, BLOCK = 128, 512
+#: A word in the prefixes of more classes than HOT has pivots; one in more than BLOCK (at least HOT) is dealt by sizes.
+HOT, BLOCK = 128, 4096
+#: Rows of a task of a join by words: some 30 MB that it hashes.
+TASK_ROWS = 200_000
 #: Classes of a hot word that all others of the word are first held against.
 PIVOTS = 3
 #: Numbers of 64 bits in the set of classes that pre-selects lines; more classes make it select less, never wrongly.
@@ -149,45 +153,48 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def _postings(classes: DataFrame, *, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of words that aren't hot, rows of hot words with the number k of their classes, hot words): a row for each class and prefix word.
+def _postings(classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of words in at most so many classes, rows of the other words with the number k of their classes, those words): a row for each class and prefix word.
 
-    Sets of fewer than four words match equal ones only. once: hot rows also have the words
-    before their own, so that of the words which a pair shares only the first one pairs it.
+    Sets of fewer than four words match equal ones only.
     """
     sets = classes.where("n >= 4").select("c", "n", "cold", "b0", "b1", "b2", "b3", "prefix")
     index = sets.select("*", F.posexplode("prefix").alias("pos", "word")).drop("prefix")
-    crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT))
-    hot_words = _sized(crowded)
-    hot = index
-    if once:
-        hot = sets.select("*", F.posexplode("prefix").alias("pos", "word")).withColumn("before", F.slice("prefix", 1, F.col("pos"))).drop("prefix")
-    hot = hot.where("pos >= cold").drop("cold").join(hot_words, "word")
-    return index.drop("cold").join(hot_words, "word", "left_anti"), hot, crowded
+    crowded = stored(index.where("pos >= cold").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most))
+    words = _sized(crowded)
+    return index.drop("cold").join(words, "word", "left_anti"), index.where("pos >= cold").drop("cold").join(words, "word"), crowded
 
 
 def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
-    """(a, b, cell): later and earlier classes that pass the filters; of rows with ``before`` at their first common word."""
+    """(a, b, cell): later and earlier classes that pass the filters."""
     same = F.lit(True)
     for name in on:
         same &= F.col(f"x.{name}") == F.col(f"y.{name}")
     cell = F.xxhash64(*(F.col(f"x.{name}") for name in on)).alias("cell")
-    bounds = _bounds("x", "y")
-    if "before" in later.columns:
-        bounds &= ~F.arrays_overlap("x.before", "y.before")
-    return later.alias("x").join(earlier.alias("y"), same & (F.col("x.c") > F.col("y.c")) & bounds).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell)
+    return later.alias("x").join(earlier.alias("y"), same & (F.col("x.c") > F.col("y.c")) & _bounds("x", "y")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell)
 
 
-def _block_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs under hot words: each pair of blocks is joined on its own; a class goes to every pair that has its block."""
-    blocks, own = F.ceil(F.col("k") / BLOCK).cast("int"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / BLOCK)).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    return _pairs(later.withColumns({"i": own, "j": F.explode(every)}), earlier.withColumns({"j": own, "i": F.explode(every)}), "word", "i", "j")
+def _sizes(n: str) -> Column:
+    """The group of a size; from one to the next sizes grow by a quarter."""
+    return F.floor(F.log(1.25, F.expr(n))).cast("int")
+
+
+def _sized_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs of a word and of sizes that may match: each pair meets once, in the later one's group."""
+    bounds = F.sequence(_sizes("ceil(4 * n / 5)"), _sizes("floor(5 * n / 4)"))
+    return _pairs(later.withColumn("g", _sizes("n")), earlier.withColumn("g", F.explode(bounds)), "word", "g")
+
+
+def _word_pairs(later: DataFrame, earlier: DataFrame, rows: int) -> DataFrame:
+    """Pairs under words of at most BLOCK classes: rows are dealt by word, and go to groups of sizes inside the task."""
+    tasks = max(int(later.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return _sized_pairs(later.repartition(tasks, "word").hint("shuffle_hash"), earlier.repartition(tasks, "word"))
 
 
 def _joined(pairs: DataFrame) -> DataFrame:
     """The stored different pairs, each with one cell. Where all partitions of a join are small it hashes one side instead of sorting both."""
-    with configured(pairs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=SMALL):
+    # Rows dealt by word need no other shuffle to be joined by word and size.
+    with configured(pairs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=SMALL, spark__sql__requireAllClusterKeysForCoPartition="false"):
         return stored(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")))
 
 
@@ -217,10 +224,15 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
     return found
 
 
+def _rows(classes: DataFrame) -> int:
+    """Prefix words of all classes together, or a few more."""
+    return classes.agg(F.sum(F.expr("n div 5 + 1"))).first()[0] or 0
+
+
 def _all_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a > b: every pair of classes that match."""
-    cold, hot, crowded = _postings(classes)
-    pairs = _joined(_pairs(cold, cold, "word").unionByName(_block_pairs(hot, hot)))
+    rest, hot, crowded = _postings(classes, BLOCK)
+    pairs = _joined(_word_pairs(rest, rest, _rows(classes)).unionByName(_sized_pairs(hot, hot)))
     found = _verified(pairs, lines, classes)
     forget(pairs, crowded)
     return found
@@ -252,14 +264,17 @@ def _with_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _with_some_match(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """(c): the classes that match some class before them."""
-    cold, hot, crowded = _postings(classes, once=True)
+    cold, hot, crowded = _postings(classes, HOT)
+    rows = _rows(classes)
     # The earliest classes of each hot word, of so many parts of its classes, against all others of the word.
     part = F.pmod(F.xxhash64("c"), F.lit(PIVOTS))
-    pivots = hot.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos", "before")).alias("f")).select("word", "f.*")
-    first = _joined(_pairs(cold, cold, "word").unionByName(_pairs(hot, pivots, "word")))
+    pivots = hot.groupBy("word", part.alias("part")).agg(F.min(F.struct("c", "n", "b0", "b1", "b2", "b3", "pos")).alias("f")).select("word", "f.*")
+    first = _joined(_word_pairs(cold, cold, rows).unionByName(_pairs(hot, pivots, "word")))
     settled = _verified(first, lines, classes)
     left = hot.join(settled.select(F.col("a").alias("c")).distinct(), "c", "left_anti")
-    rest = _joined(_block_pairs(left, hot).join(first, ["a", "b"], "left_anti"))
+    most = F.col("k") > BLOCK
+    more = _word_pairs(left.where(~most), hot.where(~most), rows).unionByName(_sized_pairs(left.where(most), hot.where(most)))
+    rest = _joined(more.join(first, ["a", "b"], "left_anti"))
     more = _verified(rest, lines, classes)
     found = stored(settled.unionByName(more).select(F.col("a").alias("c")).distinct())
     forget(first, rest, settled, more, crowded)

@@ -140,3 +140,26 @@ def test_columns_of_any_name_pass_through(corpus):
     got = drop_similar_lines(docs)
     assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {1, 3}
     assert all(r[name] == "mine" for r in got.collect() for name in docs.columns[5:])
+
+
+def test_rows_of_a_join_grow_with_the_lines_of_a_word(corpus, monkeypatch):
+    """Four times the lines of one word make about four times the rows that are joined, not sixteen times."""
+    import sitewise.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "HOT", 3)
+    monkeypatch.setattr(module, "BLOCK", 4)
+    plain, sides = module._pairs, []
+
+    def counted(later, earlier, *on):
+        sides.append(later.count() + earlier.count())
+        return plain(later, earlier, *on)
+
+    monkeypatch.setattr(module, "_pairs", counted)
+    made = []
+    for lines in (50, 200):
+        sides.clear()
+        rows = [(k, f"common often a{k} b{k} c{k}") for k in range(lines)] + [(1000 + k, f"common often d{k % 3}") for k in range(lines)]
+        rows += [(2000 + k, f"common often usual {['x', 'y', 'z'][k % 3]}{k % 40} {'v' * (k % 9 + 1)}") for k in range(lines)]
+        assert line_links(corpus(*rows)).count() == len(linked(rows))
+        made.append(sum(sides))
+    assert made[1] < 6 * made[0]
