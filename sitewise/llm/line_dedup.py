@@ -58,6 +58,9 @@ WIDE = 80
 #: Tables of up to so many rows are broadcast, larger ones shuffled.
 BROADCAST = 100_000
 
+#: A filter on what is exploded would make two shuffles of the one that both sides of a join share.
+_NO_FILTER = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
 #: Partitions of up to so much shuffled data are hashed in a join.
 SMALL = "64m"
 
@@ -176,7 +179,8 @@ def _pairs(later: DataFrame, earlier: DataFrame, *on: str) -> DataFrame:
 
 def _sizes(n: str) -> Column:
     """The group of a size; from one to the next sizes grow by a quarter."""
-    return F.floor(F.log(1.25, F.expr(n))).cast("int")
+    # Never null, so that a join adds no filter below it.
+    return F.coalesce(F.floor(F.log(1.25, F.expr(n))).cast("int"), F.lit(0))
 
 
 def _sized_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -194,7 +198,8 @@ def _word_pairs(later: DataFrame, earlier: DataFrame, rows: int) -> DataFrame:
 def _joined(pairs: DataFrame) -> DataFrame:
     """The stored different pairs, each with one cell. Where all partitions of a join are small it hashes one side instead of sorting both."""
     # Rows dealt by word need no other shuffle to be joined by word and size.
-    with configured(pairs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=SMALL, spark__sql__requireAllClusterKeysForCoPartition="false"):
+    settings = {"spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold": SMALL, "spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__optimizer__excludedRules": _NO_FILTER}
+    with configured(pairs.sparkSession, **settings):
         return stored(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")))
 
 
